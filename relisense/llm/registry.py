@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relisense.llm import packing, sharding, warc
+from relisense.llm import packing, pii, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op5_sharding": sharding.op5_sharding,
+        "op8_pii": pii.op8_pii,
+        "op9_quality_rules": quality.op9_quality_rules,
         "op10_warc": warc.op10_warc,
     }
 
