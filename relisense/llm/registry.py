@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relisense.llm import langid, packing, pii, quality, sharding, warc
+from relisense.llm import langid, neardup, packing, pii, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op5_sharding": sharding.op5_sharding,
+        "op6_near_dedup": neardup.op6_near_dedup,
         "op7_language_id": langid.op7_language_id,
         "op8_pii": pii.op8_pii,
         "op9_quality_rules": quality.op9_quality_rules,
