@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relisense.llm import langid, neardup, packing, pii, quality, sharding, warc
+from relisense.llm import decontaminate, html_text, langid, neardup, packing, pii, quality, sharding, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_html_text": html_text.op2_html_text,
+        "op3_token_counts": token_counts.op3_token_counts,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op5_sharding": sharding.op5_sharding,
         "op6_near_dedup": neardup.op6_near_dedup,
         "op7_language_id": langid.op7_language_id,
