@@ -7,21 +7,23 @@ them. Documents with equal sets form a class, and only classes are compared.
    puts its POSTINGS smallest rare values into inverted lists. Lists give overlaps; pairs
    with enough overlap and fitting sizes are estimated from the union of their sketches.
 2. A class with few rare values (a member of a large group of copies, or text made of
-   passages that many share) also posts its COMMON_POSTINGS smallest common values. These
+   passages that many share) also posts some of its smallest common values. These
    lists may be of any length, so they are dealt out in pairs of blocks of bounded size, and
    a task emits no more than a spanning forest of the links in its two blocks.
 3. All links rest on the exact Jaccard similarity of the full sets.
 
-How a link could be missed: with similarity of 0.85 or more, each of the smallest values of
-the two sets' union is common to both with probability 0.85 (0.57 at least among the rare
-values of a class that takes step 1 alone, 0.77 among the common ones in step 2), so that
-POSTINGS values all miss with probability below 1e-8, and an estimate falls under
-ESTIMATE_MIN, five standard errors below, with probability below 1e-6.
+How a link could be missed: at the least similarity s, each of the smallest values of the
+two sets' union is common to both with probability s (4/7 at least among the rare values of
+a class that takes step 1 alone). POSTINGS and the number of common postings make it less
+than 1e-6 that none is shared, and an estimate is turned down only if it is five standard
+errors below s.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -33,10 +35,7 @@ from relisense.llm.graph import components
 from relisense.llm.shared import shared_folder
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 3, 85
-SKETCH, POSTINGS, COMMON_POSTINGS, LIST_MAX, BLOCK = 64, 24, 11, 48, 768
-#: A class with a smaller share of rare values in its sketch takes part in step 2.
-RARE_SHARE = 0.35
-ESTIMATE_MIN = 0.62
+SKETCH, POSTINGS, LIST_MAX, BLOCK = 64, 24, 48, 768
 #: Words whose hashes a Python worker keeps.
 CACHED_WORDS = 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
@@ -78,6 +77,28 @@ def shingle_set(text: str | None, words_each: int = SHINGLE_WORDS) -> np.ndarray
     return np.unique(x >> np.uint64(1)).astype(np.int64)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What follows from the least similarity (in percent)."""
+
+    percent: int
+
+    @property
+    def rare_share(self) -> float:
+        """A class with a smaller share of rare values in its sketch takes part in step 2."""
+        return 7 / 3 * (1 - self.percent / 100)
+
+    @property
+    def common_postings(self) -> int:
+        common = 1 - (1 - self.percent / 100) / (1 - self.rare_share)  # of the common values of two linked classes in step 2
+        return math.ceil(16 / -math.log(1 - common))
+
+    @property
+    def estimate_min(self) -> float:
+        s = self.percent / 100
+        return s - 5 * math.sqrt(s * (1 - s) / SKETCH)
+
+
 def _sketches(docs: DataFrame, words_each: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -144,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without id have no component and are not kept; repeated rows share a component. Other
     columns are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, limits = docs.sparkSession, Limits(percent)
     folder = shared_folder(spark, "neardup")
     names = count()
 
@@ -161,8 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     values = classes.select("id", F.explode("sketch").alias("value"))
     common = values.groupBy("value").count().where(F.col("count") > LIST_MAX).select("value", F.lit(True).alias("common"))
     marked = values.join(common, "value", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.col("value")))).alias("rare"), F.sort_array(F.collect_list(F.when(F.col("common"), F.col("value")))).alias("common"))
-    marked = marked.withColumn("few", F.size("rare") < RARE_SHARE * (F.size("rare") + F.size("common")))
-    lists = written(marked.select("id", F.slice("rare", 1, POSTINGS).alias("rare"), F.when(F.col("few"), F.slice("common", 1, COMMON_POSTINGS)).alias("common")))
+    marked = marked.withColumn("few", F.size("rare") < limits.rare_share * (F.size("rare") + F.size("common")))
+    lists = written(marked.select("id", F.slice("rare", 1, POSTINGS).alias("rare"), F.when(F.col("few"), F.slice("common", 1, limits.common_postings)).alias("common")))
 
     # step 1: overlaps in the lists of rare values (each of LIST_MAX classes at most)
     posted = lists.select("id", F.size("rare").alias("q"), F.explode("rare").alias("value"))
@@ -173,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
     near = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
-    pairs = written(pairs.where(near >= ESTIMATE_MIN).select("a", "b"))
+    pairs = written(pairs.where(near >= limits.estimate_min).select("a", "b"))
 
     # step 2: common values, in pairs of blocks
     shared = lists.where("common is not null").select("id", F.explode("common").alias("value"))

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN_PENALTY = 10.0
-SPACE_MARK = "▁"
+SPACE_MARK = "\u2581"
 #: Words whose counts a Python worker keeps.
 CACHED_WORDS = 1_000_000
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile("[\x1c-\x1f" + SPACE_MARK + "]")
 
 
