@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relisense.functions import special
 from relisense.functions.columns import as_col, div, pearson
+from relisense.functions.keep import keep
 
 #: Ranges into which the distinct values of a test are cut for ranking.
 RANK_RANGES = 32
@@ -41,8 +42,14 @@ def long_pairs(df: DataFrame, tests: dict[str, tuple[Column | str, Column | str]
     return rows.where("x is not null and y is not null")
 
 
-def correlations(pairs: DataFrame, keys: list[str], method: str = "spearman", least: int = 10) -> DataFrame:
-    """(keys, n, r): per key; groups of fewer than ``least`` pairs are left out."""
+def correlations(pairs: DataFrame, keys: list[str], method: str = "spearman", least: int = 10, digits: int | None = None) -> DataFrame:
+    """(keys, n, r): per key; groups of fewer than ``least`` pairs are left out.
+
+    digits: decimals to which values are rounded first, so that means of equal values tie
+    although their sums were taken in another order.
+    """
+    if digits is not None:
+        pairs = pairs.withColumn("x", F.round("x", digits)).withColumn("y", F.round("y", digits))
     if method == "spearman":
         pairs = average_rank(average_rank(pairs, keys, "x", "_rx"), keys, "y", "_ry")
         r = pearson("_rx", "_ry")
@@ -144,10 +151,12 @@ def partial_from_moments(rows: DataFrame, keys: list[str], x: str, y: str, contr
     return table.mapInPandas(run, StructType([*fields, StructField("r", DoubleType())]))
 
 
-def partial_spearman(rows: DataFrame, keys: list[str], x: str, y: str, controls: list[str], least: int = 10) -> DataFrame:
+def partial_spearman(rows: DataFrame, keys: list[str], x: str, y: str, controls: list[str], least: int = 10, digits: int | None = None) -> DataFrame:
     """Ranks every variable within the key, then partial correlation of the ranks."""
     names = [x, y, *controls]
     rows = rows.dropna(subset=names)
+    if digits is not None:
+        rows = rows.withColumns({c: F.round(c, digits) for c in names})
     for c in names:
         rows = average_rank(rows, keys, c, f"_rank_{c}")
     ranked = rows.select(*keys, *[F.col(f"_rank_{c}").alias(c) for c in names])
@@ -161,7 +170,7 @@ def leverage(df: DataFrame, x: str, targets: list[str], subject: str = "subject"
     loso_max_delta, most_influential. All correlations of all targets run as three keyed jobs;
     leaving out a subject adds a key per subject, with the rows of the others.
     """
-    pairs = long_pairs(df, {t: (x, t) for t in targets}, [subject])
+    pairs = keep(long_pairs(df, {t: (x, t) for t in targets}, [subject]))
     full = correlations(pairs, ["test"], least=least).select(F.col("test").alias("target"), "n", F.col("r").alias("rho_full"))
     means = pairs.groupBy("test", subject).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     between = correlations(means.select("test", F.col("mx").alias("x"), F.col("my").alias("y")), ["test"], least=3).select(F.col("test").alias("target"), F.col("r").alias("rho_between"))

@@ -60,7 +60,7 @@ def power_bound(decomposition: DataFrame) -> DataFrame:
     return out.withColumn("r_min_latent", div("r_min", F.sqrt("item_reliability")))
 
 
-def viewer_pairs(trials: DataFrame, metrics: list[str], subject: str = "subject", item: str = "item", least: int = 20) -> DataFrame:
+def viewer_pairs(trials: DataFrame, metrics: list[str], subject: str = "subject", item: str = "item", least: int = 20, digits: int | None = None) -> DataFrame:
     """(metric, a, b, n, r): Spearman between two viewers over the items seen by exactly those two.
 
     Values are centred per subject over all its trials first. Each item gives one row, as its
@@ -72,7 +72,7 @@ def viewer_pairs(trials: DataFrame, metrics: list[str], subject: str = "subject"
     per = inner.groupBy("metric", item, subject).agg(F.avg("v").alias("v"))
     both = per.groupBy("metric", item).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(subject, "v")).alias("l"), F.max(F.struct(subject, "v")).alias("h")).where("c = 2")
     rows = both.select("metric", F.col(f"l.{subject}").alias("a"), F.col(f"h.{subject}").alias("b"), F.col("l.v").alias("x"), F.col("h.v").alias("y")).where("x is not null and y is not null")
-    return correlations(rows, ["metric", "a", "b"], least=least)
+    return correlations(rows, ["metric", "a", "b"], least=least, digits=digits)
 
 
 def pooled_pairs(pairs: DataFrame) -> DataFrame:

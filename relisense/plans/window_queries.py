@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relisense.functions.columns import pearson, rounded
+from relisense.functions.keep import keep
 from relisense.operators import conduct, ranks, windows
 from relisense.operators.scores import Monotone, UScore, composite_imputed
 from relisense.plans.tables import AUX, CORE, DAY, corr_sql, mean_sql, ratings, signal, u_expr, u_sql, with_sql
@@ -19,7 +20,8 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    return windows.window_table(cells(spark, d), CORE, AUX)
+    """The wide window table, kept: every statistic below reads it more than once."""
+    return keep(windows.window_table(cells(spark, d), CORE, AUX))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -28,9 +30,9 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     f = conduct.add_stability(f, [*CORE, "temp"])
     f = conduct.add_conduct_variants(f)
     f = conduct.add_coherence(f, {"S_coher": PAIRS["hr_eda"]}, [1, 5])
-    f = composite_imputed(f, "S_estab", "S_coher_1", "S_cond_att_acc", name="score_3")
+    f = composite_imputed(keep(f), "S_estab", "S_coher_1", "S_cond_att_acc", name="score_3")
     f = composite_imputed(f, "S_estab", "S_coher_1", None, name="score_2")
-    return composite_imputed(f, "S_estab", "S_coher_5", "S_cond_att_acc", name="score_3_prev5")
+    return keep(composite_imputed(f, "S_estab", "S_coher_5", "S_cond_att_acc", name="score_3_prev5"))
 
 
 def _r(df: DataFrame, keys: list[str], values: dict[str, str] | list[str]) -> DataFrame:
@@ -56,7 +58,7 @@ def raw_windows(spark, d):
 
 def annotation_windows(spark, d):
     rows = ratings(spark, d).select((F.col("unit") % 50).alias("subject"), "rater", (F.col("unit") * 0.5).alias("seconds"), "valence", "arousal")
-    return windows.window_annotation(rows, offset=2.5, width=100.0).select("subject", "rater", "win", "n", rounded("valence").alias("valence"), F.round("arousal", 4).alias("arousal"))
+    return windows.window_annotation(rows, offset=2.5, width=100.0).select("subject", "rater", "win", "n", rounded("valence").alias("valence"), F.round("arousal", 7).alias("arousal"))
 
 
 def window_table(spark, d):
@@ -114,7 +116,7 @@ def coherence_pairs(spark, d):
 def _periods(spark, d) -> DataFrame:
     s = signal(spark, d)
     times = s.where("channel = 'acc' and subject < 25").groupBy("subject").agg(F.min("t").alias("start"), F.max("t").alias("end")).withColumn("init", F.lit(0.0))
-    return windows.assign_period(features(spark, d), times, DAY)
+    return keep(windows.assign_period(features(spark, d), times, DAY))
 
 
 def period_assignment(spark, d):
@@ -293,7 +295,7 @@ QUERIES = {
     "window_agg": (window_agg, with_sql(["cells"], f"SELECT subject, channel, win, {_r6(['mean', 'std'])}, n_samples FROM cells")),
     "window_multiaxis": (window_multiaxis, with_sql(["sig"], "SELECT subject, channel, win, round(avg(s), 6) + 0.0 AS std, max(n) AS n_samples FROM ax GROUP BY ALL", {"ax": "SELECT subject, channel, axis, floor(t / 86400.0::DOUBLE)::BIGINT AS win, stddev_samp(value) AS s, count(*) AS n FROM sig GROUP BY ALL"})),
     "raw_windows": (raw_windows, with_sql(["sig"], "SELECT s.subject, s.channel, s.win, coalesce(n, 0) AS n, round(coalesce(total, 0.0), 4) AS total FROM spine s LEFT JOIN got g ON s.subject = g.subject AND s.channel = g.channel AND s.win = g.win", {"got": "SELECT subject, channel, floor((t - (SELECT min(t) FROM sig)) / 86400.0::DOUBLE)::BIGINT AS win, count(*) AS n, sum(value) AS total FROM sig GROUP BY ALL", "spine": "SELECT subject, channel, unnest(range(0, max(win) + 1)) AS win FROM got GROUP BY subject, channel"})),
-    "annotation_windows": (annotation_windows, with_sql(["rat"], "SELECT unit % 50 AS subject, rater, floor((unit * 0.5::DOUBLE + 2.5) / 100.0::DOUBLE)::BIGINT AS win, count(*) AS n, round(avg(valence), 6) + 0.0 AS valence, round(avg(arousal), 4) AS arousal FROM rat GROUP BY ALL")),
+    "annotation_windows": (annotation_windows, with_sql(["rat"], "SELECT unit % 50 AS subject, rater, floor((unit * 0.5::DOUBLE + 2.5) / 100.0::DOUBLE)::BIGINT AS win, count(*) AS n, round(avg(valence), 6) + 0.0 AS valence, round(avg(arousal), 7) AS arousal FROM rat GROUP BY ALL")),
     "window_table": (window_table, with_sql(["feat"], f"SELECT subject, win, hr_n_samples, eda_n_samples, bvp_n_samples, attention_n_samples, acc_n_samples, {_r6(_WTABLE)} FROM feat")),
     "window_table_raters": (window_table_raters, with_sql(["feat", "rat"], f"SELECT f.subject, f.win, {_r6({'hr_mean': 'hr_mean', 'R1_valence': 'r1', 'self_valence': 's', 'partner_valence': 'p'})} FROM feat f LEFT JOIN rw ON f.subject = rw.subject AND f.win = rw.win", {"rc": "SELECT unit % 30 AS subject, unit // 30 % 40 + 19700 AS win, rater, avg(valence) AS v FROM rat GROUP BY ALL", "rw": "SELECT subject, win, max(v) FILTER (rater = 'R1') AS r1, max(v) FILTER (rater = 'self') AS s, max(v) FILTER (rater = 'partner') AS p FROM rc GROUP BY ALL"})),
     "epoch_seconds": (epoch_seconds, with_sql(["sig"], "SELECT subject, channel, round(min(t), 3) AS first, round(max(t), 3) AS last FROM sig GROUP BY ALL")),
