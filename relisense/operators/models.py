@@ -103,18 +103,19 @@ def period_means(df: DataFrame, column: str, subject: str = "subject") -> DataFr
 
 
 def signed_rank(pairs: DataFrame, keys: list[str], d: str) -> DataFrame:
-    """(keys, n, w_plus, positive, negative, median_diff, mean_diff, ties, tie_term) over differences."""
+    """(keys, n, w_plus, positive, negative, median_diff, mean_diff, ties, tie_term) over differences;
+    n counts those that are not zero."""
     rows = pairs.where(F.col(d).isNotNull())
     moved = rows.where(F.col(d) != 0).withColumn("_abs", F.abs(d))
     ranked = average_rank(moved, keys, "_abs", "_r")
     per = ranked.groupBy(*keys, "_abs").agg(F.count(F.lit(1)).cast("double").alias("t"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w"))
     w = per.groupBy(*keys).agg(F.sum("t").cast("long").alias("n"), F.sum("w").alias("w_plus"), (F.max("t") > 1).alias("ties"), F.sum(F.col("t") ** 3 - F.col("t")).alias("tie_term"))
     more = rows.groupBy(*keys).agg(F.count_if(F.col(d) > 0).alias("positive"), F.count_if(F.col(d) < 0).alias("negative"), F.percentile(d, F.lit(0.5)).alias("median_diff"), F.avg(d).alias("mean_diff"))
-    return more.join(w, keys, "left")
+    return more.join(w, keys, "left").fillna(0, ["n"]).fillna(0.0, ["w_plus", "tie_term"])
 
 
 def with_wilcoxon_p(table: DataFrame) -> DataFrame:
-    f = F.pandas_udf(lambda n, w, t, e: pd.Series([None if pd.isna(a) or a < 3 else special.wilcoxon_p(int(a), b, c, bool(d)) for a, b, c, d in zip(n, w, t, e, strict=True)], dtype="float64"), "double")
+    f = F.pandas_udf(lambda n, w, t, e: pd.Series([None if pd.isna(a) or a < 3 else special.wilcoxon_p(int(a), b, c, bool(d) if d is not None else False) for a, b, c, d in zip(n, w, t, e, strict=True)], dtype="float64"), "double")
     return table.withColumn("p", f("n", "w_plus", "tie_term", "ties"))
 
 

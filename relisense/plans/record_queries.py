@@ -198,7 +198,7 @@ QUERIES = {
     "agreement": (agreement, with_sql(["feat"], f"SELECT subject, count(*) AS n, {_r6({'ccc': '2 * covar_samp(y, x) / (var_samp(y) + var_samp(x) + pow(avg(y) - avg(x), 2))', 'rmse': 'sqrt(avg(pow(y - x, 2)))', 'mae': 'avg(abs(y - x))'})} FROM (SELECT subject, hr_mean AS x, eda_mean AS y FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL) GROUP BY subject")),
     "regression": (regression, with_sql(["feat"], "SELECT 'eda_mean' AS term, n, round((ya - yb * ab) / (1 - ab * ab), 6) + 0.0 AS beta FROM co UNION ALL SELECT 'bvp_mean', n, round((yb - ya * ab) / (1 - ab * ab), 6) + 0.0 FROM co", {"co": "SELECT count(*) AS n, corr(hr_mean, eda_mean) AS ya, corr(hr_mean, bvp_mean) AS yb, corr(eda_mean, bvp_mean) AS ab FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL AND bvp_mean IS NOT NULL"})),
     "mixed_model": (mixed_model, None),
-    "signed_rank": (signed_rank, with_sql(["feat"], "SELECT subject, count(*) FILTER (d <> 0) AS n, sum(r) FILTER (d > 0) AS w_plus, count(*) FILTER (d > 0) AS positive, count(*) FILTER (d < 0) AS negative, round(median(d), 6) + 0.0 AS median_diff FROM (SELECT subject, d, rank() OVER (PARTITION BY subject, d = 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY subject, d = 0, abs(d)) - 1) / 2.0 AS r FROM df) GROUP BY subject", {"df": "SELECT subject, round(hr_mean - eda_mean, 9) AS d FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL"})),
+    "signed_rank": (signed_rank, with_sql(["feat"], "SELECT subject, count(*) FILTER (d <> 0) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, count(*) FILTER (d > 0) AS positive, count(*) FILTER (d < 0) AS negative, round(median(d), 6) + 0.0 AS median_diff FROM (SELECT subject, d, rank() OVER (PARTITION BY subject, d = 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY subject, d = 0, abs(d)) - 1) / 2.0 AS r FROM df) GROUP BY subject", {"df": "SELECT subject, round(hr_mean - eda_mean, 9) AS d FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL"})),
     "paired_t": (paired_t, with_sql(["feat"], "SELECT subject, count(d) AS n, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) + 0.0 AS t FROM (SELECT subject, hr_mean - eda_mean AS d FROM feat) GROUP BY subject")),
     "histogram": (histogram, with_sql(["sig"], "SELECT bin, count(*) AS n, round(a + (b - a) * bin / 20.0, 4) + 0.0 AS low FROM (SELECT least(19, floor((value - a) / (b - a) * 20.0)::INT) AS bin, a, b FROM sig, (SELECT min(value) AS a, max(value) AS b FROM sig)) GROUP BY bin, a, b")),
     "boxes": (boxes, with_sql(["grd"], f"SELECT label, count(*) AS n, {_r6({'low': 'min(sigma)', 'q1': 'quantile_cont(sigma, 0.25)', 'median': 'median(sigma)', 'q3': 'quantile_cont(sigma, 0.75)', 'high': 'max(sigma)'})} FROM grd GROUP BY label")),
