@@ -36,8 +36,11 @@ from relisense.llm.shared import shared_folder
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 3, 85
 SKETCH, POSTINGS, LIST_MAX, BLOCK = 64, 24, 48, 768
-#: Words whose hashes a Python worker keeps.
-CACHED_WORDS = 1_000_000
+#: Up to so many ids (24 bytes each) the texts to compare are picked by a broadcast; beyond,
+#: ids and texts are shuffled.
+BROADCAST_IDS = 2_000_000
+#: Words whose hashes a task keeps.
+CACHED_WORDS = 250_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -51,10 +54,7 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
-def shingle_set(text: str | None, words_each: int = SHINGLE_WORDS) -> np.ndarray:
+def shingle_set(text: str | None, words_each: int = SHINGLE_WORDS, hashes: dict[bytes, int] | None = None) -> np.ndarray:
     """Sorted distinct 63-bit hashes of the word shingles of a text.
 
     A-Z count as a-z; words are parted by ASCII white space. Fewer words than a shingle
@@ -65,7 +65,8 @@ def shingle_set(text: str | None, words_each: int = SHINGLE_WORDS) -> np.ndarray
     words = text.encode("utf-8").lower().split()  # bytes: only ASCII letters and spaces matter
     if not words:
         return np.zeros(0, dtype=np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    hashes = _WordHashes() if hashes is None else hashes
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(words_each, len(h))
     with np.errstate(over="ignore"):
         x = np.full(len(h) - k + 1, k, dtype=np.uint64)
@@ -103,8 +104,9 @@ def _sketches(docs: DataFrame, words_each: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
+        hashes = _WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, words_each) for t in batch["text"]]
+            sets = [shingle_set(t, words_each, hashes) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "key": [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "n": [len(s) for s in sets], "sketch": [s[:SKETCH] for s in sets]}).astype({"id": "Int64"})
 
     return docs.mapInPandas(run, "id long, key binary, n long, sketch array<long>")
@@ -112,8 +114,9 @@ def _sketches(docs: DataFrame, words_each: int) -> DataFrame:
 
 def _full_sets(docs: DataFrame, words_each: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "members": [shingle_set(t, words_each) for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "members": [shingle_set(t, words_each, hashes) for t in batch["text"]]})
 
     return docs.mapInPandas(run, "id long, members array<long>")
 
@@ -202,7 +205,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = written(shared.join(lengths, "value").withColumn("own", F.pmod(F.xxhash64("id", "value"), "blocks").cast("int")))
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(dealt.select("id")).distinct()
-    sets = written(_full_sets(texts.join(wanted, "id", "left_semi"), words_each).dropDuplicates(["id"]))
+    wanted = written(wanted)
+    hint = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda df: df
+    sets = written(_full_sets(texts.join(hint(wanted), "id", "left_semi"), words_each).dropDuplicates(["id"]))
 
     of = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m{x}"))
     inter = F.size(F.array_intersect("ma", "mb"))
