@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from relisense.plans import registry
+sys.path.insert(0, HERE := str(Path(__file__).resolve().parent))
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (HERE, os.environ.get("PYTHONPATH")) if x)
+
+from relisense.plans import registry  # noqa: E402
 
 HEADLINE = ["window_agg", "window_table", "window_scores", "coherence_sweep", "trial_scores", "item_scores", "label_entropies", "rater_statistics", "variance_components", "item_spearman", "ablation_auc", "delong", "lead_correlation", "describe"]
 
