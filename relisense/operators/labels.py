@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relisense.functions.columns import div, row_mean
+from relisense.functions.columns import div
 
 
 def label_entropy(labels: DataFrame, key: str, label: str = "label") -> DataFrame:
@@ -72,6 +72,3 @@ def source_overlap(a: DataFrame, b: DataFrame, labels: DataFrame | None, item: s
     out = row.withColumn("pairs_share_a", div("pairs_both", "pairs_a")).withColumn("pairs_share_b", div("pairs_both", "pairs_b"))
     return out.withColumn("label_share", div("items_labelled", "items_both")).withColumn("covered", F.col("label_share") >= 0.95) if labels is not None else out
 
-
-def trial_scores_mean(cols: list[Column | str]) -> Column:
-    return row_mean(cols)

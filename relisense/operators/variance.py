@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relisense.functions.columns import as_col, div
-from relisense.operators.ranks import average_rank, correlations
+from relisense.operators.ranks import correlations
 
 #: Normal quantiles of a two-sided 5 % test and of 80 % power.
 Z_ALPHA, Z_POWER = 1.959964, 0.8416212
@@ -90,5 +90,3 @@ def dispersion(trials: DataFrame, metrics: list[str], subject: str = "subject",
     rows = trials.join(means, item)
     return rows.groupBy(item).agg(*[F.when(F.count(m) >= 2, F.avg(F.abs(F.col(m) - F.col(f"_a_{m}")))).alias(m) for m in metrics])
 
-
-__all__ = ["average_rank", "clipped", "dispersion", "one_way_icc", "pooled_pairs", "power_bound", "spearman_brown", "variance_decomposition", "viewer_pairs"]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relisense.functions.columns import div, pearson
+from relisense.functions.columns import pearson
 
 #: Deviation below which a lead counts as flat.
 FLAT_STD = 1e-6
@@ -104,23 +104,17 @@ def beat_interval_std(records: DataFrame, signal: str, fs: str) -> DataFrame:
                 beats.append(int(i))
         return (float(np.std(np.diff(beats) / rate)), False) if len(beats) >= 2 else (0.0, True)
 
+    @F.pandas_udf("rr_std double, fail boolean")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for s, r in batches:
             yield pd.DataFrame([one(a, b) for a, b in zip(s, r, strict=True)], columns=["rr_std", "fail"])
 
-    f = F.pandas_udf("rr_std double, fail boolean")(run_typed(run))
-    return records.withColumn("_rr", f(F.col(signal), F.col(fs).cast("double"))).withColumn("rr_std", F.col("_rr.rr_std")).withColumn("fail", F.col("_rr.fail")).drop("_rr")
-
-
-def run_typed(run):
-    def typed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        return run(batches)
-
-    return typed
+    return records.withColumn("_rr", run(F.col(signal), F.col(fs).cast("double"))).withColumn("rr_std", F.col("_rr.rr_std")).withColumn("fail", F.col("_rr.fail")).drop("_rr")
 
 
 def record_features(records: DataFrame, record: str = "record") -> DataFrame:
     """(record, sigma, ksqi, corr, degenerate): everything the record study needs, to be kept once."""
     s = long_leads(records, record)
-    k, c = kurtosis_sqi(s, record), lead_correlation(s, record)
-    return std_signal(s, record).join(k.withColumnRenamed("degenerate", "_k"), record).join(c.withColumnRenamed("degenerate", "_c"), record).withColumn("degenerate", F.col("_k") | F.col("_c")).drop("_k", "_c").select(record, "sigma", "ksqi", "corr", div("corr", F.lit(1.0)).alias("corr_sqi"), "degenerate").drop("corr_sqi")
+    k = kurtosis_sqi(s, record).withColumnRenamed("degenerate", "_k")
+    c = lead_correlation(s, record).withColumnRenamed("degenerate", "_c")
+    return std_signal(s, record).join(k, record).join(c, record).select(record, "sigma", "ksqi", "corr", (F.col("_k") | F.col("_c")).alias("degenerate"))

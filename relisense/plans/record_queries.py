@@ -8,7 +8,7 @@ from relisense.functions.columns import rounded
 from relisense.functions.keep import keep
 from relisense.operators import classify, models, ranks, waveform
 from relisense.operators.scores import ClassicZ, MinMax, UScore
-from relisense.plans.tables import DAY, corr_sql, graded, records, signal, u_expr, u_sql, with_sql
+from relisense.plans.tables import corr_sql, graded, records, signal, u_expr, u_sql, with_sql
 from relisense.plans.window_queries import _r, _r6, features
 
 
@@ -203,5 +203,3 @@ QUERIES = {
     "histogram": (histogram, with_sql(["sig"], "SELECT bin, count(*) AS n, round(a + (b - a) * bin / 20.0, 4) + 0.0 AS low FROM (SELECT least(19, floor((value - a) / (b - a) * 20.0)::INT) AS bin, a, b FROM sig, (SELECT min(value) AS a, max(value) AS b FROM sig)) GROUP BY bin, a, b")),
     "boxes": (boxes, with_sql(["grd"], f"SELECT label, count(*) AS n, {_r6({'low': 'min(sigma)', 'q1': 'quantile_cont(sigma, 0.25)', 'median': 'median(sigma)', 'q3': 'quantile_cont(sigma, 0.75)', 'high': 'max(sigma)'})} FROM grd GROUP BY label")),
 }
-
-__all__ = ["DAY", "QUERIES"]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relisense.functions.columns import pearson, rounded
+from relisense.functions.columns import row_mean, rounded
 from relisense.functions.keep import keep
+from relisense.functions.quantiles import median, quantiles
 from relisense.operators import conduct, ranks, windows
 from relisense.operators.scores import Monotone, UScore, composite_imputed
 from relisense.plans.tables import AUX, CORE, DAY, corr_sql, mean_sql, ratings, signal, u_expr, u_sql, with_sql
@@ -146,8 +147,6 @@ def window_scores(spark, d):
 def z_variability(spark, d):
     f = features(spark, d)
     m = UScore.fit(f, {c: f"{c}_std" for c in CORE}, cut=False)
-    from relisense.functions.columns import row_mean
-
     return _r(f.withColumn("z_var", row_mean([m[c].z(f"{c}_std") for c in CORE])), ["subject", "win"], ["z_var"])
 
 
@@ -155,9 +154,6 @@ def high_variability_sweep(spark, d):
     """Correlation among the windows at or above each quantile of z_var."""
     f = features(spark, d)
     m = UScore.fit(f, {c: f"{c}_std" for c in CORE}, cut=False)
-    from relisense.functions.columns import row_mean
-    from relisense.functions.quantiles import quantiles
-
     f = f.withColumn("z", row_mean([m[c].z(f"{c}_std") for c in CORE]))
     q = quantiles(f, {str(p): ("z", p) for p in (0.0, 0.25, 0.5, 0.75)})
     parts = F.array_compact(F.array(*[F.when(F.col("z") >= v, F.lit(float(k))) for k, v in q.items()]))
@@ -168,8 +164,6 @@ def high_variability_sweep(spark, d):
 def median_split(spark, d):
     """Mean targets on either side of the median coherence."""
     f = scored(spark, d)
-    from relisense.functions.quantiles import median
-
     m = median(f, "S_coher_1")
     side = F.when(F.col("S_coher_1") >= m, "high").when(F.col("S_coher_1") < m, "low")
     return _r(f.withColumn("side", side).where("side is not null").groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("attention_mean").alias("attention"), F.avg("acc_mean").alias("acc")), ["side", "n"], ["attention", "acc"])
@@ -284,6 +278,10 @@ _LEV = {
     **_spearman_sql("test, kind, excl", "all_"),
     "ful": "SELECT test, n, r FROM cor WHERE kind = 'full'",
 }
+_LEVERAGE = {
+    "rho_full": "any_value(f.r)", "rho_between": "max(c.r) FILTER (kind = 'between')", "rho_within": "max(c.r) FILTER (kind = 'within')", "loso_min": "min(c.r) FILTER (kind = 'loso')",
+    "loso_max": "max(c.r) FILTER (kind = 'loso')", "loso_max_delta": "max(abs(c.r - f.r)) FILTER (kind = 'loso')",
+}
 _WTABLE = [f"{c}_{v}" for c in [*CORE, *AUX] for v in ("mean", "std")]
 _LAG = {"sh": "SELECT *, lag(eda_mean, 1) OVER w AS sp, lead(eda_mean, 1) OVER w AS sm FROM feat WINDOW w AS (PARTITION BY subject ORDER BY win)"}
 for _k, _c in (("m1", "sm"), ("z0", "eda_mean"), ("p1", "sp")):
@@ -313,16 +311,14 @@ QUERIES = {
     "conduct_variants": (conduct_variants, with_sql(["feat"], f"SELECT subject, win, {_r6({'R_attention': 'a', 'R_acc_movement': 'm', 'R_acc_lo': 'lo', 'S_cond_att_acc': mean_sql(['a', 'm']), 'S_cond_att_mono_acc_hi': mean_sql(['am', 'hi']), 'S_cond_combined': mean_sql(['a', 'm'])})} FROM v", _COND | _mono_cte("ma", "feat", "attention_mean") | _mono_cte("mm", "feat", "acc_std") | {"v": f"SELECT subject, win, {u_expr('u_at', 'attention_mean')} AS a, {u_expr('u_mv', 'acc_std')} AS m, {_mono('mm', 'acc_std', -1)} AS lo, {_mono('mm', 'acc_std', 1)} AS hi, {_mono('ma', 'attention_mean', 1)} AS am FROM feat"})),
     "window_scores": (window_scores, with_sql(["feat"], f"SELECT subject, win, {_r6(['S_estab', 'S_coher_1', 'S_coher_5', 'score_3', 'score_2', 'score_3_prev5'])} FROM scored", _SCORED)),
     "z_variability": (z_variability, with_sql(["feat"], f"SELECT subject, win, round({_ZV}, 6) + 0.0 AS z_var FROM feat", _ZL)),
-    "high_variability_sweep": (high_variability_sweep, with_sql(["feat"], "SELECT q AS quantile, n, round(r, 6) + 0.0 AS r FROM cor", _ZL | {"zv": f"SELECT hr_mean, eda_mean, {_ZV} AS z FROM feat", "qs": "SELECT unnest([0.0, 0.25, 0.5, 0.75])::DOUBLE AS q, unnest([quantile_cont(z, 0.0), quantile_cont(z, 0.25), quantile_cont(z, 0.5), quantile_cont(z, 0.75)]) AS t FROM zv", "prs": "SELECT q, hr_mean AS x, eda_mean AS y FROM zv JOIN qs ON z >= t WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL"} | _spearman_sql("q"))),
+    "high_variability_sweep": (high_variability_sweep, with_sql(["feat"], "SELECT q AS quantile, n, round(r, 6) + 0.0 AS r FROM cor WHERE n >= 10", _ZL | {"zv": f"SELECT hr_mean, eda_mean, {_ZV} AS z FROM feat", "qs": "SELECT unnest([0.0, 0.25, 0.5, 0.75])::DOUBLE AS q, unnest([quantile_cont(z, 0.0), quantile_cont(z, 0.25), quantile_cont(z, 0.5), quantile_cont(z, 0.75)]) AS t FROM zv", "prs": "SELECT q, hr_mean AS x, eda_mean AS y FROM zv JOIN qs ON z >= t WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL"} | _spearman_sql("q"))),
     "median_split": (median_split, with_sql(["feat"], "SELECT CASE WHEN S_coher_1 >= m1 THEN 'high' ELSE 'low' END AS side, count(*) AS n, round(avg(attention_mean), 6) + 0.0 AS attention, round(avg(acc_mean), 6) + 0.0 AS acc FROM scored WHERE S_coher_1 IS NOT NULL GROUP BY 1", _SCORED)),
     "component_independence": (component_independence, with_sql(["feat"], f"SELECT test, count(*) AS n, round({corr_sql('x', 'y')}, 6) + 0.0 AS r FROM prs GROUP BY test", _SCORED | {"prs": _pairs_sql({"estab_coher": ("S_estab", "S_coher_1"), "estab_cond": ("S_estab", "S_cond_att_acc"), "coher_cond": ("S_coher_1", "S_cond_att_acc")}, "scored")})),
     "components_vs_targets": (components_vs_targets, with_sql(["feat"], "SELECT test, n, round(r, 6) + 0.0 AS r FROM cor", _SCORED | {"prs": _pairs_sql({f"{m}|{y}": (m, y) for m in ("S_estab", "S_coher_1", "S_coher_5", "S_cond_att_acc", "score_3") for y in TARGETS}, "scored")} | _spearman_sql("test"))),
-    "leverage": (leverage, with_sql(["feat"], f"SELECT f.test AS target, any_value(f.n) AS n, {_r6({'rho_full': 'any_value(f.r)', 'rho_between': chr(109) + 'ax(c.r) FILTER (kind = ' + chr(39) + 'between' + chr(39) + ')', 'rho_within': 'max(c.r) FILTER (kind = ' + chr(39) + 'within' + chr(39) + ')', 'loso_min': 'min(c.r) FILTER (kind = ' + chr(39) + 'loso' + chr(39) + ')', 'loso_max': 'max(c.r) FILTER (kind = ' + chr(39) + 'loso' + chr(39) + ')', 'loso_max_delta': 'max(abs(c.r - f.r)) FILTER (kind = ' + chr(39) + 'loso' + chr(39) + ')'})} FROM ful f JOIN cor c ON f.test = c.test GROUP BY f.test", _LEV)),
+    "leverage": (leverage, with_sql(["feat"], f"SELECT f.test AS target, any_value(f.n) AS n, {_r6(_LEVERAGE)} FROM ful f JOIN cor c ON f.test = c.test GROUP BY f.test", _LEV)),
     "lag_sensitivity": (lag_sensitivity, with_sql(["feat"], "SELECT test, n, round(r, 6) + 0.0 AS r FROM cor", _LAG | _spearman_sql("test"))),
     "cross_correlogram": (cross_correlogram, with_sql(["feat"], "SELECT lag, count(r) AS subjects, round(avg(r), 6) + 0.0 AS mean_r FROM cor WHERE n >= 10 GROUP BY lag", {"ps": "SELECT subject, hr_mean, eda_mean, row_number() OVER (PARTITION BY subject ORDER BY win) AS p FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL", "lg": "SELECT unnest(range(-3, 4)) AS lag", "prs": "SELECT h.subject, lag, h.hr_mean AS x, e.eda_mean AS y FROM ps h CROSS JOIN lg JOIN ps e ON e.subject = h.subject AND h.p = e.p + lag"} | _spearman_sql("subject, lag"))),
     "subject_means": (subject_means, with_sql(["feat"], f"SELECT subject, count(*) AS n, {_r6({c: f'avg({c}_mean)' for c in CORE})} FROM feat GROUP BY subject")),
     "fitted_elsewhere": (fitted_elsewhere, with_sql(["feat"], f"SELECT subject, win, round({u_expr('ref', 'hr_std')}, 6) + 0.0 AS u FROM feat WHERE subject >= 15", {"half": "SELECT * FROM feat WHERE subject < 15"} | u_sql("ref", "half", "hr_std"))),
     "monotone_score": (monotone_score, with_sql(["feat"], f"SELECT subject, win, {_r6({'up': _mono('ma', 'attention_mean', 1), 'down': _mono('ma', 'attention_mean', -1)})} FROM feat", _mono_cte("ma", "feat", "attention_mean"))),
 }
-
-__all__ = ["QUERIES", "cells", "features", "pearson", "scored"]
