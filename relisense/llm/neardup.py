@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relisense.llm.graph import components
-from relisense.llm.shared import shared_folder
+from relisense.llm.shared import in_parts, shared_folder
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 3, 85
 SKETCH, POSTINGS, LIST_MAX, BLOCK = 64, 24, 48, 768
@@ -105,7 +105,7 @@ def _sketches(docs: DataFrame, words_each: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in in_parts(batches):
             sets = [shingle_set(t, words_each, hashes) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "key": [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "n": [len(s) for s in sets], "sketch": [s[:SKETCH] for s in sets]}).astype({"id": "Int64"})
 
@@ -115,7 +115,7 @@ def _sketches(docs: DataFrame, words_each: int) -> DataFrame:
 def _full_sets(docs: DataFrame, words_each: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in in_parts(batches):
             yield pd.DataFrame({"id": batch["id"], "members": [shingle_set(t, words_each, hashes) for t in batch["text"]]})
 
     return docs.mapInPandas(run, "id long, members array<long>")

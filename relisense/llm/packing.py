@@ -19,13 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relisense.llm.shared import in_parts
 from relisense.llm.tokens import WordBpe
 
 SEQ_LEN, END_ID = 4096, 2
 #: Cost of n tokens of one piece: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens that are packed together at most; bounds the memory of a task.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -92,7 +93,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        bpe, next_sequence = WordBpe.load(tokenizer_path), TaskContext.get().partitionId() << 40
+        bpe, next_sequence = WordBpe(tokenizer_path), TaskContext.get().partitionId() << 40
         names: list = []
         texts: list[bytes] = []
         held = 0
@@ -109,7 +110,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: i
             texts.clear()
             return out
 
-        for batch in batches:
+        for batch in in_parts(batches):
             for name, ids in zip(batch["id"].tolist(), bpe.encode(batch["text"].tolist()), strict=True):
                 names.append(None if pd.isna(name) else int(name))
                 texts.append(ids + end)

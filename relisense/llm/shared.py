@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
@@ -29,3 +32,12 @@ def shared_root(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder name under the shared root; nothing is created yet."""
     return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def in_parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The batches of a task in smaller parts, so that what is made of them stays small; at the
+    end Arrow's unused memory goes back to the system, as workers live on for later stages."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.iloc[i : i + rows]
+    pa.default_memory_pool().release_unused()

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import unicodedata
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Words kept by a Python worker; beyond, the cache starts anew (that bounds its memory).
-CACHED_WORDS = 1_500_000
+#: Words and parts of words that one encoder keeps (about 200 bytes each); beyond, a cache
+#: starts anew.
+CACHED_WORDS, CACHED_PIECES = 300_000, 350_000
+
+
+_LATIN = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
 
 
 class WordBpe:
@@ -19,14 +24,6 @@ class WordBpe:
     an added token, go through the whole tokenizer instead.
     """
 
-    _loaded: dict[str, WordBpe] = {}
-
-    @classmethod
-    def load(cls, path: str) -> WordBpe:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
     def __init__(self, path: str):
         import json
         import os
@@ -45,19 +42,30 @@ class WordBpe:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _plain(self, word: str) -> bool:
-        # below U+0250 without the dotted capital I, lower-casing is letter by letter
-        return (word.isascii() or max(word) < "ɐ" and "İ" not in word and unicodedata.is_normalized("NFC", word)) and not any(a in word for a in self.added)
+    def _parts(self, word: str) -> list[str] | None:
+        """The tokenizer's own split of a word; None if that isn't a matter of single letters.
+
+        Below U+0250 without the dotted capital I every letter is normalised and lower-cased
+        on its own.
+        """
+        if not word.isascii() and not _LATIN(word) or "<" in word and any(a in word for a in self.added):
+            return None
+        word = word.lower()
+        return [word] if word.isalpha() else self.split.findall(word)
 
     def _learn(self, new: set[bytes]) -> None:
         cut, odd = {}, []
         for raw in new:
             word = raw.decode("utf-8")
-            if self._plain(word):
-                cut[raw] = self.split.findall(word.lower())
-            else:
+            parts = self._parts(word)
+            if parts is None:
                 odd.append((raw, word))
+            else:
+                cut[raw] = parts
         fresh = list({p for ps in cut.values() for p in ps if p not in self.pieces})
+        if len(self.pieces) + len(fresh) > CACHED_PIECES:
+            self.pieces.clear()
+            fresh = list({p for ps in cut.values() for p in ps})
         if fresh:
             got = self.model.encode(fresh, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(got.ids, dtype="<u4").tobytes()
@@ -65,22 +73,19 @@ class WordBpe:
             self.pieces.update(zip(fresh, (ids[a:b] for a, b in zip([0, *ends], ends)), strict=False))
         get = self.pieces.__getitem__
         for raw, ps in cut.items():
-            self.words[raw] = b"".join(map(get, ps))
+            self.words[raw] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
         for raw, word in odd:
             self.words[raw] = np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        out = []
-        for i in range(0, len(texts), 256):
-            split = [t.encode("utf-8").split() for t in texts[i : i + 256]]
+        for i in range(0, len(texts), 128):
+            split = [t.encode("utf-8").split() for t in texts[i : i + 128]]
             need = set().union(*split)
             if new := need.difference(self.words):
                 if len(self.words) + len(new) > CACHED_WORDS:
                     self.words.clear()
-                    self.pieces.clear()
                     new = need
                 self._learn(new)
             get = self.words.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
-        return out
+            yield from [b"".join(map(get, words)) for words in split]
