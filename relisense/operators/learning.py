@@ -6,6 +6,10 @@ those of other libraries.
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -15,11 +19,14 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relisense.functions.keep import keep
 from relisense.operators.classify import agreement
 
 #: Fixed values of the treatments: least score of the filter, and the shares they keep.
 FILTER_MIN, RATERS_MIN = 0.6, 3
 TREATMENTS = ("base", "filter", "weight", "variance_weight", "random_drop")
+#: Held-out subjects whose models are fitted at a time; a fit on few rows is mostly waiting.
+FITS_AT_ONCE = 6
 
 
 def experiment_rows(features: DataFrame, target: str, score: str, raters: str = "n_valid", variance: str = "var") -> DataFrame:
@@ -47,22 +54,27 @@ def treated(rows: DataFrame, treatment: str, score: str, seed: int = 42) -> Data
 def leave_one_subject_out(rows: DataFrame, inputs: list[str], target: str, score: str, treatments=TREATMENTS, model: str = "forest", trees: int = 200, seed: int = 42) -> DataFrame:
     """(treatment, subject, n, ccc, rmse, mae): a model per held-out subject and treatment.
 
-    The fold loop is on the driver, a distributed fit each; missing inputs are imputed by
-    the training median.
+    The fold loop is on the driver, a distributed fit each, and a subject's predictions are
+    kept so that its models can go; missing inputs are imputed by the training median.
     """
     made = VectorAssembler(inputCols=[f"{c}_i" for c in inputs], outputCol="features")
     fill = Imputer(strategy="median", inputCols=inputs, outputCols=[f"{c}_i" for c in inputs])
-    fit = RandomForestRegressor(labelCol=target, weightCol="weight", numTrees=trees, minInstancesPerNode=5, seed=seed) if model == "forest" else GBTRegressor(labelCol=target, weightCol="weight", maxIter=trees, stepSize=0.05, minInstancesPerNode=20, seed=seed)
-    out = None
-    for s in sorted(r["subject"] for r in rows.select("subject").distinct().collect()):
+
+    def fold(s) -> DataFrame | None:
+        fit = RandomForestRegressor(labelCol=target, weightCol="weight", numTrees=trees, minInstancesPerNode=5, seed=seed) if model == "forest" else GBTRegressor(labelCol=target, weightCol="weight", maxIter=trees, stepSize=0.05, minInstancesPerNode=20, seed=seed)
+        parts = []
         for t in treatments:
             train = treated(rows.where(F.col("subject") != s), t, score, seed)
             if train.isEmpty():
                 continue
             p = Pipeline(stages=[fill, made, fit]).fit(train).transform(rows.where(F.col("subject") == s))
-            part = p.select(F.lit(t).alias("treatment"), "subject", F.col(target).alias("y"), F.col("prediction").alias("x"))
-            out = part if out is None else out.unionByName(part)
-    return agreement(out, ["treatment", "subject"])
+            parts.append(p.select(F.lit(t).alias("treatment"), "subject", F.col(target).alias("y"), F.col("prediction").alias("x")))
+        return keep(reduce(DataFrame.unionByName, parts)) if parts else None
+
+    subjects = sorted(r["subject"] for r in rows.select("subject").distinct().collect())
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        done = [p for p in pool.map(inheritable_thread_target(rows.sparkSession)(fold), subjects, chunksize=1) if p is not None]
+    return agreement(reduce(DataFrame.unionByName, done), ["treatment", "subject"])
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def experiment_rows(spark, d):
 
 
 def loso_treatments(spark, d):
-    f = keep(features(spark, d).where("subject < 3").withColumn("score", F.coalesce(F.col("eda_mean") / (F.col("eda_mean") + 10), F.lit(0.5))).withColumn("w_var", 1 / (1 + F.coalesce("hr_std", F.lit(0.0)))).where("hr_mean is not null"))
-    folds = learning.leave_one_subject_out(f, ["eda_mean", "bvp_mean"], "hr_mean", "score", ("base", "weight", "random_drop"), trees=10)
+    f = keep(features(spark, d).withColumn("score", F.coalesce(F.col("eda_mean") / (F.col("eda_mean") + 10), F.lit(0.5))).withColumn("w_var", 1 / (1 + F.coalesce("hr_std", F.lit(0.0)))).where("hr_mean is not null"))
+    folds = learning.leave_one_subject_out(f, ["eda_mean", "bvp_mean"], "hr_mean", "score")
     return learning.fold_summary(folds).select("treatment", "folds", rounded("ccc_mean").alias("ccc_mean"))
 
 
@@ -35,8 +35,8 @@ def fold_sizes(spark, d):
 def content_model(spark, d):
     """Area under the curve of the quality label, out of fold, from words and one figure."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text", F.col("n_chars").cast("double").alias("chars")), "doc_id").select("doc_id", "text", "chars", F.col("quality").cast("double").alias("label"))
-    f = learning.folds(keep(rows), "doc_id", n=3)
-    p = learning.out_of_fold(f, learning.text_features(terms=500, numeric=["chars"]), "label", classify=True, n=3)
+    f = learning.folds(keep(rows), "doc_id")
+    p = learning.out_of_fold(f, learning.text_features(numeric=["chars"]), "label", classify=True)
     return spark.createDataFrame([(p.count(), round(learning.area_under_curve(p, "label"), 3))], "n long, auc double")
 
 
