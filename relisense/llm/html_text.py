@@ -1,10 +1,13 @@
 """Main text of HTML pages by minimum-cut labelling of their blocks.
 
-A page becomes a list of text blocks. A fixed classifier gives each block the cost of
-calling it content and the cost of calling it boilerplate; these are the capacities to the
-two terminals. Neighbouring blocks and the nearest blocks under the same element are joined
-by smoothness edges whose weight falls with their distance in the tree. The minimum cut
-(by max-flow) is the labelling of least total cost.
+The nodes of a page's graph are its text blocks and the elements around them that their tag
+or attributes mark (``article``, ``nav``, a class such as ``comments``). A block's capacities
+to the two terminals are the costs that a fixed classifier of its text alone gives to calling
+it content or boilerplate; a marked element's are what its marks speak for, for every block
+in it. Smoothness edges join each block to the marked element around it, marked elements to
+each other, and neighbouring blocks, the weaker the farther they lie apart in the tree. The
+minimum cut (by max-flow) is the labelling of least total cost, so a mark is evidence that
+the blocks inside may outweigh, and a short line is judged by what is around it.
 """
 
 from __future__ import annotations
@@ -19,22 +22,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relisense.llm.shared import in_parts
+
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody textarea tfoot thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template iframe noframes noembed xmp object svg math canvas audio video".split())
+#: Their content is no text; the first ones end with the page if they aren't closed, the others count only if they are.
+RAW_TAGS = frozenset("script style xmp iframe noframes noembed".split())
+SKIPPED_TAGS = frozenset("noscript template object svg math canvas audio video".split())
 BOILER_TAGS = frozenset("nav aside footer form menu dialog button select textarea option label head title legend datalist".split())
-#: Words in class, id or role that mark boilerplate.
+#: Elements whose id says what they are for; ids of headings and paragraphs come from their words.
+ID_TAGS = frozenset("div section ul ol dl table header".split())
+#: Words in class, id or role that speak for boilerplate, for content, or for neither.
 BOILER_WORDS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination paywall popup privacy promo promotion promoted recommended related replies reply respond rail share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar warning widget alert complementary contentinfo search".split())
-CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
-#: Costs: of an element that must not be content; of leaving out what lies in the article or the main part.
-SURE, IN_ARTICLE, IN_MAIN = 60.0, 8.0, 5.0
-ADJACENT, SIBLING = 1.5, 1.0
+CONTENT_WORDS = frozenset("article articlebody body content entry main post story".split())
+PLAIN_WORDS = frozenset("area bar block bottom box button col column container form group header inner item items left link links list outer page panel right row section site slot text title top unit wrap wrapper".split())
+#: Evidence of marks, for each block inside. All text evidence of a block is below MARKED.
+MARKED, BY_ID, HIDDEN, ARTICLE, MAIN, CONTENT_CLASS = 8.0, 6.0, 9.0, 3.0, 2.0, 3.0
+#: Evidence against blocks outside of the article, on pages that have one.
+OUTSIDE = 2.5
+#: Edges: of a block and the marked element around it; of content inside boilerplate and of boilerplate inside
+#: content, for each block of the inner element (UNSURE where its mark is a partial one); of neighbouring blocks.
+GOVERNED, CONTENT_INSIDE, BOILER_INSIDE, UNSURE, ADJACENT = 6.0, 8.0, 1.5, 3.0, 1.5
+#: Blocks that are farther apart in the tree have no edge.
+FAR = 12
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSES_P = BLOCK_TAGS - {"button", "option", "optgroup", "select", "textarea", "caption", "legend", "tbody", "thead", "tfoot", "tr", "title", "head", "body", "html"}
 _SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dd dt", ("dl",)), "dd": ("dd dt", ("dl",)), "tr": ("tr", ("table",)), "option": ("option", ("select",))}
+_P_STOPS = ("div", "section", "article", "aside", "nav", "main", "header", "footer", "form", "body", "li", "blockquote", "table", "button")
+_SLASH_P_STOPS = ("div", "section", "article", "body", "li", "td")
 
 
 @dataclass(slots=True)
@@ -42,9 +60,13 @@ class Element:
     tag: str
     up: Element | None
     depth: int
-    boiler: bool
+    #: Evidence for each block inside that it is content, and that it is boilerplate.
+    content: float
+    boiler: float
     article: bool
     main: bool
+    #: The nearest marked element, this one included.
+    mark: Element | None = None
 
 
 @dataclass(slots=True)
@@ -55,29 +77,73 @@ class Block:
     text: str = ""
 
 
+def _named(value: str) -> tuple[float, float]:
+    """Shares of the telling names in a class or id that speak for content and for boilerplate.
+
+    A name of several words speaks for boilerplate as far as those of its words do that
+    say anything at all; next to names for content it counts for less.
+    """
+    content, boiler, telling = 0.0, 0.0, 0
+    for name in value.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if bad := len(words & BOILER_WORDS):
+            boiler += bad / (bad + len(words - BOILER_WORDS - CONTENT_WORDS - PLAIN_WORDS))
+            telling += 1
+        elif not words.isdisjoint(CONTENT_WORDS):
+            content += 1
+            telling += 1
+    content, boiler = content / max(telling, 1), boiler / max(telling, 1)
+    return content, boiler * (1 - content)
+
+
 def _element(tag: str, attrs: str, up: Element | None) -> Element:
-    boiler = bool(up and up.boiler)
     article = bool(up and up.article)
-    main = bool(up and up.main)
-    named = tag not in ("html", "body", "article", "main")
-    boiler |= tag in BOILER_TAGS or tag == "header" and not article
-    if attrs and named:
+    content = ARTICLE if tag == "article" else MAIN if tag == "main" else 0.0
+    boiler = MARKED if tag in BOILER_TAGS or tag == "header" and not article else 0.0
+    if attrs and tag not in ("html", "body"):
         for k, v in _ATTR.findall(attrs):
             k, v = k.lower(), v.strip("\"'")
-            if k in ("class", "id", "role"):
-                words = {w.lower() for w in _WORD.findall(v)}
-                boiler |= not words.isdisjoint(BOILER_WORDS)
-                main |= not words.isdisjoint(CONTENT_WORDS)
-            else:
-                boiler |= k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and "display:none" in v.replace(" ", "").lower()
-    return Element(tag, up, up.depth + 1 if up else 0, boiler, article or tag == "article", main or tag == "main")
+            if k in ("class", "role") or k == "id" and tag in ID_TAGS:
+                good, bad = _named(v)
+                content = max(content, CONTENT_CLASS * good)
+                boiler = max(boiler, (BY_ID if k == "id" else MARKED) * bad)
+            elif k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and "display:none" in v.replace(" ", "").lower():
+                boiler = HIDDEN
+    made = Element(tag, up, up.depth + 1 if up else 0, content, boiler, article or tag == "article", bool(up and up.main) or content > 0)
+    made.mark = made if content or boiler else up.mark if up else None
+    return made
+
+
+class _Open:
+    """The open elements, with their places by name, so that closing one never walks the tree."""
+
+    def __init__(self):
+        self.path = [Element("", None, 0, 0.0, 0.0, False, False)]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def here(self) -> Element:
+        return self.path[-1]
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.path))
+        self.path.append(e)
+
+    def close(self, names: tuple[str, ...], stop: tuple[str, ...] = ()) -> None:
+        """Leaves the nearest open element of these names, unless a stop lies nearer."""
+        nearest = lambda tags: max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+        if (at := nearest(names)) and at > nearest(stop):
+            for e in reversed(self.path[at:]):
+                self.places[e.tag].pop()
+            del self.path[at:]
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, with white space folded and character references decoded."""
-    here = Element("", None, 0, False, False, False)
+    tree = _Open()
     out: list[Block] = []
     block: Block | None = None
+    around: Block | None = None  # the block that a marked inline element interrupts
     links = 0
 
     def text(raw: str) -> None:
@@ -87,7 +153,7 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if raw.isspace():
                 return
-            block = Block(here)
+            block = Block(tree.here)
         if "&" in raw:
             raw = html.unescape(raw)
         block.parts.append(raw)
@@ -95,22 +161,13 @@ def blocks_of(page: str) -> list[Block]:
             block.linked += len(raw)
 
     def end() -> None:
-        nonlocal block
-        if block is not None:
-            block.text = " ".join("".join(block.parts).split())
-            if block.text:
-                out.append(block)
-            block = None
-
-    def close(names: tuple[str, ...] | str, stop: tuple[str, ...] = ()) -> None:
-        """Leaves the nearest open element of these names, if it is above no stop."""
-        nonlocal here
-        e = here
-        while e.up is not None and e.tag not in stop:
-            if e.tag in names:
-                here = e.up
-                return
-            e = e.up
+        nonlocal block, around
+        for b in (around, block):
+            if b is not None:
+                b.text = " ".join("".join(b.parts).split())
+                if b.text:
+                    out.append(b)
+        block = around = None
 
     at = 0
     while m := _TAG.search(page, at):
@@ -120,10 +177,10 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None or not (m[4] or m[8]):  # a comment, or cut off by the end of the page
             continue
         tag, attrs, closing = tag.lower(), m[3] or m[7] or "", m[1] or m[5]
-        if not closing and tag in RAW_TAGS:
+        if not closing and (tag in RAW_TAGS or tag in SKIPPED_TAGS):
             if not attrs.endswith("/"):
                 stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+                at = stop.end() if stop else len(page) if tag in RAW_TAGS else at
             continue
         if tag in ("td", "th", "br", "wbr", "img"):
             if tag != "wbr" and block is not None:
@@ -134,50 +191,51 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             end()
             if closing:
-                close((tag,), () if tag != "p" else ("div", "section", "article", "body", "li", "td"))
+                tree.close((tag,), _SLASH_P_STOPS if tag == "p" else ())
                 continue
             if tag in _CLOSES_P:
-                close(("p",), ("div", "section", "article", "aside", "nav", "main", "header", "footer", "form", "body", "li", "blockquote", "table", "button"))
+                tree.close(("p",), _P_STOPS)
             if tag in _SELF_CLOSING:
                 names, stop = _SELF_CLOSING[tag]
-                close(tuple(names.split()), stop)
+                tree.close(tuple(names.split()), stop)
             if tag not in VOID_TAGS:
-                here = _element(tag, attrs, here)
-        elif not closing and tag not in VOID_TAGS and attrs:
-            made = _element(tag, attrs, here)
-            if made.boiler and not here.boiler:  # an inline element that is marked: a block of its own
-                end()
-                here = made
-        elif closing and here.tag == tag:
-            end()
-            here = here.up
-        elif not closing and tag in BOILER_TAGS:
-            end()
-            here = _element(tag, attrs, here)
+                tree.push(_element(tag, attrs, tree.here))
+        elif closing:
+            if tree.here.tag == tag:  # of a marked inline element: what it interrupted goes on
+                inner, block = block, None
+                resumed, around = around, None
+                if inner is not None:
+                    block = inner
+                    end()
+                block = resumed
+                tree.close((tag,))
+        elif tag not in VOID_TAGS and (attrs or tag in BOILER_TAGS):
+            made = _element(tag, attrs, tree.here)
+            if made.boiler >= MARKED:  # a block of its own
+                if around is None:
+                    block, around = None, block
+                else:
+                    end()
+                tree.push(made)
     text(page[at:])
     end()
     return out
 
 
 def costs(b: Block) -> tuple[float, float]:
-    """(cost of calling it content, cost of calling it boilerplate)."""
-    e, n = b.element, len(b.text)
+    """(cost of calling it content, cost of calling it boilerplate), from the block's text and own tag."""
+    n = len(b.text)
     density = min(1.0, b.linked / n)
     marks = sum(b.text.count(c) for c in ".,;:!?")
-    content = 0.6 + 6.0 * density * density + (1.2 if n < 25 and not marks else 0.0)
-    boiler = min(n / 60, 4.0) * (1 - density) + min(marks, 4) * 0.4 + (1.5 if e.tag in ("p", "blockquote", "pre") else 0.0) + (1.0 if e.tag in ("h1", "h2", "h3") else 0.0)
-    if e.boiler:
-        content += SURE
-    elif e.article:
-        boiler += IN_ARTICLE
-    elif e.main:
-        boiler += IN_MAIN
-    return content, boiler
+    content = 0.5 + 4.0 * density * density + (1.2 if n < 25 and not marks else 0.6 if n < 25 else 0.0)
+    own = 0.7 if b.element.tag in ("p", "blockquote", "pre") else 0.5 if b.element.tag in ("h1", "h2", "h3") else 0.0
+    return content, 3.0 * (1 - 2.0 ** (-n / 40)) * (1 - density) + min(marks, 4) * 0.2 + own
 
 
 def tree_distance(a: Element, b: Element) -> int:
+    """Steps between two elements; FAR if they are that far apart or more."""
     n = 0
-    while a is not b:
+    while a is not b and n < FAR:
         if a.depth >= b.depth:
             a = a.up
         else:
@@ -186,10 +244,11 @@ def tree_distance(a: Element, b: Element) -> int:
     return n
 
 
-def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float, float]]) -> list[bool]:
     """True for nodes on the source's side of a minimum cut (Dinic's algorithm).
 
-    source[i] and sink[i]: capacities to the terminals; edges: capacity in both directions.
+    source[i] and sink[i]: capacities to the terminals; edges: capacity from the first node to
+    the second (cut where only the first is on the source's side), and back.
     Among minimum cuts the source's side is the smallest.
     """
     n = len(source)
@@ -210,8 +269,8 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
             arc(s, i, source[i] - both, 0.0)
         elif sink[i] > both:
             arc(i, t, sink[i] - both, 0.0)
-    for a, b, c in edges:
-        arc(a, b, c, c)
+    for a, b, c, back in edges:
+        arc(a, b, c, back)
     while True:
         level = [-1] * (n + 2)
         level[s], queue = 0, deque([s])
@@ -251,24 +310,54 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 nxt[a] += 1
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by a line feed; empty for null, empty or text-free pages."""
-    if not page:
-        return ""
-    blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    content, boiler = zip(*map(costs, blocks), strict=True)
-    edges, last = [], {}
+def graph(blocks: list[Block]) -> tuple[list[float], list[float], list[tuple[int, int, float, float]]]:
+    """(costs of content, costs of boilerplate, edges) of the blocks, then of the marked elements around them."""
+    content, boiler = map(list, zip(*map(costs, blocks), strict=True))
+    inside = [b.element.article or b.element.main for b in blocks]
+    if any(inside):
+        content = [c + OUTSIDE * (not i) for c, i in zip(content, inside, strict=True)]
+    edges = []
+    for i in range(1, len(blocks)):
+        if (far := tree_distance(blocks[i - 1].element, blocks[i].element)) < FAR:
+            edges.append((i - 1, i, ADJACENT / (1 + far), ADJACENT / (1 + far)))
+    marks: dict[int, int] = {}  # node of each marked element
+    elements: list[Element] = []
+    for b in blocks:
+        e = b.element.mark
+        while e is not None and id(e) not in marks:
+            marks[id(e)] = len(blocks) + len(elements)
+            elements.append(e)
+            e = e.up.mark if e.up else None
+    held = [0] * len(elements)  # blocks inside
     for i, b in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, ADJACENT / (1 + tree_distance(blocks[i - 1].element, b.element))))
-        parent = id(b.element.up)
-        if (j := last.get(parent, i - 1)) < i - 1:
-            edges.append((j, i, SIBLING / (1 + tree_distance(blocks[j].element, b.element))))
-        last[parent] = i
+        if b.element.mark is not None:
+            k = marks[id(b.element.mark)]
+            held[k - len(blocks)] += 1
+            edges.append((k, i, GOVERNED, GOVERNED))
+    for e in sorted(elements, key=lambda e: -e.depth):  # inner ones first
+        k, outer = marks[id(e)], e.up.mark if e.up else None
+        if outer is not None:
+            n = held[k - len(blocks)]
+            held[marks[id(outer)] - len(blocks)] += n
+            edges.append((marks[id(outer)], k, n * (UNSURE if 0 < e.boiler < BY_ID else BOILER_INSIDE), n * CONTENT_INSIDE))
+    content += [e.boiler * n for e, n in zip(elements, held, strict=True)]
+    boiler += [e.content * n for e, n in zip(elements, held, strict=True)]
+    return content, boiler, edges
+
+
+def labelled(page: str | None) -> tuple[list[Block], list[bool]]:
+    """The blocks of a page, and which of them are content."""
+    blocks = blocks_of(page) if page else []
+    if not blocks:
+        return [], []
+    content, boiler, edges = graph(blocks)
     # on the source's side: content; cutting an arc from the source costs what boilerplate costs
-    keep = min_cut(list(boiler), list(content), edges)
+    return blocks, min_cut(boiler, content, edges)[: len(blocks)]
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, joined by a line feed; empty for null, empty or text-free pages."""
+    blocks, keep = labelled(page)
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
@@ -277,9 +366,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     beside the three named are not read; an empty table gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = [main_text(x) for x in batch.pop("html")]
-            yield batch.assign(id=batch["id"].astype("Int64"), text=text, n_chars=[len(t) for t in text])
+        for batch in in_parts(batches):
+            text = [main_text(x) for x in batch["html"]]
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInPandas(run, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from relisense.llm import langid, warc
-from relisense.llm.html_text import extract, main_text, min_cut
+from relisense.llm.html_text import extract, graph, labelled, main_text, min_cut
 from relisense.llm.shared import shared_folder
 from relisense.llm.token_counts import UnigramCounter, token_counts, vocabulary
 
@@ -31,14 +32,71 @@ def test_main_text():
     assert main_text(plain).count("\n") == 2 and "Home" not in main_text(plain)
 
 
+LONG = "This is a long sentence, with commas and so on, that goes on for quite a while. And another one follows it here."
+
+
+def test_marks_are_evidence():
+    """Article text that a tag, an id or one word of a class alone would have thrown out."""
+    kept = [
+        f'<article><h1>T</h1><h2 id="privacy">ZZZ</h2><p>{LONG}</p></article>', f'<article><p>{LONG}</p><p id="warning-signs">ZZZ look.</p></article>',
+        f'<article><p>{LONG}</p><section class="notice-board"><p>{LONG}</p><p>ZZZ.</p></section></article>', f'<nav><a href=x>H</a></nav><article class="article related"><p>{LONG}</p><p>ZZZ.</p></article>',
+        f'<nav><a href=x>H</a></nav><div class="story search-result"><p>{LONG}</p><p>ZZZ.</p></div>', f"<article><canvas id=c><p>{LONG}</p><svg><p>ZZZ</p></article>", "<article><p>ZZZ</p></article>",
+        '<article><p>Hello <span class="ad">Buy!</span> ZZZ</p></article>',
+    ]
+    for page in kept:
+        assert "ZZZ" in main_text(page), page
+    assert main_text(kept[-1]) == "Hello ZZZ"
+    article = f"<article><p>{LONG}</p>%s</article>%s"
+    inside = ['<aside><p>ZZZ {0} {0}</p></aside>', '<div class="comments"><p>ZZZ {0}</p><p>ZZZ</p></div>', '<div class="cookie-notice">ZZZ We use cookies.</div>', "<form><label>ZZZ</label><p>ZZZ {0}</p></form>", "<div hidden><p>ZZZ {0}</p></div>", '<div class="newsletter-signup"><p>ZZZ {0}</p></div>']
+    outside = ['<section id="comments"><article class="comment"><p>ZZZ {0} {0}</p></article></section>', "<aside><article><h3>ZZZ</h3><p>ZZZ {0} {0}</p></article></aside>", '<div id="sidebar"><p>ZZZ {0}</p></div>', '<footer><p>ZZZ {0}</p></footer>']
+    for page in [article % (x.format(LONG), "") for x in inside] + [article % ("", x.format(LONG)) for x in outside]:
+        assert main_text(page) == LONG, page
+
+
+def cost(side, content, boiler, edges):
+    return sum(content[i] if x else boiler[i] for i, x in enumerate(side)) + sum(c if side[a] and not side[b] else back if side[b] and not side[a] else 0 for a, b, c, back in edges)
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(0)
     for _ in range(60):
         n = rng.randint(1, 6)
         a, b = ([rng.randint(0, 9) / 2 for _ in range(n)] for _ in "ab")
-        edges = [(i, j, rng.randint(0, 6) / 2) for i in range(n) for j in range(i) if rng.random() < 0.6]
-        cost = lambda side: sum(b[i] if side[i] else a[i] for i in range(n)) + sum(c for i, j, c in edges if side[i] != side[j])  # noqa: B023, E731
-        assert cost(min_cut(a, b, edges)) == pytest.approx(min(map(cost, itertools.product([True, False], repeat=n))))
+        edges = [(i, j, rng.randint(0, 6) / 2, rng.randint(0, 6) / 2) for i in range(n) for j in range(i) if rng.random() < 0.6]
+        sides = itertools.product([True, False], repeat=n)
+        assert cost(min_cut(a, b, edges), b, a, edges) == pytest.approx(min(cost(s, b, a, edges) for s in sides))
+
+
+def test_labels_are_the_best_of_all():
+    """Whole pages against every labelling of their graph; the edges decide some labels."""
+    rng, turned = random.Random(4), 0
+    tags = [("article", ""), ("div", ""), ("div", ' class="comments"'), ("aside", ""), ("div", ' id="menu"'), ("section", ' class="notice-board"'), ("div", ' class="post widget"')]
+    for _ in range(60):
+        page, open_ = "", []
+        for _ in range(rng.randint(2, 9)):
+            if rng.random() < 0.4 and len(open_) < 3:
+                tag, attrs = rng.choice(tags)
+                page += f"<{tag}{attrs}>"
+                open_.append(tag)
+            elif open_ and rng.random() < 0.3:
+                page += f"</{open_.pop()}>"
+            else:
+                page += rng.choice([f"<p>{LONG}</p>", "<p>Yes.</p>", '<p><a href="x">More</a></p>', "<h2>Part</h2>", f"<div>{LONG[:60]}</div>"])
+        blocks, keep = labelled(page)
+        if not blocks:
+            continue
+        content, boiler, edges = graph(blocks)
+        best = min(itertools.product([True, False], repeat=len(content)), key=lambda s: (round(cost(s, content, boiler, edges), 9), sum(s)))
+        assert tuple(keep) == best[: len(blocks)], page
+        turned += sum((c < b) != k for c, b, k in zip(content, boiler, keep, strict=False))
+    assert turned > 20
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "</section>" * 20000 + "x", "<p>a<div>b" * 20000, "<ul>" + "<li>item one" * 20000, "<div class=ad><p>x y z</p>" * 10000, f"<article>{'<p>' + LONG + '</p>'}" * 2000])
+def test_long_pages_take_linear_time(page):
+    began = time.process_time()
+    text = main_text(page)
+    assert time.process_time() - began < 8 and len(text) < len(page)
 
 
 def test_extract_rows(spark):
