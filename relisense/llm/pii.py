@@ -63,6 +63,23 @@ class Kind:
     context: str
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BI=27, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DJ=27, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FK=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HN=28, HR=21, HU=28, IE=22, IL=23, IQ=23,
+    IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MN=20, MR=27, MT=31, MU=30, NI=28, NL=18, NO=15, OM=23, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, RU=33, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27,
+    SO=23, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20, YE=30,
+)
+
+
+def _iban() -> str:
+    """Each country's code, two digits and as many more characters as its numbers have, single spaces between them."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    each = "|".join(rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items()))
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{each})(?![A-Za-z0-9])"
+
+
 def _run(of: str) -> str:
     return rf"(?:(?<!{of})|\G){of}++"
 
@@ -72,7 +89,7 @@ KINDS = (
     Kind("ip", _run("[0-9]") + r"(?:\.[0-9]++){3}", ".", _octets, 0.6, r"\bip\b|host|server|address|adresse|direcci"),
     Kind("card", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++", "", _card, 0.8, r"card|visa|credit|carte|karte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", _count_between(9, 15), 0.6, r"phone|tel|call|mobile|fon|llama"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", "", _mod97, 0.8, r"iban|bank|konto|cuenta|compte"),
+    Kind("iban", _iban(), "", _mod97, 0.8, r"iban|bank|konto|cuenta|compte"),
     Kind("local_phone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z.-])", "", _count_between(8, 12), 0.3, r"\b(?:tele)?phone|\btel\b|\bcall\b|\bmobile\b|telefon|tel[eé]fono|t[eé]l[eé]phone"),
 )
 NONE = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
@@ -97,19 +114,30 @@ def _spans(kind: Kind, text: str) -> Column:
     return F.when(needs & F.col(text).rlike(kind.pattern), F.aggregate(checked, first, step, lambda a: a["out"])).otherwise(F.array().cast(NONE))
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs with two more columns: ``_text`` (null: empty) and ``_spans``.
-
-    ``_spans`` is array<struct<kind, start, end, score>>, by kind in the order of KINDS, then
-    by start. Rows, repeated ones too, keep all their columns; clashing names are replaced.
-    """
-    out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """(_row, _text, _spans): the rows of docs as structs, so that no column of theirs can clash."""
+    out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # most texts hold neither a digit nor an @: they skip every pattern
     out = out.withColumn("_any", F.col("_text").rlike("[0-9@]"))
     none = F.array().cast(NONE)
     return out.withColumn("_spans", F.when(F.col("_any"), F.concat(*[_spans(k, "_text") for k in KINDS])).otherwise(none)).drop("_any")
 
 
+def _own(name: str) -> Column:
+    return F.col(f"_row.`{name}`")
+
+
+def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "_spans") -> DataFrame:
+    """The rows of docs with one more column, array<struct<kind, start, end, score>>.
+
+    Spans are listed by kind in the order of KINDS, then by start. A null or empty text has
+    none; texts are searched whole, whatever their length. Rows, repeated ones too, keep all
+    their columns; only a column that is itself called ``spans_col`` is replaced. An IBAN is
+    found if its country is one of IBAN_LENGTHS. An empty table gives no rows.
+    """
+    return _found(docs, text_col).select(*[_own(c).alias(c) for c in docs.columns if c != spans_col], F.col("_spans").alias(spans_col))
+
+
 def _line(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -117,9 +145,11 @@ def _line(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one.
 
-    A null text stays null. A column ``n_chars``, if there is one, is set to the new length.
+    A null text stays null, one without spans as it is. A column ``n_chars``, if there is one,
+    is set to the new length where spans were replaced. Rows, repeated ones too, and all other
+    columns, whatever their names, stay; an empty table gives no rows.
     """
-    found = find_pii(docs, text_col)
+    found = _found(docs, text_col)
     by_place = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def put(a: Column, s: Column) -> Column:
@@ -129,10 +159,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     begin = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("text"))
     new = F.aggregate(by_place, begin, put, lambda a: F.concat(a["text"], F.substring(F.col("_text"), a["pos"].cast("int") + 1, F.length("_text"))))
-    out = found.withColumn(text_col, F.when(F.size("_spans") > 0, new).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    new = F.when(F.size("_spans") > 0, new).otherwise(_own(text_col))
+    out = found.select("_row", "_spans", new.alias("_new"))
+    length = F.when(F.size("_spans") > 0, F.length("_new").cast("long"))
+    made = lambda c: F.col("_new") if c == text_col else F.coalesce(length, _own(c)) if c == "n_chars" else _own(c)
+    return out.select(*[made(c).alias(c) for c in docs.columns])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

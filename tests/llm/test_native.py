@@ -61,6 +61,21 @@ def test_redaction_keeps_columns(odd, spark):
     assert redact(spark.createDataFrame([(1, None, 0)], "doc_id long, text string, n_chars long")).first()["text"] is None
 
 
+def test_iban_ends_where_its_country_says(spark):
+    texts = ["IBAN BE68 5390 0754 7034 BIC KREDBEBB", "BE68 5390 0754 7034 2024", "DE89370400440532013000 X", "BE68539007547035", "ZZ68 5390 0754 7034", "NO93 8601 1117 947"]
+    found = find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", F.filter("_spans", lambda s: s["kind"] == "iban").alias("s")).collect()
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["s"]] for r in found}
+    assert got == {0: ["BE68 5390 0754 7034"], 1: ["BE68 5390 0754 7034"], 2: ["DE89370400440532013000"], 3: [], 4: [], 5: ["NO93 8601 1117 947"]}
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "me@x.org", "own text", "own spans", "any", "r", "dotted")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, _spans string, _any string, _row string, `a.b` string")
+    assert redact(docs).first() == (1, "[EMAIL]", *rows[0][2:]) and redact(docs).columns == docs.columns
+    found = find_pii(docs, spans_col="found")
+    assert found.drop("found").first() == rows[0] and len(found.first()["found"]) == 1
+
+
 def test_leaks_tolerate_substitutions(spark, odd, none):
     rng = random.Random(3)
     item = prose(rng, 40)
