@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from relisense.llm.decontaminate import leaks
 from relisense.llm.pii import BASE_KINDS, _line, find_pii, redact
-from relisense.llm.quality import judge
+from relisense.llm.quality import BAD_HIGH, BUCKETS, SMOOTHING, TRUSTED_LOW, judge, with_base, with_words
 
 from .conftest import prose
 
@@ -122,6 +122,60 @@ def test_repeats(spark, no_labels):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base_figures(texts[r["doc_id"]])
 
 
+def test_repeats_are_exact_when_hashes_collide(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 2, 3, 5, 20, 60, 300)] + [prose(rng, 200)]
+    rows = with_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for mask in (0, 3, -1):
+        for r in with_base(rows, mask).collect():
+            assert r["n_repeat_words"] == base_figures(texts[r["doc_id"]])[4]
+
+
+def verdicts(rows, labels):
+    """Scores and verdicts from the definition, with the same hashes."""
+    import struct
+
+    import numpy as np
+    from xxhash import xxh64_intdigest as hashed
+
+    signed = lambda x: struct.pack("<Q", x)
+
+    def buckets(text):
+        h = [hashed(w.encode(), 42) for w in WORD.findall(text or "")]
+        number = lambda x: (x - (1 << 64) if x >> 63 else x) % BUCKETS
+        return [number(x) for x in h] + [number(hashed(signed(b), hashed(signed(a), 42))) for a, b in zip(h, h[1:], strict=False)]
+
+    grams = {i: buckets(t) for i, t in rows}
+    good = {i for i, q, t in labels if q == 1 and not t}
+    n = {True: Counter(), False: Counter()}
+    for i, g in grams.items():
+        n[False].update(g)
+        n[True].update(g if i in good else [])
+    part = lambda side, b: np.log((n[side][b] + SMOOTHING) / (sum(n[side].values()) + SMOOTHING * BUCKETS))
+    ratio = {b: part(True, b) - part(False, b) for b in n[False]}
+    score = {i: sum(ratio[b] for b in g) / len(g) if g else 0.0 for i, g in grams.items()}
+    failed = {i: base_figures(t)[5] for i, t in rows}
+    low = np.quantile([score[i] for i in good if not failed[i]], TRUSTED_LOW)
+    high = np.quantile([score[i] for i, q, _ in labels if q == 0 and not failed[i]], BAD_HIGH)
+    return {i: (score[i], not failed[i] and score[i] >= (low + high) / 2) for i, _ in rows}
+
+
+def test_verdict_equals_brute_force(spark):
+    """Tied scores (equal texts) get one verdict, on whichever side of the threshold they fall."""
+    rng = random.Random(21)
+    clean = [prose(rng, rng.randint(55, 90)) for _ in range(60)]
+    mixed = [" ".join(w if rng.random() < 0.6 else w + "@@" for w in prose(rng, 70).split()) for _ in range(40)]
+    rows = list(enumerate([*clean, *mixed, mixed[0], clean[0], None, "", prose(rng, 10)]))
+    labels = [(i, 1, 0) for i in range(0, 60, 2)] + [(i, 0, 0) for i in range(60, 100, 2)] + [(1, 1, 1)]
+    out = judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    expected = verdicts(rows, labels)
+    for r in out:
+        score, kept = expected[r["doc_id"]]
+        assert r["score"] == pytest.approx(score, abs=1e-9) and r["kept"] == kept
+    kept = {r["doc_id"]: r["kept"] for r in out}
+    assert kept[100] == kept[60] and kept[101] == kept[0] and 0 < sum(kept.values()) < len(rows) - 5
+
+
 def test_verdict_separates_junk(spark):
     rng = random.Random(4)
     clean = [(i, prose(rng, 150)) for i in range(120)]
