@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relisense.llm.shared import shared_root
+from relisense.llm.shared import join_hot, shared_root
 
 #: Rounds at most; the method needs about the logarithm of the longest path.
 ROUNDS_MAX = 60
@@ -16,8 +16,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star rounds: each node links its larger, then its
     smaller neighbours to the least one it knows, until no edge changes. Minima are found
-    by partial aggregation, so a hub's neighbours never meet in one group; each round ends
-    in a checkpoint, so a lost executor costs one round. Nulls and loops are left out.
+    by partial aggregation and reach a hub's neighbours by a broadcast of the few hubs, so
+    these never meet in one group or task; each round ends in a checkpoint, so a lost executor costs one round. Nulls and loops are left out.
     """
     shared_root(edges.sparkSession)
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
@@ -25,10 +25,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     for _ in range(ROUNDS_MAX):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        hung = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("larger")).checkpoint()
+        e = join_hot(both.where("v > u"), least, "u", "larger").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges")).checkpoint()
+        hung = join_hot(e, least, "u", "edges").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
         new = e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))), F.lit(0))).first()
         if new == state:

@@ -2,8 +2,9 @@
 
 Letter trigrams (hashed) give each language a multinomial. A document is a mixture of
 languages; expectation-maximisation estimates the proportions from its trigram counts.
-Of the nested sets of languages by proportion, the one with the best penalised likelihood
-is selected, and the language with the largest share in it is the prediction.
+Of the nested sets of languages by proportion (up to all of them), the one with the best
+penalised likelihood is selected, and the language with the largest share in it is the
+prediction.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ BUCKETS = 1 << 15
 TRAIN_PER_LANGUAGE = 3000
 SMOOTHING = 0.1
 EM_STEPS = 12
-MAX_LANGUAGES = 3
 #: Cost of one more language: this many times the logarithm of the number of trigrams.
 PENALTY = 3.0
 UNDETERMINED = "und"
@@ -87,9 +87,7 @@ class LanguageModel:
         share, _ = self.mixture(p, n, list(range(len(self.languages))))
         order = np.argsort(-share, kind="stable").tolist()
         best = None
-        for k in range(1, min(MAX_LANGUAGES, len(order)) + 1):
-            if k > 1 and share[order[k - 1]] < 0.02:
-                break
+        for k in range(1, len(order) + 1):
             own, fit = self.mixture(p, n, order[:k])
             fit -= PENALTY * (k - 1) * np.log(len(b) + 1)
             if best is None or fit > best[0]:

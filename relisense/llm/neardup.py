@@ -8,8 +8,10 @@ them. Documents with equal sets form a class, and only classes are compared.
    with enough overlap and fitting sizes are estimated from the union of their sketches.
 2. A class with few rare values (a member of a large group of copies, or text made of
    passages that many share) also posts some of its smallest common values. These
-   lists may be of any length, so they are dealt out in pairs of blocks of bounded size, and
-   a task emits no more than a spanning forest of the links in its two blocks.
+   lists may be of any length. They are dealt into blocks of bounded size, and a task emits
+   no more than a spanning forest of the links in its block; since each value deals anew,
+   a group of copies comes together in this one pass. Only classes that are not in a list's
+   largest component yet are then held against the list's other blocks, where sizes fit.
 3. All links rest on the exact Jaccard similarity of the full sets.
 
 How a link could be missed: at the least similarity s, each of the smallest values of the
@@ -28,14 +30,16 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relisense.llm.graph import components
-from relisense.llm.shared import in_parts, shared_folder
+from relisense.llm.shared import in_parts, join_hot, shared_folder
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 3, 85
 SKETCH, POSTINGS, LIST_MAX, BLOCK = 64, 24, 48, 768
+#: Below, two linked sets could share too few values for the guarantees above.
+PERCENT_MIN = 75
 #: Up to so many ids (24 bytes each) the texts to compare are picked by a broadcast; beyond,
 #: ids and texts are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -84,6 +88,10 @@ class Limits:
 
     percent: int
 
+    def __post_init__(self):
+        if not PERCENT_MIN <= self.percent <= 100:
+            raise ValueError(f"the least similarity is {PERCENT_MIN} to 100 percent, not {self.percent}")
+
     @property
     def rare_share(self) -> float:
         """A class with a smaller share of rare values in its sketch takes part in step 2."""
@@ -92,7 +100,11 @@ class Limits:
     @property
     def common_postings(self) -> int:
         common = 1 - (1 - self.percent / 100) / (1 - self.rare_share)  # of the common values of two linked classes in step 2
-        return math.ceil(16 / -math.log(1 - common))
+        return math.ceil(16 / -math.log(1 - common)) if common < 1 else 1
+
+    def size_class(self, n: str) -> Column:
+        """Sizes of two linked sets are in the same class or in neighbouring ones."""
+        return F.floor(F.log(n) / (-math.log(self.percent / 100) * (1 + 1e-9) or math.log(2))).cast("int")
 
     @property
     def estimate_min(self) -> float:
@@ -107,16 +119,18 @@ def _sketches(docs: DataFrame, words_each: int) -> DataFrame:
         hashes = _WordHashes()
         for batch in in_parts(batches):
             sets = [shingle_set(t, words_each, hashes) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "key": [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "n": [len(s) for s in sets], "sketch": [s[:SKETCH] for s in sets]}).astype({"id": "Int64"})
+            yield pd.DataFrame({"id": batch["id"], "text_hash": batch["text_hash"], "key": [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "n": [len(s) for s in sets], "sketch": [s[:SKETCH] for s in sets]}).astype({"id": "Int64"})
 
-    return docs.mapInPandas(run, "id long, key binary, n long, sketch array<long>")
+    return docs.mapInPandas(run, "id long, text_hash long, key binary, n long, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, words_each: int) -> DataFrame:
+    """(id, members) from (node, text)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in in_parts(batches):
-            yield pd.DataFrame({"id": batch["id"], "members": [shingle_set(t, words_each, hashes) for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["node"], "members": [shingle_set(t, words_each, hashes) for t in batch["text"]]})
 
     return docs.mapInPandas(run, "id long, members array<long>")
 
@@ -160,13 +174,19 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int = SIMILAR_
     return out
 
 
+def text_hash(text: str = "text") -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, kept.
+    """One row per row of docs: id, text_hash, n_shingles, component_id, kept.
 
     component_id is the smallest id that links reach, the row's own included; kept is true
     where it is the row's own. Null and wordless texts have the empty set and no link. Rows
-    without id have no component and are not kept; repeated rows share a component. Other
-    columns are not read. An empty table gives no rows.
+    without id have no component and are not kept; repeated rows share a component, and
+    different texts under one id are compared each on its own. Long texts are taken whole.
+    Other columns are not read. An empty table gives no rows. percent: PERCENT_MIN to 100.
     """
     spark, limits = docs.sparkSession, Limits(percent)
     folder = shared_folder(spark, "neardup")
@@ -176,15 +196,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         df.write.parquet(path := f"{folder}/{next(names)}")
         return spark.read.parquet(path)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
     all_docs = written(_sketches(texts, words_each))
-    firsts = all_docs.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"))
-    classes = written(all_docs.select("id", "key", "n", "sketch").join(firsts, ["key", "id"]).dropDuplicates(["key"]).select("id", "n", "sketch"))
+    firsts = all_docs.where("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("f")).select("key", "f.id", "f.text_hash")
+    # a class goes by its first id; where one id is the first of several classes, all but one go by a number of their own
+    again = firsts.groupBy("id").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    own_number = -1 - F.xxhash64("key").bitwiseAND((1 << 62) - 1)
+    firsts = firsts.join(again, "id", "left").withColumn("node", F.when(F.col("key") != F.col("least"), own_number).otherwise(F.col("id"))).drop("least")
+    firsts = written(firsts)
+    classes = written(all_docs.select("id", "text_hash", "key", "n", "sketch").join(firsts, ["key", "id", "text_hash"]).dropDuplicates(["key"]).select(F.col("node").alias("id"), "n", "sketch"))
 
     # values that many classes retain; a row per value after partial aggregation
     values = classes.select("id", F.explode("sketch").alias("value"))
-    common = values.groupBy("value").count().where(F.col("count") > LIST_MAX).select("value", F.lit(True).alias("common"))
-    marked = values.join(common, "value", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.col("value")))).alias("rare"), F.sort_array(F.collect_list(F.when(F.col("common"), F.col("value")))).alias("common"))
+    common = written(values.groupBy("value").count().where(F.col("count") > LIST_MAX))
+    marked = join_hot(values, common.withColumn("common", F.lit(True)), "value", "count", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.col("value")))).alias("rare"), F.sort_array(F.collect_list(F.when(F.col("common"), F.col("value")))).alias("common"))
     marked = marked.withColumn("few", F.size("rare") < limits.rare_share * (F.size("rare") + F.size("common")))
     lists = written(marked.select("id", F.slice("rare", 1, POSTINGS).alias("rare"), F.when(F.col("few"), F.slice("common", 1, limits.common_postings)).alias("common")))
 
@@ -199,33 +224,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
     pairs = written(pairs.where(near >= limits.estimate_min).select("a", "b"))
 
-    # step 2: common values, in pairs of blocks
+    # step 2: common values, in blocks
     shared = lists.where("common is not null").select("id", F.explode("common").alias("value"))
-    lengths = shared.groupBy("value").count().where("count > 1").select("value", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = written(shared.join(lengths, "value").withColumn("own", F.pmod(F.xxhash64("id", "value"), "blocks").cast("int")))
+    lengths = written(shared.groupBy("value").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")))
+    dealt = written(join_hot(shared, lengths, "value", "count").withColumn("own", F.pmod(F.xxhash64("id", "value"), "blocks").cast("int")).select("id", "value", "blocks", "own"))
 
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(dealt.select("id")).distinct()
-    wanted = written(wanted)
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(dealt.select(F.col("id").alias("node"))).distinct()
+    wanted = written(firsts.join(wanted, "node", "left_semi").select("node", "id", "text_hash"))
     hint = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda df: df
-    sets = written(_full_sets(texts.join(hint(wanted), "id", "left_semi"), words_each).dropDuplicates(["id"]))
+    sets = written(_full_sets(texts.join(hint(wanted), ["id", "text_hash"]).select("node", "text"), words_each).dropDuplicates(["id"]))
 
     of = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m{x}"))
     inter = F.size(F.array_intersect("ma", "mb"))
     links = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * inter >= percent * (F.size("ma") + F.size("mb") - inter)).select("a", "b")
 
-    blocks = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "members")
-
     def forest(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(block_links(group["id"].to_numpy(), group["members"].tolist(), percent), columns=["a", "b"], dtype="int64")
-
-    links = links.unionByName(blocks.groupBy("value", "i", "j").applyInPandas(forest, "a long, b long"))
-    found = components(written(links))
-    labelled = firsts.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    out = all_docs.select("id", "key", "n").join(labelled, "key", "left")
+        one = group.drop_duplicates("id")
+        return pd.DataFrame(block_links(one["id"].to_numpy(), one["members"].tolist(), percent), columns=["a", "b"], dtype="int64")
+
+    inside = dealt.join(sets, "id").groupBy("value", "own").applyInPandas(forest, "a long, b long")
+    links = written(links.unionByName(inside))
+    found = components(links)
+    if across := _across(dealt, found, classes, sets, limits, written):
+        links = links.unionByName(across.groupBy("value", "sizes", "lane", "own").applyInPandas(forest, "a long, b long"))
+        found = components(written(links))
+
+    labelled = firsts.join(found.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "id", "node", F.coalesce("component", "node").alias("component"))
+    if not firsts.where("node <> id").isEmpty():  # numbers made up for repeated ids give way to ids
+        labelled = written(labelled)
+        least = labelled.groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("count"))
+        labelled = join_hot(labelled, least, "component", "count").withColumn("component", F.col("least"))
+    labelled = labelled.select("key", "component")
+    own = all_docs.select("id", "text_hash", "key", "n")
+    out = own.where("key is not null").join(labelled, "key", "left").unionByName(own.where("key is null").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+
+
+def _across(dealt: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, limits: Limits, written) -> DataFrame | None:
+    """Groups (value, sizes, lane, own) of sets in which links may remain; None if there are none.
+
+    In each list the classes outside of its largest component go, by size class, into lanes
+    of BLOCK; a lane meets the list's blocks, of which those members come whose size fits.
+    """
+    at = dealt.join(found, "id", "left").select(*dealt.columns, F.coalesce("component", "id").alias("component"))
+    at = written(at.join(classes.select("id", limits.size_class("n").alias("sizes")), "id"))
+    per = at.groupBy("value", "component").count()
+    core = written(per.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("core"), F.sum("count").alias("count"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    if core.isEmpty():
+        return None
+    at = join_hot(at, core, "value", "count")
+    outside = at.where("component <> core")
+    lanes = outside.groupBy("value", "sizes").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lanes"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = outside.join(lanes, ["value", "sizes"]).withColumn("lane", F.pmod(F.xxhash64("value", "id"), "lanes").cast("int")).withColumn("own", each("blocks"))
+    members = at.withColumn("sizes", F.explode(F.sequence(F.col("sizes") - 1, F.col("sizes") + 1))).join(lanes, ["value", "sizes"]).withColumn("lane", each("lanes"))
+    keys = ["value", "sizes", "lane", "own", "id"]
+    return out.select(keys).unionByName(members.select(keys)).join(sets, "id")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")

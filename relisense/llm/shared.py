@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,6 +25,8 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="relisense-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -41,3 +44,21 @@ def in_parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Da
         for i in range(0, len(batch), rows):
             yield batch.iloc[i : i + rows]
     pa.default_memory_pool().release_unused()
+
+
+#: A key is hot if it holds a row in so many, or more.
+HOT_ONE_IN = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row per key and how many of the rows hold it.
+
+    Keys that hold one in HOT_ONE_IN of the rows or more are at most HOT_ONE_IN keys, so they
+    are broadcast; the others meet in a shuffle, in which none of them can fill a task.
+    how: inner or left. ``weight`` doesn't come along. Both tables are read more than once.
+    """
+    total = rows.count()
+    hot = table.where(F.col(weight) * HOT_ONE_IN >= total).drop(weight)
+    cold = table.where(F.col(weight) * HOT_ONE_IN < total).drop(weight)
+    some = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(some, key, "left_anti").join(cold, key, how))

@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 from relisense.llm.graph import components
-from relisense.llm.neardup import block_links, near_duplicates, shingle_set
+from relisense.llm.neardup import Limits, block_links, near_duplicates, shingle_set
 
 from .conftest import prose
 
@@ -55,7 +57,7 @@ def test_against_brute_force(spark):
 
 
 def test_five_words_and_eighty_percent(spark):
-    rows = corpus(40)
+    rows = corpus(40)[:200]
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words_each=5, percent=80).collect()
     expected = brute(rows, 5, 80)
     assert {r["doc_id"]: r["component_id"] for r in out} == {k: v[1] for k, v in expected.items()}
@@ -71,6 +73,44 @@ def test_odd_rows(odd, odd_rows, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_repeated_ids_are_texts_of_their_own(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(3, a), (3, b), (4, a + " x"), (5, b), (3, c), (2, c)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).select("doc_id", "component_id", "kept").collect()
+    assert sorted(map(tuple, out)) == sorted([(3, 3, True), (3, 3, True), (4, 3, False), (5, 3, False), (3, 2, False), (2, 2, True)])
+
+
+def test_least_similarity(spark):
+    rows = corpus(20)
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=75).collect()
+    expected = brute(rows, 3, 75)
+    assert {r["doc_id"]: r["component_id"] for r in out} == {k: v[1] for k, v in expected.items()}
+    assert Limits(100).common_postings == 1
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=70)
+
+
+def test_lists_of_many_blocks(spark, monkeypatch):
+    """Several large groups of near copies, and classes beside them, that share their common values."""
+    from relisense.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(9)
+    passage, rows = prose(rng, 60), []
+    for _ in range(3):
+        body = passage + " " + prose(rng, 60)
+        for _ in range(70):
+            words = body.split()
+            words[rng.randrange(60, 120)] = prose(rng, 1) + str(rng.randrange(10**6))
+            rows.append(" ".join(words))
+    rows += [passage + " " + prose(rng, rng.randint(1, 40)) for _ in range(80)] + [passage + " " + " ".join(prose(rng, 40).split()[:n]) for n in range(40)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {k: v[1] for k, v in brute(rows).items()}
+
+
 def test_shingles_and_blocks():
     assert len(shingle_set("a b c a b c")) == 3
     assert len(shingle_set("a b")) == 1 and len(shingle_set(" \n")) == 0 and len(shingle_set(None)) == 0

@@ -139,6 +139,52 @@ def test_language_by_mixture(spark, odd, none):
     assert none.select(langid.identify("text", model)).count() == 0
 
 
+def by_hand(model, text):
+    """The definition, a loop at a time: all proportions, then every nested set by its penalised likelihood."""
+    import math
+    from collections import Counter
+
+    n = Counter(langid.trigram_buckets(text).tolist())
+    total = sum(n.values())
+    if not total:
+        return langid.UNDETERMINED, 0.0
+
+    def em(which):
+        share = {k: 1 / len(which) for k in which}
+        for _ in range(langid.EM_STEPS if len(which) > 1 else 0):
+            new = dict.fromkeys(which, 0.0)
+            for b, c in n.items():
+                mix = sum(share[k] * model.prob[b, k] for k in which)
+                for k in which:
+                    new[k] += c * share[k] * model.prob[b, k] / mix
+            share = {k: v / total for k, v in new.items()}
+        return share, sum(c * math.log(sum(share[k] * model.prob[b, k] for k in which)) for b, c in n.items())
+
+    share, _ = em(range(len(model.languages)))
+    order = sorted(share, key=lambda k: (-share[k], k))
+    tried = [(em(order[:k]), k) for k in range(1, len(order) + 1)]
+    (own, _), _ = max(tried, key=lambda x: (x[0][1] - langid.PENALTY * (x[1] - 1) * math.log(total + 1), -x[1]))
+    top = max(own, key=lambda k: (own[k], -order.index(k)))
+    return model.languages[top], own[top]
+
+
+def test_mixtures_equal_brute_force(spark):
+    """Five languages, texts of up to all five, repeated rows in the fit."""
+    rng = random.Random(16)
+    parts = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "keit"], "cc": ["eau", "oui", "ell"], "dd": ["zzu", "vya", "psk"], "ee": ["hth", "wer", "ing"]}
+    say = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, say(k, 50), k) for i, k in enumerate(list(parts) * 20)]
+    schema = "doc_id long, text string, lang string"
+    model = langid.fit(spark.createDataFrame(rows, schema))
+    texts = [" ".join(say(k, rng.randint(1, 40)) for k in rng.sample(sorted(parts), rng.randint(1, 5))) for _ in range(60)] + ["x", "1", None, say("aa", 3000)]
+    for t in texts:
+        lang, share, langs = model.predict(t)
+        assert (lang, share) == (by_hand(model, t)[0], pytest.approx(by_hand(model, t)[1], abs=1e-9))
+    assert model.predict(" ".join(say(k, 60) for k in parts))[2].count(":") == 5
+    twice = langid.fit(spark.createDataFrame(rows + rows, schema))
+    assert (twice.prob.argmax(axis=1) == model.prob.argmax(axis=1)).all()
+
+
 def test_archives_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 9000)
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
