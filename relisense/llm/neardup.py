@@ -243,11 +243,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame(block_links(one["id"].to_numpy(), one["members"].tolist(), percent), columns=["a", "b"], dtype="int64")
 
     inside = dealt.join(sets, "id").groupBy("value", "own").applyInPandas(forest, "a long, b long")
-    links = written(links.unionByName(inside))
-    found = components(links)
+    found = components(written(links.unionByName(inside)))
     if across := _across(dealt, found, classes, sets, limits, written):
-        links = links.unionByName(across.groupBy("value", "sizes", "lane", "own").applyInPandas(forest, "a long, b long"))
-        found = components(written(links))
+        more = across.groupBy("value", "sizes", "lane", "own").applyInPandas(forest, "a long, b long")
+        found = components(written(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     labelled = firsts.join(found.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "id", "node", F.coalesce("component", "node").alias("component"))
     if not firsts.where("node <> id").isEmpty():  # numbers made up for repeated ids give way to ids

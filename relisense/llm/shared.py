@@ -48,16 +48,21 @@ def in_parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Da
 
 #: A key is hot if it holds a row in so many, or more.
 HOT_ONE_IN = 1000
+#: So many narrow rows may meet in one task, whatever their keys; below, a plain join does.
+PLAIN_ROWS = 1_000_000
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """rows joined with table, which has one row per key and how many of the rows hold it.
 
     Keys that hold one in HOT_ONE_IN of the rows or more are at most HOT_ONE_IN keys, so they
     are broadcast; the others meet in a shuffle, in which none of them can fill a task.
     how: inner or left. ``weight`` doesn't come along. Both tables are read more than once.
+    total: the number of rows, where it is known.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
+    if total <= PLAIN_ROWS:
+        return rows.join(table.drop(weight), key, how)
     hot = table.where(F.col(weight) * HOT_ONE_IN >= total).drop(weight)
     cold = table.where(F.col(weight) * HOT_ONE_IN < total).drop(weight)
     some = F.broadcast(hot.select(key))
