@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +11,14 @@ from pyspark.sql import functions as F
 
 from relisense.functions import special
 from relisense.functions.columns import as_col, div
+from relisense.functions.keep import keep
 from relisense.functions.quantiles import quantiles
-from relisense.operators.ranks import average_rank
+from relisense.operators.ranks import average_rank, value_ranks
 
 #: Variance floor of the DeLong test.
 VARIANCE_MIN = 1e-12
-#: Rows whose scores a resampling job sends to every task at most.
-RESAMPLE_ROWS = 200_000
+#: Rank error of the quantiles that each split is calibrated by: one in so many.
+SPLIT_ACCURACY = 100_000
 
 
 def long_scores(df: DataFrame, scores: list[str], label: str = "label") -> DataFrame:
@@ -107,9 +107,13 @@ def delong(df: DataFrame, a: str, b: str, label: str = "label") -> DataFrame:
     their covariances are plain aggregates.
     """
     rows = df.select(F.monotonically_increasing_id().alias("id"), F.col(label).cast("int").alias("label"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
-    rows = rows.withColumn("one", F.lit(1))
+    # ranks of both scores over all records and within the class: one long table of (subset, score)
+    rows = keep(rows.withColumn("one", F.lit(1)))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("which"), subset.alias("subset"), F.col(s).alias("v")) for s in ("a", "b") for subset in (F.lit(-1), F.col("label"))]))
+    places = value_ranks(rows.select(each.alias("_e")).select("_e.*"), ["which", "subset"], "v", "r")
     for s in ("a", "b"):
-        rows = average_rank(average_rank(rows, ["one"], s, f"all_{s}"), ["label"], s, f"own_{s}")
+        mine = places.where(F.col("which") == s)
+        rows = rows.join(mine.where("subset = -1").select(F.col("v").alias(s), F.col("r").alias(f"all_{s}")), s).join(mine.where("subset >= 0").select(F.col("subset").alias("label"), F.col("v").alias(s), F.col("r").alias(f"own_{s}")), ["label", s])
     size = rows.groupBy("one").agg(F.count_if(F.col("label") == 1).cast("double").alias("m"), F.count_if(F.col("label") == 0).cast("double").alias("n"))
     rows = rows.join(size, "one")
     part = lambda s: F.when(F.col("label") == 1, (F.col(f"all_{s}") - F.col(f"own_{s}")) / F.col("n")).otherwise(1 - (F.col(f"all_{s}") - F.col(f"own_{s}")) / F.col("m"))
@@ -121,76 +125,97 @@ def delong(df: DataFrame, a: str, b: str, label: str = "label") -> DataFrame:
     return out.withColumn("p", p("z"))
 
 
-def _auc(label: np.ndarray, score: np.ndarray) -> float:
-    values, code, n = np.unique(score, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(n) - (n - 1) / 2)[code]
-    m = int(label.sum())
-    return float((rank[label == 1].sum() - m * (m + 1) / 2) / (m * (len(label) - m))) if 0 < m < len(label) else math.nan
+def resampled_auc(df: DataFrame, scores: list[str], label: str = "label", replicas: int = 2000, seed: int = 42) -> DataFrame:
+    """(replica, method, auc), replica 0 being the records as they are.
 
+    Records equal in label and scores are one cell; in each replica a cell of n records weighs
+    a Poisson draw of mean n, from a stream of its own, so every score sees the same draws.
+    Cells are sorted by score over all tasks; a task runs through its range with one number
+    a replica for positives, negatives and pairs in order, and the ranges' numbers are put
+    together per replica. No task holds the records.
+    """
+    clean = df.select(F.col(label).cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in scores]).dropna()
+    cells = clean.groupBy("label", *scores).agg(F.count(F.lit(1)).alias("n")).withColumn("stream", F.xxhash64(F.lit(seed), "label", *scores))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("method"), F.col(c).alias("score")) for c in scores]))
+    rows = cells.select("label", "n", "stream", each.alias("_s")).select("_s.method", "_s.score", "label", "n", "stream")
 
-def _bounded(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, ...]:
-    """The columns as arrays, for tables of at most RESAMPLE_ROWS rows (ValueError beyond)."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().limit(RESAMPLE_ROWS + 1).toPandas()
-    if len(rows) > RESAMPLE_ROWS:
-        raise ValueError(f"resampling takes at most {RESAMPLE_ROWS} records; use the DeLong test for more")
-    rows = rows.sort_values(columns)
-    return tuple(rows[c].to_numpy() for c in columns)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
+        part, method, score = TaskContext.get().partitionId(), None, None
+        pos = neg = pairs = tie_pos = tie_neg = None
 
-def bootstrap_auc(df: DataFrame, a: str, b: str, label: str = "label", replicas: int = 2000, seed: int = 42) -> DataFrame:
-    """One row: diff, ci_low, ci_high, p, used: paired bootstrap of the AUC difference.
+        def close_tie() -> None:
+            nonlocal pairs, pos, neg, tie_pos, tie_neg
+            pairs = pairs + tie_pos * (neg + tie_neg / 2)
+            pos, neg = pos + tie_pos, neg + tie_neg
+            tie_pos, tie_neg = np.zeros(replicas + 1), np.zeros(replicas + 1)
 
-    Replicas are spread over tasks, each with its own random stream by number; the record
-    table (bounded, as resampling needs all of it) goes to the tasks once. Replicas of one
-    class only are left out.
-    """
-    spark = df.sparkSession
-    y, sa, sb = _bounded(df, [label, a, b])
-    y = y.astype(int)
+        def done() -> pd.DataFrame:
+            close_tie()
+            return pd.DataFrame({"method": [method], "part": [part], "pos": [pos], "neg": [neg], "pairs": [pairs]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for i in batch["id"]:
-                at = np.random.default_rng([seed, int(i)]).integers(0, len(y), len(y))
-                if 0 < y[at].sum() < len(y):
-                    out.append(_auc(y[at], sa[at]) - _auc(y[at], sb[at]))
-            yield pd.DataFrame({"d": out}, dtype="float64")
+            for m, x, y, n, stream in batch[["method", "score", "label", "n", "stream"]].itertuples(index=False):
+                if m != method:
+                    if method is not None:
+                        yield done()
+                    method, score = m, x
+                    pos, neg, pairs, tie_pos, tie_neg = (np.zeros(replicas + 1) for _ in range(5))
+                elif x != score:
+                    close_tie()
+                    score = x
+                draws = np.random.Generator(np.random.Philox(key=stream & (1 << 64) - 1)).poisson(n, replicas)
+                side = tie_pos if y == 1 else tie_neg
+                side[0] += n
+                side[1:] += draws
+        if method is not None:
+            yield done()
+
+    sums = rows.repartitionByRange("method", "score").sortWithinPartitions("method", "score").mapInPandas(run, "method string, part int, pos array<double>, neg array<double>, pairs array<double>")
+    per = sums.select("method", "part", F.posexplode(F.arrays_zip("pos", "neg", "pairs")).alias("replica", "_v")).select("method", "replica", F.struct("part", "_v.pos", "_v.neg", "_v.pairs").alias("_v"))
+    per = per.groupBy("method", "replica").agg(F.array_sort(F.collect_list("_v")).alias("v"))  # a row per range of scores
+    begin = F.struct(*[F.lit(0.0).alias(c) for c in ("pos", "neg", "pairs")])
+    total = F.aggregate("v", begin, lambda a, x: F.struct((a["pos"] + x["pos"]).alias("pos"), (a["neg"] + x["neg"]).alias("neg"), (a["pairs"] + x["pairs"] + x["pos"] * a["neg"]).alias("pairs")))
+    return per.withColumn("t", total).select("replica", "method", div("t.pairs", F.col("t.pos") * F.col("t.neg")).alias("auc"))
+
 
-    d = spark.range(replicas).mapInPandas(run, "d double")
-    q = lambda f: F.percentile("d", F.lit(f))
-    tail = 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))
-    return d.agg(F.lit(_auc(y, sa) - _auc(y, sb)).alias("diff"), q(0.025).alias("ci_low"), q(0.975).alias("ci_high"), F.least(tail, F.lit(1.0)).alias("p"), F.count("d").alias("used"))
+def bootstrap_auc(df: DataFrame, a: str, b: str, label: str = "label", replicas: int = 2000, seed: int = 42) -> DataFrame:
+    """One row: diff, ci_low, ci_high, p, used: paired bootstrap of the AUC difference.
+
+    Any number of records (see resampled_auc). Replicas of one class only are left out.
+    """
+    each = resampled_auc(df, [a, b], label, replicas, seed)
+    d = each.groupBy("replica").agg((F.max(F.when(F.col("method") == a, F.col("auc"))) - F.max(F.when(F.col("method") == b, F.col("auc")))).alias("d"))
+    drawn = F.when(F.col("replica") > 0, F.col("d"))
+    q = lambda f: F.percentile(drawn, F.lit(f))
+    tail = 2 * F.least(F.avg((drawn <= 0).cast("double")), F.avg((drawn >= 0).cast("double")))
+    return d.agg(F.max(F.when(F.col("replica") == 0, F.col("d"))).alias("diff"), q(0.025).alias("ci_low"), q(0.975).alias("ci_high"), F.least(tail, F.lit(1.0)).alias("p"), F.count(drawn).alias("used"))
 
 
 def split_half(df: DataFrame, sigma: str, label: str = "label", splits: int = 200, seed: int = 42) -> DataFrame:
-    """(split, auc): calibrated on one random half, scored on the other; needs a bounded table."""
-    y, s = _bounded(df, [label, sigma])
-    y = y.astype(int)
+    """(split, auc): calibrated on one random half, scored on the other.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                order = np.random.default_rng([seed, int(i)]).permutation(len(y))
-                fit, test = order[: len(y) // 2], order[len(y) // 2 :]
-                ref = s[fit][s[fit] > 0]
-                eps = np.percentile(ref, 1) if len(ref) else 1e-6
-                logs = np.log(s[fit][s[fit] >= eps] + 1e-9)
-                if not len(logs):
-                    continue
-                med = np.median(logs)
-                mad = 1.4826 * np.median(np.abs(logs - med)) or 1.0
-                r = np.where(s[test] < eps, 0.0, np.exp(-0.5 * ((np.log(np.maximum(s[test], 0) + 1e-9) - med) / mad) ** 2))
-                out.append((int(i), _auc(y[test], r)))
-            yield pd.DataFrame(out, columns=["split", "auc"]).astype({"split": "int64", "auc": "float64"})
-
-    return df.sparkSession.range(splits).mapInPandas(run, "split long, auc double")
+    The half of a record is a bit of its hash with the split's number; equal records are
+    told apart by a number of their own. Quantiles of a half come from sketches of bounded
+    size (SPLIT_ACCURACY), ranks are keyed by split, so no task holds a half.
+    """
+    rows = keep(df.select(F.col(label).cast("int").alias("label"), F.col(sigma).cast("double").alias("s")).dropna().withColumn("_i", F.monotonically_increasing_id()))
+    each = rows.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("fit", F.pmod(F.xxhash64(F.lit(seed), "_i", "split", "s"), F.lit(2)) == 0)
+    at = lambda c, q: F.percentile_approx(c, q, SPLIT_ACCURACY)
+    log = F.log(F.col("s") + 1e-9)
+    fit = each.where("fit")
+    eps = fit.groupBy("split").agg(F.coalesce(at(F.when(F.col("s") > 0, F.col("s")), 0.01), F.lit(1e-6)).alias("eps"))
+    med = fit.join(F.broadcast(eps), "split").where("s >= eps").groupBy("split", "eps").agg(at(log, 0.5).alias("med"))  # a row per split
+    mad = fit.join(F.broadcast(med), "split").where("s >= eps").groupBy("split", "eps", "med").agg((1.4826 * at(F.abs(log - F.col("med")), 0.5)).alias("mad"))
+    score = F.when(F.col("s") < F.col("eps"), 0.0).otherwise(F.exp(-0.5 * ((F.log(F.greatest(F.col("s"), F.lit(0.0)) + 1e-9) - F.col("med")) / F.when(F.col("mad") > 0, F.col("mad")).otherwise(1.0)) ** 2))
+    scored = keep(each.where("not fit").join(F.broadcast(keep(mad)), "split").select("split", "label", score.alias("score")))
+    return auc(scored, ["split"]).select(F.col("split").cast("long").alias("split"), "auc")
 
 
 def split_summary(splits: DataFrame) -> DataFrame:
     q = lambda f: F.percentile("auc", F.lit(f))
-    return splits.where(~F.isnan("auc")).agg(F.count("auc").alias("splits"), F.avg("auc").alias("mean"), q(0.5).alias("median"), F.stddev_pop("auc").alias("std"), q(0.025).alias("ci_low"), q(0.975).alias("ci_high"))
+    return splits.where(F.col("auc").isNotNull() & ~F.isnan("auc")).agg(F.count("auc").alias("splits"), F.avg("auc").alias("mean"), q(0.5).alias("median"), F.stddev_pop("auc").alias("std"), q(0.025).alias("ci_low"), q(0.975).alias("ci_high"))
 
 
 def overlap_zone(df: DataFrame, sigma: str, label: str = "label", low: float = 0.05, high: float = 0.95) -> tuple[float, float] | None:

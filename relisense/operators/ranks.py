@@ -11,25 +11,40 @@ from pyspark.sql import functions as F
 from relisense.functions import special
 from relisense.functions.columns import as_col, div, pearson
 from relisense.functions.keep import keep
+from relisense.functions.ordered import with_position
 
 #: Ranges into which the distinct values of a test are cut for ranking.
 RANK_RANGES = 32
 
 
-def average_rank(df: DataFrame, keys: list[str], column: str, name: str, ranges: int = RANK_RANGES) -> DataFrame:
-    """Adds the rank of ``column`` within its key, ties averaged; missing values get none.
+def value_ranks(df: DataFrame, keys: list[str], column: str, name: str, ranges: int = RANK_RANGES) -> DataFrame:
+    """(keys, column, name): the rank of each distinct value of ``column`` within its key, ties averaged.
 
     Distinct values are counted first and cut into ranges of about equal size, so that a
-    key of any size is ranked by many tasks; ranks are joined back by value.
+    key of any size is ranked by many tasks.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    counts = keep(df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n")))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
-    placed = counts.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda b: b < F.col(column)))).drop("_cuts")
+    placed = keep(counts.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda b: b < F.col(column)))).drop("_cuts"))
     sizes = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = placed.withColumn("_before", before).join(starts, [*keys, "_range"]).select(*keys, column, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, column], "left")
+    return keep(placed.withColumn("_before", before).join(starts, [*keys, "_range"]).select(*keys, column, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name)))
+
+
+def average_rank(df: DataFrame, keys: list[str], column: str, name: str, ranges: int = RANK_RANGES) -> DataFrame:
+    """Adds the rank of ``column`` within its key, ties averaged; missing values get none."""
+    return df.join(value_ranks(df, keys, column, name, ranges), [*keys, column], "left")
+
+
+def ranked_columns(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Adds ``_rank_{c}`` for each column: all of them are ranked in one long table, keyed by column."""
+    df = keep(df)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]))
+    ranks = value_ranks(df.select(*keys, each.alias("_c")).select(*keys, "_c.*"), [*keys, "_column"], "_value", "_rank")
+    for c in columns:
+        df = df.join(ranks.where(F.col("_column") == c).select(*keys, F.col("_value").alias(c), F.col("_rank").alias(f"_rank_{c}")), [*keys, c], "left")
+    return df
 
 
 def long_pairs(df: DataFrame, tests: dict[str, tuple[Column | str, Column | str]], keep: list[str] | None = None) -> DataFrame:
@@ -51,8 +66,8 @@ def correlations(pairs: DataFrame, keys: list[str], method: str = "spearman", le
     if digits is not None:
         pairs = pairs.withColumn("x", F.round("x", digits)).withColumn("y", F.round("y", digits))
     if method == "spearman":
-        pairs = average_rank(average_rank(pairs, keys, "x", "_rx"), keys, "y", "_ry")
-        r = pearson("_rx", "_ry")
+        pairs = ranked_columns(pairs.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), keys, ["x", "y"])
+        r = pearson("_rank_x", "_rank_y")
     else:
         r = pearson("x", "y")
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r.alias("r")).where(F.col("n") >= least)
@@ -157,8 +172,7 @@ def partial_spearman(rows: DataFrame, keys: list[str], x: str, y: str, controls:
     rows = rows.dropna(subset=names)
     if digits is not None:
         rows = rows.withColumns({c: F.round(c, digits) for c in names})
-    for c in names:
-        rows = average_rank(rows, keys, c, f"_rank_{c}")
+    rows = ranked_columns(rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in names]), keys, names)
     ranked = rows.select(*keys, *[F.col(f"_rank_{c}").alias(c) for c in names])
     return partial_from_moments(ranked, keys, x, y, controls).where(F.col("n") >= least)
 
@@ -181,6 +195,23 @@ def leverage(df: DataFrame, x: str, targets: list[str], subject: str = "subject"
     return full.join(between, "target", "left").join(within, "target", "left").join(loso, "target", "left")
 
 
+def cross_correlogram(df: DataFrame, x: str, y: str, lags: int = 6, common: int = 15, key: str = "subject", order: str = "win", least: int = 10) -> DataFrame:
+    """(key, lag, n, r): Spearman of x and y at each lag from -lags to lags, by place among the
+    rows that have both; keys with fewer than ``common`` such rows are left out."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, order, x, y)
+    enough = rows.groupBy(key).count().where(F.col("count") >= common).select(key)
+    placed = keep(with_position(rows.join(enough, key, "left_semi"), [key], order, "_p"))
+    here = placed.select(key, F.col("_p").alias("_at"), F.col(x).alias("x"))
+    there = placed.select(key, F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), F.col("_p"), F.col(y).alias("y")).withColumn("_at", F.col("_p") + F.col("lag"))
+    return correlations(here.join(there, [key, "_at"]).select(key, "lag", "x", "y"), [key, "lag"], least=least)
+
+
+def strongest_lag(correlogram: DataFrame, key: str = "subject") -> DataFrame:
+    """(key, lag): where the correlation is largest in size; of equal ones the first lag."""
+    size = F.struct(F.round(F.abs("r"), 9), -F.col("lag"))
+    return correlogram.where("r is not null").groupBy(key).agg(F.max_by("lag", size).alias("lag"))
+
+
 def loso_correlations(pairs: DataFrame, subject: str = "subject") -> DataFrame:
     """(test, excluded, n, r): Spearman without each subject in turn, from (subject, test, x, y)."""
     subjects = pairs.select("test", F.col(subject).alias("excluded")).distinct()

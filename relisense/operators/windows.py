@@ -88,10 +88,11 @@ def subject_std(df: DataFrame, columns: list[str], key: str = "subject") -> Data
     return df.join(df.groupBy(key).agg(*[F.stddev_samp(c).alias(f"{c}_subj_std") for c in columns]), key, "left")
 
 
-def centred(df: DataFrame, columns: list[str], key: str = "subject", suffix: str = "_c") -> DataFrame:
+def centred(df: DataFrame, columns: list[str], key: str | list[str] = "subject", suffix: str = "_c") -> DataFrame:
     """Adds each column less its mean over the key."""
-    means = df.groupBy(key).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    return df.join(means, key, "left").withColumns({f"{c}{suffix}": F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    keys = [key] if isinstance(key, str) else key
+    means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+    return df.join(means, keys, "left").withColumns({f"{c}{suffix}": F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
 def baseline_coherence(df: DataFrame, pairs: dict[str, tuple[str, str]], n_prev: list[int], key: str = "subject", order: str = "win") -> DataFrame:

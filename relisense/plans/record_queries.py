@@ -85,7 +85,7 @@ def all_versus_valid(spark, d):
 
 def threshold_curve(spark, d):
     rows = classify.long_scores(scored(spark, d), ["sigma"])
-    return classify.threshold_curve(rows, ["method"], 21).select("method", F.round("threshold", 3).alias("threshold"), rounded("tpr").alias("tpr"), rounded("fpr").alias("fpr"))
+    return classify.threshold_curve(rows, ["method"]).select("method", F.round("threshold", 3).alias("threshold"), rounded("tpr").alias("tpr"), rounded("fpr").alias("fpr"))
 
 
 def operating_points(spark, d):
@@ -97,11 +97,11 @@ def delong(spark, d):
 
 
 def bootstrap(spark, d):
-    return _r(classify.bootstrap_auc(scored(spark, d), "sigma", "other", replicas=400), ["used"], ["diff", "ci_low", "ci_high", "p"])
+    return _r(classify.bootstrap_auc(scored(spark, d), "sigma", "other"), ["used"], ["diff", "ci_low", "ci_high", "p"])
 
 
 def split_half(spark, d):
-    return _r(classify.split_summary(classify.split_half(graded(spark, d), "sigma", splits=60)), ["splits"], ["mean", "median", "std", "ci_low", "ci_high"])
+    return _r(classify.split_summary(classify.split_half(graded(spark, d), "sigma")), ["splits"], ["mean", "median", "std", "ci_low", "ci_high"])
 
 
 def overlap(spark, d):
@@ -188,7 +188,7 @@ QUERIES = {
     "roc_points": (roc_points, with_sql(["grd"], f"SELECT 'sig' AS method, score AS threshold, tp, fp, {_r6({'tpr': 'tp / m', 'fpr': 'fp / k', 'precision': 'tp / (tp + fp)'})} FROM rp JOIN rt ON rp.method = rt.method", _SC | _lng(["sigma"]) | _ROC)),
     "average_precision": (average_precision, with_sql(["grd"], "SELECT method, round(sum(st * pr), 6) + 0.0 AS ap FROM (SELECT rp.method, (tp - coalesce(lag(tp) OVER (PARTITION BY rp.method ORDER BY score DESC), 0)) / m AS st, tp / (tp + fp) AS pr FROM rp JOIN rt ON rp.method = rt.method) GROUP BY method", _SC | _lng(["sigma", "other"]) | _ROC)),
     "all_versus_valid": (all_versus_valid, with_sql(["grd"], f"SELECT {_r6({'auc_all': 'a.auc', 'auc_valid': 'v.auc', 'gmean_all': 'sqrt((ca.tp / (ca.tp + ca.fn)) * (ca.tn / (ca.tn + ca.fp)))', 'gmean_valid': 'sqrt((cv.tp / (cv.tp + cv.fn)) * (cv.tn / (cv.tn + cv.fp)))', 'delta_auc': 'a.auc - v.auc'})} FROM au a, au v, cf ca, cf cv WHERE a.method = 'all' AND v.method = 'valid' AND ca.method = 'all' AND cv.method = 'valid'", {"ls": "SELECT 'all' AS method, label, sigma AS score FROM grd UNION ALL SELECT 'valid', label, sigma FROM grd WHERE toxic <> 1", "au": _AUC, "cf": _CONF.format(t="1000.0", src="ls")})),
-    "threshold_curve": (threshold_curve, with_sql(["grd"], "SELECT 'sigma' AS method, round(t, 3) AS threshold, round(count(*) FILTER (label = 1 AND score >= t - 1e-6) / max(m), 6) + 0.0 AS tpr, round(count(*) FILTER (label <> 1 AND score >= t - 1e-6) / max(k), 6) + 0.0 AS fpr FROM gr CROSS JOIN ls JOIN rt ON rt.method = ls.method GROUP BY t", _SC | _lng(["sigma"]) | {"rt": _ROC["rt"], "gr": "SELECT min(score) + (max(score) - min(score)) * unnest(range(0, 21)) / 20.0 AS t FROM ls"})),
+    "threshold_curve": (threshold_curve, with_sql(["grd"], "SELECT 'sigma' AS method, round(t, 3) AS threshold, round(count(*) FILTER (label = 1 AND score >= t - 1e-6) / max(m), 6) + 0.0 AS tpr, round(count(*) FILTER (label <> 1 AND score >= t - 1e-6) / max(k), 6) + 0.0 AS fpr FROM gr CROSS JOIN ls JOIN rt ON rt.method = ls.method GROUP BY t", _SC | _lng(["sigma"]) | {"rt": _ROC["rt"], "gr": "SELECT min(score) + (max(score) - min(score)) * unnest(range(0, 300)) / 299.0 AS t FROM ls"})),
     "operating_points": (operating_points, with_sql(["grd"], f"SELECT method, {_r6({'threshold': 't', 'tpr': 'count(*) FILTER (label = 1 AND score >= t) / count(*) FILTER (label = 1)', 'fpr': 'count(*) FILTER (label <> 1 AND score >= t) / count(*) FILTER (label <> 1)'})} FROM ls JOIN (SELECT method AS mm, median(score) AS t FROM ls GROUP BY method) ON method = mm GROUP BY method, t", _SC | _lng(["sigma", "other"]))),
     "delong": (delong, with_sql(["grd"], f"SELECT {_r6({'auc_a': 'auc_a', 'auc_b': 'auc_b', 'diff': 'auc_a - auc_b', 'var': 'var', 'z': '(auc_a - auc_b) / sqrt(var)'})} FROM de", _SC | _DL)),
     "bootstrap": (bootstrap, None),

@@ -103,9 +103,15 @@ def variance_components(spark, d):
 
 
 def _few_viewers(spark, d):
-    """Trials reduced to two subjects an item for some items, few subjects overall."""
-    t = trials(spark, d).withColumn("subject", F.col("subject") % 6)
-    return t.groupBy("item", "subject").agg(*[F.avg(m).alias(m) for m in METRICS]).where((F.col("subject") + F.col("item")) % 3 == 0)
+    """Trials with few viewers an item: every order line, the order as item and the return flag as viewer."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("subject"))
+    return rows.agg(F.avg("l_quantity").alias("hr"), F.avg("l_extendedprice").alias("pupil"), F.avg("l_discount").alias("rt"), F.avg("l_tax").alias("blinks"))
+
+
+def _two_sources(spark, d):
+    """Trials from lines of either status: two sources that share some pairs; no line is left out."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("subject"), "l_linestatus").agg(F.avg("l_quantity").alias("hr"))
+    return [rows.where(F.col("l_linestatus") == x).drop("l_linestatus") for x in ("F", "O")]
 
 
 def viewer_pairs(spark, d):
@@ -148,23 +154,20 @@ def coverage_structure(spark, d):
 
 
 def source_overlap(spark, d):
-    t = trials(spark, d)
-    a, b = t.where("item % 3 <> 0"), t.where("item % 2 = 0")
+    a, b = _two_sources(spark, d)
     r = labels.source_overlap(a, b, order_labels(spark, d))
     return _r(r, ["pairs_a", "pairs_b", "pairs_both", "items_a", "items_b", "items_both", "items_labelled", "items_unlabelled"], ["pairs_share_a", "pairs_share_b", "label_share"])
 
 
 def common_keys(spark, d):
-    t = trials(spark, d)
-    a, b = quality.common_keys(t.where("item % 3 <> 0"), t.where("item % 2 = 0"))
+    a, b = quality.common_keys(*_two_sources(spark, d))
     n = lambda df, k: df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item").alias("items")).select(F.lit(k).alias("side"), "n", "items")
     return n(a, "a").unionByName(n(b, "b"))
 
 
 def set_operations(spark, d):
     """Union, intersection and difference of two pair sets."""
-    t = trials(spark, d).select("item", "subject")
-    a, b = t.where("item % 3 = 0"), t.where("subject % 2 = 0")
+    a, b = (t.select("item", "subject") for t in _two_sources(spark, d))
     n = lambda df, k: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("item") * 31 + F.col("subject")).alias("sum")).select(F.lit(k).alias("op"), "n", "sum")
     return n(a.union(b).distinct(), "union").unionByName(n(a.intersect(b), "intersect")).unionByName(n(a.subtract(b), "except"))
 
@@ -308,7 +311,9 @@ def _icc(name: str, src: str, group: str, v: str) -> dict[str, str]:
 
 
 _LONG = {"lng": " UNION ALL ".join(f"SELECT '{m}' AS metric, item, subject, {m} AS v FROM tri WHERE {m} IS NOT NULL" for m in METRICS), "lc": "SELECT metric, item, subject, v - avg(v) OVER (PARTITION BY metric, subject) AS v FROM lng"}
-_FEW = {"few": "SELECT * FROM (SELECT item, subject % 6 AS subject, avg(hr) AS hr, avg(pupil) AS pupil, avg(rt) AS rt, avg(blinks) AS blinks FROM tri GROUP BY ALL) WHERE (subject + item) % 3 = 0"}
+_FEW = {"few": "SELECT l_orderkey AS item, l_returnflag AS subject, avg(l_quantity) AS hr, avg(l_extendedprice) AS pupil, avg(l_discount) AS rt, avg(l_tax) AS blinks FROM lineitem GROUP BY ALL"}
+_TWO = "WITH " + ", ".join(f"{k} AS (SELECT l_partkey AS item, l_suppkey AS subject FROM lineitem WHERE l_linestatus = '{x}' GROUP BY ALL)" for k, x in (("sa", "F"), ("sb", "O"))) + ", sc AS (SELECT * FROM sa INTERSECT SELECT * FROM sb), "
+_TWO += ", ".join(f"i{k} AS (SELECT DISTINCT item FROM s{k})" for k in "ab") + ", ic AS (SELECT item FROM ia INTERSECT SELECT item FROM ib) "
 _VP = _FEW | {
     "vl": "SELECT 'hr' AS metric, item, subject, hr - avg(hr) OVER (PARTITION BY subject) AS v FROM few UNION ALL SELECT 'rt', item, subject, rt - avg(rt) OVER (PARTITION BY subject) FROM few",
     "v2": "SELECT metric, item FROM vl GROUP BY ALL HAVING count(*) = 2",
@@ -346,9 +351,9 @@ QUERIES = {
     "rater_statistics": (rater_statistics, with_sql(["rat"], f"SELECT unit, count(e) AS valence_n_valid, {_r6({'valence_mean': 'avg(e)', 'valence_var': 'var_samp(e)', 'valence_range': 'max(e) - min(e)', 'valence_self_partner_diff': 'abs(avg(s) - avg(p))', 'valence_self_external_diff': 'abs(avg(s) - avg(e))'})} FROM (SELECT unit, CASE WHEN rater LIKE 'R_' THEN valence END AS e, CASE WHEN rater = 'self' THEN valence END AS s, CASE WHEN rater = 'partner' THEN valence END AS p FROM rat) GROUP BY unit")),
     "viewer_groups": (viewer_groups, with_sql(["tri"], "SELECT item, string_agg(DISTINCT subject::VARCHAR, '|' ORDER BY subject::VARCHAR) AS viewers FROM few GROUP BY item", _FEW)),
     "coverage_structure": (coverage_structure, with_sql(["tri"], "SELECT count(*) AS items, count(*) FILTER (v = 1) AS one, count(*) FILTER (v = 2) AS two, max(v) AS most, count(DISTINCT CASE WHEN v >= 2 THEN who END) AS groups, round(avg(v), 6) + 0.0 AS mean, round(median(v), 6) + 0.0 AS median FROM (SELECT item, count(DISTINCT subject) AS v, string_agg(DISTINCT subject::VARCHAR, '|' ORDER BY subject::VARCHAR) AS who FROM few GROUP BY item)", _FEW)),
-    "source_overlap": (source_overlap, with_sql(["tri"], "SELECT *, round(pairs_both / pairs_a, 6) + 0.0 AS pairs_share_a, round(pairs_both / pairs_b, 6) + 0.0 AS pairs_share_b, round(items_labelled / items_both, 6) + 0.0 AS label_share FROM (SELECT (SELECT count(*) FROM tri WHERE item % 3 <> 0) AS pairs_a, (SELECT count(*) FROM tri WHERE item % 2 = 0) AS pairs_b, (SELECT count(*) FROM tri WHERE item % 2 = 0 AND item % 3 <> 0) AS pairs_both, (SELECT count(DISTINCT item) FROM tri WHERE item % 3 <> 0) AS items_a, (SELECT count(DISTINCT item) FROM tri WHERE item % 2 = 0) AS items_b, (SELECT count(DISTINCT item) FROM tri WHERE item % 2 = 0 AND item % 3 <> 0) AS items_both, (SELECT count(DISTINCT item) FROM tri WHERE item % 2 = 0 AND item % 3 <> 0 AND item IN (SELECT o_custkey FROM orders)) AS items_labelled, (SELECT count(DISTINCT item) FROM tri WHERE item % 2 = 0 AND item % 3 <> 0 AND item NOT IN (SELECT o_custkey FROM orders)) AS items_unlabelled)")),
-    "common_keys": (common_keys, with_sql(["tri"], "SELECT 'a' AS side, count(*) AS n, count(DISTINCT item) AS items FROM tri WHERE item % 2 = 0 AND item % 3 <> 0 UNION ALL SELECT 'b', count(*), count(DISTINCT item) FROM tri WHERE item % 2 = 0 AND item % 3 <> 0")),
-    "set_operations": (set_operations, with_sql(["tri"], " UNION ALL ".join(f"SELECT '{o}' AS op, count(*) AS n, sum(item * 31 + subject)::BIGINT AS sum FROM (SELECT item, subject FROM tri WHERE item % 3 = 0 {o.upper()} SELECT item, subject FROM tri WHERE subject % 2 = 0)" for o in ("union", "intersect", "except")))),
+    "source_overlap": (source_overlap, _TWO + "SELECT *, round(pairs_both / pairs_a, 6) + 0.0 AS pairs_share_a, round(pairs_both / pairs_b, 6) + 0.0 AS pairs_share_b, round(items_labelled / items_both, 6) + 0.0 AS label_share FROM (SELECT (SELECT count(*) FROM sa) AS pairs_a, (SELECT count(*) FROM sb) AS pairs_b, (SELECT count(*) FROM sc) AS pairs_both, (SELECT count(*) FROM ia) AS items_a, (SELECT count(*) FROM ib) AS items_b, (SELECT count(*) FROM ic) AS items_both, (SELECT count(*) FROM ic WHERE item IN (SELECT o_custkey FROM orders)) AS items_labelled, (SELECT count(*) FROM ic WHERE item NOT IN (SELECT o_custkey FROM orders)) AS items_unlabelled)"),
+    "common_keys": (common_keys, _TWO + "SELECT 'a' AS side, count(*) AS n, count(DISTINCT item) AS items FROM sa WHERE item IN (SELECT item FROM ic) UNION ALL SELECT 'b', count(*), count(DISTINCT item) FROM sb WHERE item IN (SELECT item FROM ic)"),
+    "set_operations": (set_operations, _TWO + " UNION ALL ".join(f"SELECT '{o}' AS op, count(*) AS n, sum(item * 31 + subject)::BIGINT AS sum FROM (SELECT * FROM sa {o.upper()} SELECT * FROM sb)" for o in ("union", "intersect", "except"))),
     "first_per_key": (first_per_key, with_sql(["tri"], "SELECT item, min(subject) AS subject, round(arg_min(hr, subject), 6) + 0.0 AS hr FROM tri GROUP BY item")),
     "parse_fraction": (parse_fraction, "SELECT p_partkey, round(CASE WHEN p_partkey % 5 IN (1, 4) THEN round(p_retailprice / 10000, 4) END, 6) + 0.0 AS fraction FROM part"),
     "eligible_subjects": (eligible_subjects, "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_nationkey > 4 AND (c_custkey % 2 = 0)::INT + (c_custkey % 3 = 0)::INT + (c_custkey % 4 = 0)::INT + (c_custkey % 5 = 0)::INT + (c_custkey % 6 = 0)::INT >= 3"),

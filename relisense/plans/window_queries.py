@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from relisense.operators import conduct, ranks, windows
 from relisense.operators.scores import Monotone, UScore, composite_imputed
 from relisense.plans.tables import AUX, CORE, DAY, corr_sql, mean_sql, ratings, signal, u_expr, u_sql, with_sql
 
-PAIRS = {"hr_eda": ("hr_mean", "eda_mean"), "hr_bvp": ("hr_mean", "bvp_mean"), "eda_bvp": ("eda_mean", "bvp_mean")}
+PAIRS = {f"{a}_{b}": (f"{a}_mean", f"{b}_mean") for a, b in combinations([*CORE, *AUX], 2)}
+#: Shares of the windows with least variability that the sweep leaves out, lags, and least common windows.
+SWEEP, LAGS, SHIFTS, COMMON_MIN = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99), 6, 3, 15
 TARGETS = ["attention_mean", "acc_mean", "acc_std"]
 
 
@@ -151,14 +155,16 @@ def z_variability(spark, d):
 
 
 def high_variability_sweep(spark, d):
-    """Correlation among the windows at or above each quantile of z_var."""
+    """Spearman of z_var with each target, pooled and within subjects, among the windows at or above each quantile of z_var."""
     f = features(spark, d)
     m = UScore.fit(f, {c: f"{c}_std" for c in CORE}, cut=False)
     f = f.withColumn("z", row_mean([m[c].z(f"{c}_std") for c in CORE]))
-    q = quantiles(f, {str(p): ("z", p) for p in (0.0, 0.25, 0.5, 0.75)})
+    q = quantiles(f, {str(p): ("z", p) for p in SWEEP})
     parts = F.array_compact(F.array(*[F.when(F.col("z") >= v, F.lit(float(k))) for k, v in q.items()]))
-    rows = f.where("hr_mean is not null and eda_mean is not null").select(F.explode(parts).alias("quantile"), F.col("hr_mean").alias("x"), F.col("eda_mean").alias("y"))
-    return _r(ranks.correlations(rows, ["quantile"]), ["quantile", "n"], ["r"])
+    rows = ranks.long_pairs(f.withColumn("quantile", F.explode(parts)), {t: ("z", t) for t in TARGETS}, ["quantile", "subject"])
+    inner = windows.centred(rows, ["x", "y"], ["quantile", "test", "subject"])
+    both = rows.withColumn("kind", F.lit("pooled")).unionByName(inner.select("quantile", "subject", "test", F.col("x_c").alias("x"), F.col("y_c").alias("y"), F.lit("within").alias("kind")))
+    return _r(ranks.correlations(both, ["quantile", "test", "kind"], digits=9), ["quantile", "test", "kind", "n"], ["r"])
 
 
 def median_split(spark, d):
@@ -190,24 +196,30 @@ def leverage(spark, d):
 
 def lag_sensitivity(spark, d):
     """Pooled and within-subject Spearman of coherence and target with one channel shifted."""
-    f = windows.shifted(features(spark, d), "eda_mean", [-1, 0, 1])
-    parts = []
-    for k in (-1, 0, 1):
-        g = windows.baseline_coherence(f, {"c": ("hr_mean", f"eda_mean_s{k}")}, [1])
-        g = windows.centred(g, ["c_1", "attention_mean"])
-        parts.append(ranks.long_pairs(g, {f"{k}|pooled": ("c_1", "attention_mean"), f"{k}|within": ("c_1_c", "attention_mean_c")}))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return _r(ranks.correlations(rows, ["test"]), ["test", "n"], ["r"])
+    by = list(range(-SHIFTS, SHIFTS + 1))
+    f = windows.shifted(features(spark, d), "eda_mean", by)
+    f = windows.baseline_coherence(f, {f"c{k}": ("hr_mean", f"eda_mean_s{k}") for k in by}, [1])
+    f = windows.centred(f, [*[f"c{k}_1" for k in by], "attention_mean"])
+    tests = {f"{k}|pooled": (f"c{k}_1", "attention_mean") for k in by} | {f"{k}|within": (f"c{k}_1_c", "attention_mean_c") for k in by}
+    return _r(ranks.correlations(ranks.long_pairs(f, tests), ["test"], digits=9), ["test", "n"], ["r"])
 
 
 def cross_correlogram(spark, d):
-    """Per subject the Spearman correlation at each lag by position, then the mean by lag."""
-    f = features(spark, d).where("hr_mean is not null and eda_mean is not null")
-    f = windows.with_position(f, ["subject"], "win", "pos")
-    h = f.select("subject", F.col("pos").alias("ph"), F.col("hr_mean").alias("x"))
-    e = f.select("subject", F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("lag"), "pos", F.col("eda_mean").alias("y")).withColumn("ph", F.col("pos") + F.col("lag"))
-    t = ranks.correlations(h.join(e, ["subject", "ph"]), ["subject", "lag"])
-    return _r(t.groupBy("lag").agg(F.count("r").alias("subjects"), F.avg("r").alias("mean_r")), ["lag", "subjects"], ["mean_r"])
+    """By lag: subjects, mean Spearman correlation, and how many subjects have their strongest one there."""
+    t = ranks.cross_correlogram(features(spark, d), "hr_mean", "eda_mean", LAGS, COMMON_MIN)
+    per = t.groupBy("lag").agg(F.count("r").alias("subjects"), F.avg("r").alias("mean_r"))
+    best = ranks.strongest_lag(t).groupBy("lag").agg(F.count(F.lit(1)).alias("strongest"))
+    return _r(per.join(best, "lag", "left").fillna(0, ["strongest"]), ["lag", "subjects", "strongest"], ["mean_r"])
+
+
+def pair_leverage(spark, d):
+    """All ten channel pairs: coherence against each target, pooled and within subjects, corrected over the family."""
+    f = windows.baseline_coherence(features(spark, d), PAIRS, [1])
+    rows = ranks.long_pairs(f, {f"{p}|{t}": (f"{p}_1", t) for p in PAIRS for t in TARGETS}, ["subject"])
+    inner = windows.centred(rows, ["x", "y"], ["test", "subject"]).select("test", F.col("x_c").alias("x"), F.col("y_c").alias("y"))
+    within = ranks.adjust(ranks.with_p(ranks.correlations(inner, ["test"], digits=9)))
+    full = ranks.correlations(rows.select("test", "x", "y"), ["test"], digits=9).select("test", F.col("r").alias("rho_full"))
+    return _r(full.join(within, "test"), ["test", "n"], {"rho_full": "rho_full", "rho_within": "r"})
 
 
 def subject_means(spark, d):
@@ -216,10 +228,10 @@ def subject_means(spark, d):
 
 
 def fitted_elsewhere(spark, d):
-    """Scores of one half of the subjects by a model fitted on the other half."""
+    """Scores of each half of the subjects by a model fitted on the other half."""
     f = features(spark, d)
-    m = UScore.fit(f.where("subject < 15"), ["hr_std"])["hr_std"]
-    return _r(f.where("subject >= 15").withColumn("u", m.score("hr_std")), ["subject", "win"], ["u"])
+    low, high = (UScore.fit(f.where(c), ["hr_std"])["hr_std"] for c in ("subject < 15", "subject >= 15"))
+    return _r(f.withColumn("u", F.when(F.col("subject") < 15, high.score("hr_std")).otherwise(low.score("hr_std"))), ["subject", "win"], ["u"])
 
 
 def monotone_score(spark, d):
@@ -283,11 +295,23 @@ _LEVERAGE = {
     "loso_max": "max(c.r) FILTER (kind = 'loso')", "loso_max_delta": "max(abs(c.r - f.r)) FILTER (kind = 'loso')",
 }
 _WTABLE = [f"{c}_{v}" for c in [*CORE, *AUX] for v in ("mean", "std")]
-_LAG = {"sh": "SELECT *, lag(eda_mean, 1) OVER w AS sp, lead(eda_mean, 1) OVER w AS sm FROM feat WINDOW w AS (PARTITION BY subject ORDER BY win)"}
-for _k, _c in (("m1", "sm"), ("z0", "eda_mean"), ("p1", "sp")):
-    _LAG |= _coher_cte(f"lg_{_k}", "sh", "hr_mean", _c, [1])
-    _LAG[f"lc_{_k}"] = f"SELECT c_1, attention_mean, c_1 - avg(c_1) OVER (PARTITION BY subject) AS cc, attention_mean - avg(attention_mean) OVER (PARTITION BY subject) AS ac FROM lg_{_k}"
-_LAG["prs"] = " UNION ALL ".join(_pairs_sql({f"{n}|pooled": ("c_1", "attention_mean"), f"{n}|within": ("cc", "ac")}, f"lc_{k}") for n, k in ((-1, "m1"), (0, "z0"), (1, "p1")))
+_BY = range(-SHIFTS, SHIFTS + 1)
+_name = lambda k: f"m{-k}" if k < 0 else f"p{k}"
+_LAG = {"sh": "SELECT *, " + ", ".join(f"{'lead' if k < 0 else 'lag'}(eda_mean, {abs(k)}) OVER w AS s{_name(k)}" for k in _BY) + " FROM feat WINDOW w AS (PARTITION BY subject ORDER BY win)"}
+for _k in _BY:
+    _LAG |= _coher_cte(f"lg_{_name(_k)}", "sh", "hr_mean", f"s{_name(_k)}", [1])
+    _LAG[f"lc_{_name(_k)}"] = f"SELECT c_1, attention_mean, round(c_1 - avg(c_1) OVER (PARTITION BY subject), 9) AS cc, round(attention_mean - avg(attention_mean) OVER (PARTITION BY subject), 9) AS ac FROM lg_{_name(_k)}"
+_LAG["prs"] = " UNION ALL ".join(_pairs_sql({f"{k}|pooled": ("round(c_1, 9)", "round(attention_mean, 9)"), f"{k}|within": ("cc", "ac")}, f"lc_{_name(k)}") for k in _BY)
+_TEN = {k: v for p, (a, b) in PAIRS.items() for k, v in _coher_cte(f"w_{p}", "feat", a, b, [1]).items()}
+_CENTRE = lambda by: f"SELECT {by}, round(x - avg(x) OVER (PARTITION BY {by}, subject), 9) AS x, round(y - avg(y) OVER (PARTITION BY {by}, subject), 9) AS y FROM raw"
+_PAIRED = _TEN | {
+    "raw": " UNION ALL ".join(_pairs_sql({f"{p}|{t}": ("c_1", t) for t in TARGETS}, f"w_{p}", "subject, ") for p in PAIRS), "cen": _CENTRE("test"),
+    "tog": "SELECT test, 'full' AS kind, round(x, 9) AS x, round(y, 9) AS y FROM raw UNION ALL SELECT test, 'within', x, y FROM cen", **_spearman_sql("test, kind", "tog"),
+}
+_SWEEP = _ZL | {
+    "zv": f"SELECT *, {_ZV} AS z FROM feat", "qs": "SELECT unnest([" + ", ".join(map(str, SWEEP)) + "])::DOUBLE AS q, unnest([" + ", ".join(f"quantile_cont(z, {q})" for q in SWEEP) + "]) AS t FROM zv", "zq": "SELECT q, zv.* FROM zv JOIN qs ON z >= t",
+    "raw": _pairs_sql({t: ("z", t) for t in TARGETS}, "zq", "q, subject, "), "cen": _CENTRE("q, test"), "tog": "SELECT q, test, 'pooled' AS kind, round(x, 9) AS x, round(y, 9) AS y FROM raw UNION ALL SELECT q, test, 'within', x, y FROM cen", **_spearman_sql("q, test, kind", "tog"),
+}
 
 QUERIES = {
     "window_agg": (window_agg, with_sql(["cells"], f"SELECT subject, channel, win, {_r6(['mean', 'std'])}, n_samples FROM cells")),
@@ -304,21 +328,22 @@ QUERIES = {
     "shifted": (shifted, with_sql(["feat"], f"SELECT subject, win, {_r6({'eda_mean_lead2': 'lead(eda_mean, 2) OVER w', 'eda_mean_s1': 'lag(eda_mean, 1) OVER w', 'eda_mean_s3': 'lag(eda_mean, 3) OVER w'})} FROM feat WINDOW w AS (PARTITION BY subject ORDER BY win)")),
     "centred": (centred, with_sql(["feat"], f"SELECT subject, win, {_r6({'hr_mean_c': 'hr_mean - avg(hr_mean) OVER w', 'acc_mean_c': 'acc_mean - avg(acc_mean) OVER w'})} FROM feat WINDOW w AS (PARTITION BY subject)")),
     "coherence_sweep": (coherence_sweep, with_sql(["feat"], f"SELECT subject, win, {_r6([f'c_{n}' for n in (1, 2, 3, 5, 8, 10)])} FROM c", _coher_cte("c", "feat", "hr_mean", "eda_mean", [1, 2, 3, 5, 8, 10]))),
-    "coherence_pairs": (coherence_pairs, with_sql(["feat"], "SELECT a.subject, a.win, round(a.c_1, 6) + 0.0 AS hr_eda_1, round(b.c_1, 6) + 0.0 AS hr_bvp_1, round(c.c_1, 6) + 0.0 AS eda_bvp_1 FROM a JOIN b ON a.subject = b.subject AND a.win = b.win JOIN c ON a.subject = c.subject AND a.win = c.win", _coher_cte("a", "feat", "hr_mean", "eda_mean", [1]) | _coher_cte("b", "feat", "hr_mean", "bvp_mean", [1]) | _coher_cte("c", "feat", "eda_mean", "bvp_mean", [1]))),
+    "coherence_pairs": (coherence_pairs, with_sql(["feat"], "SELECT f.subject, f.win, " + ", ".join(f"round(w_{p}.c_1, 6) + 0.0 AS {p}_1" for p in PAIRS) + " FROM feat f " + " ".join(f"JOIN w_{p} ON w_{p}.subject = f.subject AND w_{p}.win = f.win" for p in PAIRS), _TEN)),
     "period_assignment": (period_assignment, with_sql(["feat"], "SELECT subject, win, period, win_in_period FROM perw", _PERIOD)),
     "period_summary": (period_summary, with_sql(["feat"], "SELECT subject, round(avg(hr_mean) FILTER (period = 'pre'), 6) + 0.0 AS pre, round(avg(hr_mean) FILTER (period = 'debate'), 6) + 0.0 AS debate FROM perw WHERE win_in_period >= 1 GROUP BY subject", _PERIOD)),
     "stability": (stability, with_sql(["feat"], f"SELECT subject, win, {_r6({f'{c}_S_estab': u_expr(f'u_{c}', f'{c}_std') for c in CORE} | {'S_estab': _ESTAB})} FROM feat", _U)),
     "conduct_variants": (conduct_variants, with_sql(["feat"], f"SELECT subject, win, {_r6({'R_attention': 'a', 'R_acc_movement': 'm', 'R_acc_lo': 'lo', 'S_cond_att_acc': mean_sql(['a', 'm']), 'S_cond_att_mono_acc_hi': mean_sql(['am', 'hi']), 'S_cond_combined': mean_sql(['a', 'm'])})} FROM v", _COND | _mono_cte("ma", "feat", "attention_mean") | _mono_cte("mm", "feat", "acc_std") | {"v": f"SELECT subject, win, {u_expr('u_at', 'attention_mean')} AS a, {u_expr('u_mv', 'acc_std')} AS m, {_mono('mm', 'acc_std', -1)} AS lo, {_mono('mm', 'acc_std', 1)} AS hi, {_mono('ma', 'attention_mean', 1)} AS am FROM feat"})),
     "window_scores": (window_scores, with_sql(["feat"], f"SELECT subject, win, {_r6(['S_estab', 'S_coher_1', 'S_coher_5', 'score_3', 'score_2', 'score_3_prev5'])} FROM scored", _SCORED)),
     "z_variability": (z_variability, with_sql(["feat"], f"SELECT subject, win, round({_ZV}, 6) + 0.0 AS z_var FROM feat", _ZL)),
-    "high_variability_sweep": (high_variability_sweep, with_sql(["feat"], "SELECT q AS quantile, n, round(r, 6) + 0.0 AS r FROM cor WHERE n >= 10", _ZL | {"zv": f"SELECT hr_mean, eda_mean, {_ZV} AS z FROM feat", "qs": "SELECT unnest([0.0, 0.25, 0.5, 0.75])::DOUBLE AS q, unnest([quantile_cont(z, 0.0), quantile_cont(z, 0.25), quantile_cont(z, 0.5), quantile_cont(z, 0.75)]) AS t FROM zv", "prs": "SELECT q, hr_mean AS x, eda_mean AS y FROM zv JOIN qs ON z >= t WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL"} | _spearman_sql("q"))),
+    "high_variability_sweep": (high_variability_sweep, with_sql(["feat"], "SELECT q AS quantile, test, kind, n, round(r, 6) + 0.0 AS r FROM cor WHERE n >= 10", _SWEEP)),
+    "pair_leverage": (pair_leverage, with_sql(["feat"], "SELECT a.test, b.n, round(a.r, 6) + 0.0 AS rho_full, round(b.r, 6) + 0.0 AS rho_within FROM cor a JOIN cor b ON a.test = b.test AND a.kind = 'full' AND b.kind = 'within' WHERE a.n >= 10", _PAIRED)),
     "median_split": (median_split, with_sql(["feat"], "SELECT CASE WHEN S_coher_1 >= m1 THEN 'high' ELSE 'low' END AS side, count(*) AS n, round(avg(attention_mean), 6) + 0.0 AS attention, round(avg(acc_mean), 6) + 0.0 AS acc FROM scored WHERE S_coher_1 IS NOT NULL GROUP BY 1", _SCORED)),
     "component_independence": (component_independence, with_sql(["feat"], f"SELECT test, count(*) AS n, round({corr_sql('x', 'y')}, 6) + 0.0 AS r FROM prs GROUP BY test", _SCORED | {"prs": _pairs_sql({"estab_coher": ("S_estab", "S_coher_1"), "estab_cond": ("S_estab", "S_cond_att_acc"), "coher_cond": ("S_coher_1", "S_cond_att_acc")}, "scored")})),
     "components_vs_targets": (components_vs_targets, with_sql(["feat"], "SELECT test, n, round(r, 6) + 0.0 AS r FROM cor", _SCORED | {"prs": _pairs_sql({f"{m}|{y}": (m, y) for m in ("S_estab", "S_coher_1", "S_coher_5", "S_cond_att_acc", "score_3") for y in TARGETS}, "scored")} | _spearman_sql("test"))),
     "leverage": (leverage, with_sql(["feat"], f"SELECT f.test AS target, any_value(f.n) AS n, {_r6(_LEVERAGE)} FROM ful f JOIN cor c ON f.test = c.test GROUP BY f.test", _LEV)),
     "lag_sensitivity": (lag_sensitivity, with_sql(["feat"], "SELECT test, n, round(r, 6) + 0.0 AS r FROM cor", _LAG | _spearman_sql("test"))),
-    "cross_correlogram": (cross_correlogram, with_sql(["feat"], "SELECT lag, count(r) AS subjects, round(avg(r), 6) + 0.0 AS mean_r FROM cor WHERE n >= 10 GROUP BY lag", {"ps": "SELECT subject, hr_mean, eda_mean, row_number() OVER (PARTITION BY subject ORDER BY win) AS p FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL", "lg": "SELECT unnest(range(-3, 4)) AS lag", "prs": "SELECT h.subject, lag, h.hr_mean AS x, e.eda_mean AS y FROM ps h CROSS JOIN lg JOIN ps e ON e.subject = h.subject AND h.p = e.p + lag"} | _spearman_sql("subject, lag"))),
+    "cross_correlogram": (cross_correlogram, with_sql(["feat"], "SELECT c.lag, count(r) AS subjects, coalesce(any_value(k), 0) AS strongest, round(avg(r), 6) + 0.0 AS mean_r FROM en c LEFT JOIN (SELECT lag, count(*) AS k FROM bl GROUP BY lag) b ON b.lag = c.lag GROUP BY c.lag", {"ps": "SELECT subject, hr_mean, eda_mean, row_number() OVER (PARTITION BY subject ORDER BY win) AS p FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL", "lg": f"SELECT unnest(range({-LAGS}, {LAGS + 1})) AS lag", "prs": f"SELECT h.subject, lag, h.hr_mean AS x, e.eda_mean AS y FROM ps h CROSS JOIN lg JOIN ps e ON e.subject = h.subject AND h.p = e.p + lag WHERE h.subject IN (SELECT subject FROM ps GROUP BY subject HAVING count(*) >= {COMMON_MIN})"} | _spearman_sql("subject, lag") | {"en": "SELECT * FROM cor WHERE n >= 10", "bl": "SELECT subject, arg_max(lag, (round(abs(r), 9), -lag)) AS lag FROM en WHERE r IS NOT NULL GROUP BY subject"})),
     "subject_means": (subject_means, with_sql(["feat"], f"SELECT subject, count(*) AS n, {_r6({c: f'avg({c}_mean)' for c in CORE})} FROM feat GROUP BY subject")),
-    "fitted_elsewhere": (fitted_elsewhere, with_sql(["feat"], f"SELECT subject, win, round({u_expr('ref', 'hr_std')}, 6) + 0.0 AS u FROM feat WHERE subject >= 15", {"half": "SELECT * FROM feat WHERE subject < 15"} | u_sql("ref", "half", "hr_std"))),
+    "fitted_elsewhere": (fitted_elsewhere, with_sql(["feat"], f"SELECT subject, win, round(CASE WHEN subject < 15 THEN {u_expr('rhi', 'hr_std')} ELSE {u_expr('rlo', 'hr_std')} END, 6) + 0.0 AS u FROM feat", {"lo": "SELECT * FROM feat WHERE subject < 15", "hi": "SELECT * FROM feat WHERE subject >= 15"} | u_sql("rlo", "lo", "hr_std") | u_sql("rhi", "hi", "hr_std"))),
     "monotone_score": (monotone_score, with_sql(["feat"], f"SELECT subject, win, {_r6({'up': _mono('ma', 'attention_mean', 1), 'down': _mono('ma', 'attention_mean', -1)})} FROM feat", _mono_cte("ma", "feat", "attention_mean"))),
 }
