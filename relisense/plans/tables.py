@@ -91,7 +91,7 @@ def u_sql(name: str, source: str, column: str) -> dict[str, str]:
     log = f"ln({column} + 1e-9)"
     return {
         f"{name}_e": f"SELECT coalesce(quantile_cont({column}, 0.01) FILTER (WHERE {column} > 0), 1e-6) AS e FROM {source}",
-        f"{name}_m": f"SELECT median({log}) AS m FROM {source}, {name}_e WHERE {column} >= e",
+        f"{name}_m": f"SELECT coalesce(median({log}), 0.0) AS m FROM {source}, {name}_e WHERE {column} >= e",
         f"{name}_s": f"SELECT CASE WHEN median(abs({log} - m)) > 0 THEN 1.4826 * median(abs({log} - m)) ELSE 1.0 END AS s FROM {source}, {name}_e, {name}_m WHERE {column} >= e",
     }
 

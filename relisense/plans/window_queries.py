@@ -341,7 +341,7 @@ QUERIES = {
     "component_independence": (component_independence, with_sql(["feat"], f"SELECT test, count(*) AS n, round({corr_sql('x', 'y')}, 6) + 0.0 AS r FROM prs GROUP BY test", _SCORED | {"prs": _pairs_sql({"estab_coher": ("S_estab", "S_coher_1"), "estab_cond": ("S_estab", "S_cond_att_acc"), "coher_cond": ("S_coher_1", "S_cond_att_acc")}, "scored")})),
     "components_vs_targets": (components_vs_targets, with_sql(["feat"], "SELECT test, n, round(r, 6) + 0.0 AS r FROM cor", _SCORED | {"prs": _pairs_sql({f"{m}|{y}": (m, y) for m in ("S_estab", "S_coher_1", "S_coher_5", "S_cond_att_acc", "score_3") for y in TARGETS}, "scored")} | _spearman_sql("test"))),
     "leverage": (leverage, with_sql(["feat"], f"SELECT f.test AS target, any_value(f.n) AS n, {_r6(_LEVERAGE)} FROM ful f JOIN cor c ON f.test = c.test GROUP BY f.test", _LEV)),
-    "lag_sensitivity": (lag_sensitivity, with_sql(["feat"], "SELECT test, n, round(r, 6) + 0.0 AS r FROM cor", _LAG | _spearman_sql("test"))),
+    "lag_sensitivity": (lag_sensitivity, with_sql(["feat"], "SELECT test, n, round(r, 6) + 0.0 AS r FROM cor WHERE n >= 10", _LAG | _spearman_sql("test"))),
     "cross_correlogram": (cross_correlogram, with_sql(["feat"], "SELECT c.lag, count(r) AS subjects, coalesce(any_value(k), 0) AS strongest, round(avg(r), 6) + 0.0 AS mean_r FROM en c LEFT JOIN (SELECT lag, count(*) AS k FROM bl GROUP BY lag) b ON b.lag = c.lag GROUP BY c.lag", {"ps": "SELECT subject, hr_mean, eda_mean, row_number() OVER (PARTITION BY subject ORDER BY win) AS p FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL", "lg": f"SELECT unnest(range({-LAGS}, {LAGS + 1})) AS lag", "prs": f"SELECT h.subject, lag, h.hr_mean AS x, e.eda_mean AS y FROM ps h CROSS JOIN lg JOIN ps e ON e.subject = h.subject AND h.p = e.p + lag WHERE h.subject IN (SELECT subject FROM ps GROUP BY subject HAVING count(*) >= {COMMON_MIN})"} | _spearman_sql("subject, lag") | {"en": "SELECT * FROM cor WHERE n >= 10", "bl": "SELECT subject, arg_max(lag, (round(abs(r), 9), -lag)) AS lag FROM en WHERE r IS NOT NULL GROUP BY subject"})),
     "subject_means": (subject_means, with_sql(["feat"], f"SELECT subject, count(*) AS n, {_r6({c: f'avg({c}_mean)' for c in CORE})} FROM feat GROUP BY subject")),
     "fitted_elsewhere": (fitted_elsewhere, with_sql(["feat"], f"SELECT subject, win, round(CASE WHEN subject < 15 THEN {u_expr('rhi', 'hr_std')} ELSE {u_expr('rlo', 'hr_std')} END, 6) + 0.0 AS u FROM feat", {"lo": "SELECT * FROM feat WHERE subject < 15", "hi": "SELECT * FROM feat WHERE subject >= 15"} | u_sql("rlo", "lo", "hr_std") | u_sql("rhi", "hi", "hr_std"))),
