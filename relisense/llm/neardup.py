@@ -268,12 +268,13 @@ def _across(dealt: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFr
     """
     at = dealt.join(found, "id", "left").select(*dealt.columns, F.coalesce("component", "id").alias("component"))
     at = written(at.join(classes.select("id", limits.size_class("n").alias("sizes")), "id"))
-    per = at.groupBy("value", "component").count()
-    core = written(per.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("core"), F.sum("count").alias("count"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    per = written(at.groupBy("value", "component").count())
+    core = per.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("component"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    core = written(core.select("value", "component"))
     if core.isEmpty():
         return None
-    at = join_hot(at, core, "value", "count")
-    outside = at.where("component <> core")
+    others = per.join(core, ["value", "component"], "left_anti").join(core, "value", "left_semi").select("value", "component")
+    outside = written(at.join(others, ["value", "component"], "left_semi"))
     lanes = outside.groupBy("value", "sizes").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lanes"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     out = outside.join(lanes, ["value", "sizes"]).withColumn("lane", F.pmod(F.xxhash64("value", "id"), "lanes").cast("int")).withColumn("own", each("blocks"))
