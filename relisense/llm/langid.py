@@ -66,16 +66,19 @@ class LanguageModel:
     #: Probability of each bucket (rows) under each language (columns).
     prob: np.ndarray
 
-    def mixture(self, p: np.ndarray, n: np.ndarray, which: list[int]) -> tuple[np.ndarray, float]:
-        """Proportions of these languages, and the log-likelihood, for bucket rows p counted n times."""
+    def mixture(self, p: np.ndarray, n: np.ndarray, which: list[int]) -> tuple[np.ndarray, float, float]:
+        """Proportions of these languages, the log-likelihood for bucket rows p counted n times, and
+        a bound that no mixture of them can exceed (the likelihood is concave in the proportions)."""
         q = p[:, which]
         share = np.full(len(which), 1 / len(which))
+        total = n.sum()
         if len(which) > 1:
-            total = n.sum()
             for _ in range(EM_STEPS):
                 w = q * share
                 share = (n / w.sum(axis=1)) @ w / total
-        return share, float(n @ np.log(q @ share))
+        mix = q @ share
+        fit = float(n @ np.log(mix))
+        return share, fit, fit + float(((n / mix) @ q).max() - total)
 
     def predict(self, text: str | None) -> tuple[str, float, str]:
         """(language, its share, selected languages with shares); ties go to the earlier name."""
@@ -84,12 +87,15 @@ class LanguageModel:
             return UNDETERMINED, 0.0, ""
         at, n = np.unique(b, return_counts=True) if len(b) < 4000 else _counted(b)
         p, n = self.prob[at], n.astype(float)
-        share, _ = self.mixture(p, n, list(range(len(self.languages))))
+        share, _, bound = self.mixture(p, n, list(range(len(self.languages))))
         order = np.argsort(-share, kind="stable").tolist()
         best = None
         for k in range(1, len(order) + 1):
-            own, fit = self.mixture(p, n, order[:k])
-            fit -= PENALTY * (k - 1) * np.log(len(b) + 1)
+            cost = PENALTY * (k - 1) * np.log(len(b) + 1)
+            if best is not None and bound - cost <= best[0]:
+                break  # no set of k or more languages can be better
+            own, fit, _ = self.mixture(p, n, order[:k])
+            fit -= cost
             if best is None or fit > best[0]:
                 best = (fit, order[:k], own)
         _, which, own = best
@@ -143,7 +149,7 @@ def identify(text: Column | str, model: LanguageModel) -> Column:
         for batch in batches:
             yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang", "score", "langs"])
 
-    return run(text)
+    return run.asNondeterministic()(text)  # or a filter on the result would have it run twice
 
 
 def remainder(id_col: str = "doc_id") -> Column:
