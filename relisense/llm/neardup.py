@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one = group.drop_duplicates("id")
         return pd.DataFrame(block_links(one["id"].to_numpy(), one["members"].tolist(), percent), columns=["a", "b"], dtype="int64")
 
-    inside = dealt.join(sets, "id").groupBy("value", "own").applyInPandas(forest, "a long, b long")
+    inside = _with_sets(dealt.select("id", "value", "own"), sets).groupBy("value", "own").applyInPandas(forest, "a long, b long")
     found = components(written(links.unionByName(inside)))
     if across := _across(dealt, found, classes, sets, limits, written):
         more = across.groupBy("value", "sizes", "lane", "own").applyInPandas(forest, "a long, b long")
@@ -279,8 +279,15 @@ def _across(dealt: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFr
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     out = outside.join(lanes, ["value", "sizes"]).withColumn("lane", F.pmod(F.xxhash64("value", "id"), "lanes").cast("int")).withColumn("own", each("blocks"))
     members = at.withColumn("sizes", F.explode(F.sequence(F.col("sizes") - 1, F.col("sizes") + 1))).join(lanes, ["value", "sizes"]).withColumn("lane", each("lanes"))
-    keys = ["value", "sizes", "lane", "own", "id"]
-    return out.select(keys).unionByName(members.select(keys)).join(sets, "id")
+    keys = ["id", "value", "sizes", "lane", "own"]
+    return _with_sets(out.select(keys).unionByName(members.select(keys)), sets)
+
+
+def _with_sets(places: DataFrame, sets: DataFrame) -> DataFrame:
+    """places (id and where it goes) with the ids' members: a set is joined once, then dealt out."""
+    to = [c for c in places.columns if c != "id"]
+    per = places.groupBy("id").agg(F.collect_list(F.struct(*to)).alias("_to"))
+    return per.join(sets, "id").select("id", "members", F.explode("_to").alias("_to")).select("id", "members", "_to.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
