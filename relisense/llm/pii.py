@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 CONTEXT_CHARS = 30
 SCORE_MIN = 0.5
 BASE_KINDS = ("email", "ip", "card", "phone")
+#: Matches of a text that are gone through together, at least.
+BLOCK_LEAST = 32
 
 
 def _digits(m: Column) -> Column:
@@ -95,23 +97,55 @@ KINDS = (
 NONE = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), in which value is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in_blocks(items: Column, first: Column, carry: Callable[[Column, Column], Column], fold: Callable[[Column, Column], Column]) -> Column:
+    """What ``fold`` makes of each block of consecutive items, one array after the other.
+
+    A fold that lists what it finds copies the list at every item, so long arrays are cut into
+    blocks of about the root of their length: fold(block, state before it) returns an array,
+    carry(state, block) is the state behind it.
+    """
+
+    def states(blocks: Column) -> Column:
+        begin = F.struct(first.alias("now"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(blocks, begin, lambda a, x: F.struct(carry(a["now"], x).alias("now"), F.array_append(a["out"], a["now"]).alias("out")), lambda a: a["out"])
+
+    def cut(c: Column) -> Column:
+        each = F.greatest(F.lit(BLOCK_LEAST), F.ceil(F.sqrt(F.size(c)))).cast("int")
+        blocks = _let(each, lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(c), F.lit(1)) - 1) / b).cast("int")), lambda k: F.slice(c, k * b + 1, b)))
+        return _let(blocks, lambda x: F.flatten(F.zip_with(x, states(x), fold)))
+
+    return _let(items, cut)
+
+
 def _spans(kind: Kind, text: str) -> Column:
     """array<struct<kind, start, end, score>> in text order; offsets are code points."""
     needs = F.col(text).contains(kind.needs) if kind.needs else F.lit(True)
     found = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"))
+    last = lambda s: F.right(s, F.lit(CONTEXT_CHARS))
 
     def step(a: Column, x: Column) -> Column:
         start = a["pos"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        near = F.lower(F.substring(F.col(text), F.greatest(start - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT_CHARS)).cast("int")))
-        score = F.lit(kind.score) + F.when(near.rlike(kind.context), 0.2).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), score.alias("score"))
-        keep = x["ok"] & (F.lit(True) if kind.name in BASE_KINDS else score >= SCORE_MIN)
-        return F.struct(end.cast("long").alias("pos"), F.when(keep, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+        near = last(F.concat(a["tail"], x["gap"]))
+        return _let(F.struct(start.alias("start"), (a["pos"] + x["size"]).alias("end"), near.alias("near"), (F.lit(kind.score) + F.when(F.lower(near).rlike(kind.context), 0.2).otherwise(0.0)).alias("score")), lambda v: after(a, x, v))
 
-    checked = F.transform(found, lambda x: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), F.coalesce(kind.valid(x["m"]), F.lit(False)).alias("ok")))
-    first = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(NONE).alias("out"))
-    return F.when(needs & F.col(text).rlike(kind.pattern), F.aggregate(checked, first, step, lambda a: a["out"])).otherwise(F.array().cast(NONE))
+    def after(a: Column, x: Column, v: Column) -> Column:
+        span = F.struct(F.lit(kind.name).alias("kind"), v["start"].alias("start"), v["end"].alias("end"), v["score"].alias("score"))
+        keep = x["ok"] & (F.lit(True) if kind.name in BASE_KINDS else v["score"] >= SCORE_MIN)
+        return F.struct(v["end"].alias("pos"), last(F.concat(v["near"], F.coalesce(x["m"], F.lit("")))).alias("tail"), F.when(keep, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+    def block(x: Column, at: Column) -> Column:
+        tail = F.substring(F.col(text), F.greatest(at - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(at, F.lit(CONTEXT_CHARS)).cast("int"))
+        return F.aggregate(x, F.struct(at.alias("pos"), tail.alias("tail"), F.array().cast(NONE).alias("out")), step, lambda a: a["out"])
+
+    size = lambda x: (F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("long")
+    checked = F.transform(found, lambda x: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), F.coalesce(kind.valid(x["m"]), F.lit(False)).alias("ok"), size(x).alias("size")))
+    ends = lambda at, x: at + F.aggregate(x, F.lit(0).cast("long"), lambda n, m: n + m["size"])
+    return F.when(needs & F.col(text).rlike(kind.pattern), _in_blocks(checked, F.lit(0).cast("long"), ends, block)).otherwise(F.array().cast(NONE))
 
 
 def _found(docs: DataFrame, text_col: str) -> DataFrame:
@@ -151,14 +185,21 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     found = _found(docs, text_col)
     by_place = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    reach = lambda at, x: F.aggregate(x, at, lambda n, s: F.greatest(n, s["end"]))
+
+    def block(x: Column, at: Column) -> Column:
+        """What stands for the text from ``at``, where the blocks before end, to the end of this one."""
+        part = F.substring(F.col("_text"), at.cast("int") + 1, (reach(at, x) - at).cast("int"))
+        return _let(part, lambda t: F.aggregate(x, F.struct(at.alias("pos"), F.array().cast("array<string>").alias("out")), lambda a, s: put(a, s, t, at), lambda a: a["out"]))
 
-    def put(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col("_text"), a["pos"].cast("int") + 1, F.greatest(s["start"] - a["pos"], F.lit(0)).cast("int"))
-        text = F.when(s["start"] < a["pos"], a["text"]).otherwise(F.concat(a["text"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), text.alias("text"))
+    def put(a: Column, s: Column, part: Column, at: Column) -> Column:
+        gap = F.substring(part, (a["pos"] - at).cast("int") + 1, F.greatest(s["start"] - a["pos"], F.lit(0)).cast("int"))
+        out = F.when(s["start"] < a["pos"], a["out"]).otherwise(F.array_append(a["out"], F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), out.alias("out"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("text"))
-    new = F.aggregate(by_place, begin, put, lambda a: F.concat(a["text"], F.substring(F.col("_text"), a["pos"].cast("int") + 1, F.length("_text"))))
+    zero = F.lit(0).cast("long")
+    rest = F.substring(F.col("_text"), F.array_max(F.transform("_spans", lambda s: s["end"])).cast("int") + 1, F.length("_text"))
+    new = F.concat(F.array_join(_in_blocks(by_place, zero, reach, block), ""), rest)
     new = F.when(F.size("_spans") > 0, new).otherwise(_own(text_col))
     out = found.select("_row", "_spans", new.alias("_new"))
     length = F.when(F.size("_spans") > 0, F.length("_new").cast("long"))

@@ -187,3 +187,19 @@ def test_verdict_separates_junk(spark):
 
 def test_base_digest(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_many_spans_in_one_text(spark):
+    n = 3000
+    pieces = [f"user{i}@host{i}.org" if i % 3 else f"call +49 30 {1000000 + i}" for i in range(n)]
+    text = " é ".join(pieces)
+    found = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["_spans"]
+    at, want = 0, []
+    for i, p in enumerate(pieces):
+        skip = 0 if i % 3 else len("call ")
+        want.append(("email" if i % 3 else "phone", at + skip, at + len(p)))
+        at += len(p) + 3
+    assert [(s["kind"], s["start"], s["end"]) for s in found if s["kind"] in ("email", "phone")] == sorted(want, key=lambda s: (s[0] == "phone", s[1]))
+    assert all(s["score"] == pytest.approx(0.8) for s in found if s["kind"] == "phone")  # the word before each
+    redacted = redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert redacted == " é ".join("[EMAIL]" if i % 3 else "call [PHONE]" for i in range(n))
