@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relisense.llm import decontaminate, html_text, langid, neardup, packing, pii, quality, sharding, token_counts, warc
+from relisense.llm import bpe, decontaminate, filter_audit, html_text, langid, neardup, packing, pii, quality, sharding, token_counts, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_warc": warc.op10_warc,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_bpe": bpe.op12_bpe,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -44,4 +47,4 @@ FROM q LEFT JOIN m ON q.payload_digest = m.payload_digest AND payload_bytes >= 1
 
 def oracle_sql() -> dict[str, str]:
     """The others hash, tokenise or fit in ways that SQL has no words for; tests hold them against brute force."""
-    return {"op6_near_dedup": _NEAR, "op10_warc": _WARC}
+    return {"op6_near_dedup": _NEAR, "op10_warc": _WARC, "op11_vector_codes": vector_codes.SQL, "op13_filter_audit": filter_audit.SQL}
