@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relisense.functions import special
+from relisense.functions import tails
 from relisense.functions.columns import as_col, div
 from relisense.functions.keep import keep
 from relisense.functions.quantiles import quantiles
@@ -121,8 +121,7 @@ def delong(df: DataFrame, a: str, b: str, label: str = "label") -> DataFrame:
     by = rows.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"), F.var_samp(F.col("va") - F.col("vb")).alias("s"))
     out = by.agg(F.max(F.when(F.col("label") == 1, F.col("ma"))).alias("auc_a"), F.max(F.when(F.col("label") == 1, F.col("mb"))).alias("auc_b"), F.greatest(F.sum(F.col("s") / F.col("k")), F.lit(VARIANCE_MIN)).alias("var"))
     out = out.withColumn("diff", F.col("auc_a") - F.col("auc_b")).withColumn("z", F.col("diff") / F.sqrt("var"))
-    p = F.pandas_udf(lambda z: pd.Series([None if pd.isna(x) else 2 * special.norm_sf(abs(x)) for x in z], dtype="float64"), "double")
-    return out.withColumn("p", p("z"))
+    return out.withColumn("p", tails.norm_sf2(F.col("z")))
 
 
 def resampled_auc(df: DataFrame, scores: list[str], label: str = "label", replicas: int = 2000, seed: int = 42) -> DataFrame:

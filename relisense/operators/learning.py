@@ -1,7 +1,7 @@
-"""Exploratory models: leave-one-subject-out treatments and content models, on MLlib.
+"""Exploratory models: leave-one-subject-out treatments and content models.
 
-Tree ensembles and regularised models are MLlib's own; their figures are not meant to equal
-those of other libraries.
+Forests are grown by ``forest``, boosted trees and regularised models are MLlib's own; their
+figures are not meant to equal those of other libraries.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Imputer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relisense.functions.keep import keep
+from relisense.operators import forest, models
 from relisense.operators.classify import agreement
 
 #: Fixed values of the treatments: least score of the filter, and the shares they keep.
@@ -51,17 +52,28 @@ def treated(rows: DataFrame, treatment: str, score: str, seed: int = 42) -> Data
     return rows.withColumn("weight", F.lit(1.0))
 
 
-def leave_one_subject_out(rows: DataFrame, inputs: list[str], target: str, score: str, treatments=TREATMENTS, model: str = "forest", trees: int = 200, seed: int = 42) -> DataFrame:
-    """(treatment, subject, n, ccc, rmse, mae): a model per held-out subject and treatment.
+def loso_predictions(rows: DataFrame, inputs: list[str], target: str, score: str, treatments: tuple[str, ...] = TREATMENTS, trees: int = 200, depth: int = forest.DEPTH, leaf: int = forest.LEAF, seed: int = 42) -> DataFrame:
+    """(treatment, subject, y, x): every row predicted by forests that have not seen its subject.
 
-    The fold loop is on the driver, a distributed fit each, and a subject's predictions are
-    kept so that its models can go; missing inputs are imputed by the training median.
+    All subjects, treatments and trees are grown together (see ``forest``); a treatment only
+    changes what is trained on, the held-out rows are always all of a subject's.
+    """
+    weights = {"base": F.lit(1.0), "filter": (F.col(score) > FILTER_MIN).cast("double"), "weight": F.col(score), "variance_weight": F.col("w_var")}
+    drop = {"random_drop": "filter"} if "random_drop" in treatments else {}
+    return forest.leave_one_out_forests(rows, inputs, target, {t: w for t, w in weights.items() if t in treatments or drop and t == "filter"}, drop, trees=trees, depth=depth, leaf=leaf, seed=seed).where(F.col("treatment").isin(*treatments))
+
+
+def boosted_predictions(rows: DataFrame, inputs: list[str], target: str, score: str, treatments: tuple[str, ...] = TREATMENTS, rounds: int = 300, seed: int = 42) -> DataFrame:
+    """The same from MLlib's boosted trees, a distributed fit per held-out subject and treatment.
+
+    The fold loop is on the driver, so this is for few subjects; missing inputs are imputed
+    by the training median.
     """
     made = VectorAssembler(inputCols=[f"{c}_i" for c in inputs], outputCol="features")
     fill = Imputer(strategy="median", inputCols=inputs, outputCols=[f"{c}_i" for c in inputs])
 
     def fold(s) -> DataFrame | None:
-        fit = RandomForestRegressor(labelCol=target, weightCol="weight", numTrees=trees, minInstancesPerNode=5, seed=seed) if model == "forest" else GBTRegressor(labelCol=target, weightCol="weight", maxIter=trees, stepSize=0.05, minInstancesPerNode=20, seed=seed)
+        fit = GBTRegressor(labelCol=target, weightCol="weight", maxIter=rounds, stepSize=0.05, minInstancesPerNode=20, seed=seed)
         parts = []
         for t in treatments:
             train = treated(rows.where(F.col("subject") != s), t, score, seed)
@@ -74,13 +86,33 @@ def leave_one_subject_out(rows: DataFrame, inputs: list[str], target: str, score
     subjects = sorted(r["subject"] for r in rows.select("subject").distinct().collect())
     with ThreadPool(FITS_AT_ONCE) as pool:
         done = [p for p in pool.map(inheritable_thread_target(rows.sparkSession)(fold), subjects, chunksize=1) if p is not None]
-    return agreement(reduce(DataFrame.unionByName, done), ["treatment", "subject"])
+    return reduce(DataFrame.unionByName, done)
 
 
-def fold_summary(folds: DataFrame) -> DataFrame:
-    """Per treatment: mean and deviation of ccc, and its difference from base per fold, on average."""
-    base = folds.where("treatment = 'base'").select("subject", F.col("ccc").alias("_b"))
-    return folds.join(base, "subject", "left").groupBy("treatment").agg(F.count("ccc").alias("folds"), F.avg("ccc").alias("ccc_mean"), F.stddev_samp("ccc").alias("ccc_std"), F.avg(F.col("ccc") - F.col("_b")).alias("ccc_gain"))
+def leave_one_subject_out(rows: DataFrame, inputs: list[str], target: str, score: str, treatments: tuple[str, ...] = TREATMENTS, model: str = "forest", trees: int | None = None, seed: int = 42) -> DataFrame:
+    """(treatment, subject, n, ccc, rmse, mae) per held-out subject and treatment: a forest of 200 trees or 300 boosted ones."""
+    if model == "forest":
+        return agreement(loso_predictions(rows, inputs, target, score, treatments, trees or 200, seed=seed), ["treatment", "subject"])
+    return agreement(boosted_predictions(rows, inputs, target, score, treatments, trees or 300, seed=seed), ["treatment", "subject"])
+
+
+def fold_summary(predictions: DataFrame, base: str = "base") -> DataFrame:
+    """(treatment, metric, folds, windows, mean, std, pooled, delta_mean, wilcoxon_p, ttest_p) from out-of-fold predictions.
+
+    mean and std are over folds, pooled is the figure over all rows; the differences of base
+    and treatment per fold are tested by signed ranks and by a paired t. Base itself has none.
+    """
+    metrics = ["ccc", "rmse", "mae"]
+    long = lambda df, keys: df.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("_m")).select(*keys, "n", "_m.metric", "_m.v")
+    folds = keep(long(agreement(predictions, ["treatment", "subject"]), ["treatment", "subject"]))
+    whole = long(agreement(predictions, ["treatment"]), ["treatment"]).select("treatment", "metric", F.col("n").alias("windows"), F.col("v").alias("pooled"))
+    own = folds.where(F.col("treatment") == base).select("subject", "metric", F.col("v").alias("_b"))
+    d = keep(folds.where(F.col("treatment") != base).join(own, ["subject", "metric"]).withColumn("d", F.col("_b") - F.col("v")))
+    keys = ["treatment", "metric"]
+    ranked = models.with_wilcoxon_p(models.signed_rank(d, keys, "d")).select(*keys, F.col("mean_diff").alias("delta_mean"), F.col("p").alias("wilcoxon_p"))
+    paired = models.with_t_p(models.paired_t(d, keys, "d"), "t", F.col("n") - 1).select(*keys, F.col("p").alias("ttest_p"))
+    per = folds.groupBy(*keys).agg(F.count("v").alias("folds"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    return per.join(whole, keys).join(ranked, keys, "left").join(paired, keys, "left").select(*keys, "folds", "windows", "mean", "std", "pooled", "delta_mean", "wilcoxon_p", "ttest_p")
 
 
 class Sublinear(Transformer):

@@ -10,10 +10,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relisense.functions import special
+from relisense.functions import special, tails
 from relisense.operators.ranks import average_rank
 
 
@@ -115,8 +115,13 @@ def signed_rank(pairs: DataFrame, keys: list[str], d: str) -> DataFrame:
 
 
 def with_wilcoxon_p(table: DataFrame) -> DataFrame:
-    f = F.pandas_udf(lambda n, w, t, e: pd.Series([None if pd.isna(a) or a < 3 else special.wilcoxon_p(int(a), b, c, bool(d) if d is not None else False) for a, b, c, d in zip(n, w, t, e, strict=True)], dtype="float64"), "double")
-    return table.withColumn("p", f("n", "w_plus", "tie_term", "ties"))
+    """Adds ``p``, two-sided, to a table of signed-rank statistics; NULL for fewer than three differences."""
+    return table.withColumn("p", tails.wilcoxon_p(F.col("n"), F.col("w_plus"), F.col("tie_term"), F.col("ties")))
+
+
+def with_t_p(table: DataFrame, t: str, df: Column) -> DataFrame:
+    """Adds ``p``, two-sided, to a table of t statistics."""
+    return table.withColumn("p", tails.t_sf2(F.col(t), df))
 
 
 def paired_t(pairs: DataFrame, keys: list[str], d: str) -> DataFrame:

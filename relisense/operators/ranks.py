@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relisense.functions import special
+from relisense.functions import tails
 from relisense.functions.columns import as_col, div, pearson
 from relisense.functions.keep import keep
 from relisense.functions.ordered import with_position
@@ -73,19 +73,13 @@ def correlations(pairs: DataFrame, keys: list[str], method: str = "spearman", le
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r.alias("r")).where(F.col("n") >= least)
 
 
-def _p_of(r: pd.Series, n: pd.Series, lost: int) -> pd.Series:
-    return pd.Series([special.correlation_p(None if pd.isna(a) else a, int(b), lost) for a, b in zip(r, n, strict=True)], dtype="float64")
-
-
 def with_p(tests: DataFrame, r: str = "r", n: str = "n", lost: int = 0) -> DataFrame:
     """Adds ``p``, two-sided, to a table of correlations (one row per test)."""
-    p = F.pandas_udf(lambda a, b: _p_of(a, b, lost), "double")
-    return tests.withColumn("p", p(F.col(r), F.col(n)))
+    return tests.withColumn("p", tails.correlation_p(r, n, lost))
 
 
 def with_chi2_p(tests: DataFrame, statistic: str, df: str) -> DataFrame:
-    f = F.pandas_udf(lambda s, d: pd.Series([None if pd.isna(a) else special.chi2_sf(a, b) for a, b in zip(s, d, strict=True)], dtype="float64"), "double")
-    return tests.withColumn("p", f(F.col(statistic), F.col(df)))
+    return tests.withColumn("p", tails.chi2_sf(F.col(statistic), F.col(df)))
 
 
 def kruskal(rows: DataFrame, keys: list[str], group: str, value: str, least_group: int = 2, least: int = 4) -> DataFrame:

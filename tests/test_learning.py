@@ -33,7 +33,7 @@ def caught(monkeypatch, name, run):
 
 
 def test_loso_query_takes_everything(spark, monkeypatch):
-    seen = caught(monkeypatch, "leave_one_subject_out", lambda: learning_queries.loso_treatments(spark, SF))
+    seen = caught(monkeypatch, "loso_predictions", lambda: learning_queries.loso_treatments(spark, SF))
     rated = learning_queries.features(spark, SF).where("hr_mean is not null")
     assert seen["rows"].select("subject").distinct().count() == rated.select("subject").distinct().count() > 3
     assert seen["rows"].count() == rated.count()
