@@ -12,6 +12,7 @@ from relisense.functions import tails
 from relisense.functions.columns import as_col, div, pearson
 from relisense.functions.keep import keep
 from relisense.functions.ordered import with_position
+from relisense.operators.left_out import loso_correlations
 
 #: Ranges into which the distinct values of a test are cut for ranking.
 RANK_RANGES = 32
@@ -176,7 +177,7 @@ def leverage(df: DataFrame, x: str, targets: list[str], subject: str = "subject"
 
     Columns: target, n, rho_full, rho_between, rho_within, p_within, loso_min, loso_max,
     loso_max_delta, most_influential. All correlations of all targets run as three keyed jobs;
-    leaving out a subject adds a key per subject, with the rows of the others.
+    those without a subject come from the ranks of all rows (see ``left_out``).
     """
     pairs = keep(long_pairs(df, {t: (x, t) for t in targets}, [subject]))
     full = correlations(pairs, ["test"], least=least).select(F.col("test").alias("target"), "n", F.col("r").alias("rho_full"))
@@ -204,10 +205,3 @@ def strongest_lag(correlogram: DataFrame, key: str = "subject") -> DataFrame:
     """(key, lag): where the correlation is largest in size; of equal ones the first lag."""
     size = F.struct(F.round(F.abs("r"), 9), -F.col("lag"))
     return correlogram.where("r is not null").groupBy(key).agg(F.max_by("lag", size).alias("lag"))
-
-
-def loso_correlations(pairs: DataFrame, subject: str = "subject") -> DataFrame:
-    """(test, excluded, n, r): Spearman without each subject in turn, from (subject, test, x, y)."""
-    subjects = pairs.select("test", F.col(subject).alias("excluded")).distinct()
-    rows = pairs.join(subjects, "test").where(F.col(subject) != F.col("excluded"))
-    return correlations(rows.select("test", "excluded", "x", "y"), ["test", "excluded"], least=3)
