@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from relisense.llm.shared import join_hot, shared_root
 
 _WORDS = r"[\x20\x09-\x0D]+"
+#: Parts whose counts in a state are written by one task.
+PARTS_PER_TASK = 50_000
 COUNTS = ("removed", "good_lost", "toxic_lost")
 
 
@@ -72,6 +74,8 @@ def trie_edges(rows: DataFrame, filters: str = "ABCDE") -> DataFrame:
     an executor is lost) until the states below have been counted.
     """
     counted: dict[str, DataFrame] = {}
+    # a state's table has a row per part and edge; many states with many partitions each would make a shuffle of very many blocks
+    files = max(1, -(-rows.select("part").distinct().count() // PARTS_PER_TASK))
 
     def visit(state: str, survivors: DataFrame) -> None:
         rest = [f for f in filters if f not in state]
@@ -81,7 +85,7 @@ def trie_edges(rows: DataFrame, filters: str = "ABCDE") -> DataFrame:
             survivors = survivors.persist(StorageLevel.MEMORY_AND_DISK)
         counts = [F.struct(F.lit(f).alias("filter"), F.count_if(f).alias("removed"), F.count_if(F.col(f) & F.col("good")).alias("good_lost"), F.count_if(F.col(f) & F.col("toxic")).alias("toxic_lost")) for f in rest]
         table = survivors.groupBy("part").agg(F.count(F.lit(1)).alias("survivors"), F.array(*counts).alias("_edges"))
-        counted[state] = table.select("part", F.lit(state).alias("state"), "survivors", F.explode("_edges").alias("_e")).select("part", "state", "_e.filter", "survivors", *[f"_e.{c}" for c in COUNTS]).checkpoint()
+        counted[state] = table.coalesce(files).select("part", F.lit(state).alias("state"), "survivors", F.explode("_edges").alias("_e")).select("part", "state", "_e.filter", "survivors", *[f"_e.{c}" for c in COUNTS]).checkpoint()
         for f, s in open_:
             if s not in counted:
                 visit(s, survivors.where(~F.col(f)).drop(f))
