@@ -9,9 +9,11 @@ them. Documents with equal sets form a class, and only classes are compared.
 2. A class with few rare values (a member of a large group of copies, or text made of
    passages that many share) also posts some of its smallest common values. These
    lists may be of any length. They are dealt into blocks of bounded size, and a task emits
-   no more than a spanning forest of the links in its block; since each value deals anew,
-   a group of copies comes together in this one pass. Only classes that are not in a list's
-   largest component yet are then held against the list's other blocks, where sizes fit.
+   no more than a spanning forest of the links in its block. Sets go to the blocks of their
+   first FIRST_LISTS lists and of all lists of one block; since each value deals anew, a group
+   of copies comes together in this one pass. Only classes that are not in a list's largest
+   component yet are then held against the list's blocks, where sizes fit, in all of their
+   lists.
 3. All links rest on the exact Jaccard similarity of the full sets.
 
 How a link could be missed: at the least similarity s, each of the smallest values of the
@@ -38,6 +40,9 @@ from relisense.llm.shared import in_parts, join_hot, shared_folder
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 3, 85
 SKETCH, POSTINGS, LIST_MAX, BLOCK = 64, 24, 48, 768
+#: A class's set goes to a block of so many of its longer lists of common values; in the others it
+#: is compared only where it, or another class there, is still outside of the list's largest component.
+FIRST_LISTS = 4
 #: Below, two linked sets could share too few values for the guarantees above.
 PERCENT_MIN = 75
 #: Up to so many ids (24 bytes each) the texts to compare are picked by a broadcast; beyond,
@@ -225,9 +230,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(pairs.where(near >= limits.estimate_min).select("a", "b"))
 
     # step 2: common values, in blocks
-    shared = lists.where("common is not null").select("id", F.explode("common").alias("value"))
+    shared = lists.where("common is not null").select("id", F.posexplode("common").alias("nth", "value"))
     lengths = written(shared.groupBy("value").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")))
-    dealt = written(join_hot(shared, lengths, "value", "count").withColumn("own", F.pmod(F.xxhash64("id", "value"), "blocks").cast("int")).select("id", "value", "blocks", "own"))
+    dealt = written(join_hot(shared, lengths, "value", "count").withColumn("own", F.pmod(F.xxhash64("id", "value"), "blocks").cast("int")).select("id", "value", "nth", "blocks", "own"))
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(dealt.select(F.col("id").alias("node"))).distinct()
     wanted = written(firsts.join(wanted, "node", "left_semi").select("node", "id", "text_hash"))
@@ -242,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         one = group.drop_duplicates("id")
         return pd.DataFrame(block_links(one["id"].to_numpy(), one["members"].tolist(), percent), columns=["a", "b"], dtype="int64")
 
-    inside = _with_sets(dealt.select("id", "value", "own"), sets).groupBy("value", "own").applyInPandas(forest, "a long, b long")
+    inside = dealt.where((F.col("nth") < FIRST_LISTS) | (F.col("blocks") == 1)).select("id", "value", "own").join(sets, "id").groupBy("value", "own").applyInPandas(forest, "a long, b long")
     found = components(written(links.unionByName(inside)))
     if across := _across(dealt, found, classes, sets, limits, written):
         more = across.groupBy("value", "sizes", "lane", "own").applyInPandas(forest, "a long, b long")
@@ -263,10 +268,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _across(dealt: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, limits: Limits, written) -> DataFrame | None:
     """Groups (value, sizes, lane, own) of sets in which links may remain; None if there are none.
 
-    In each list the classes outside of its largest component go, by size class, into lanes
-    of BLOCK; a lane meets the list's blocks, of which those members come whose size fits.
+    In each list of several blocks the classes outside of its largest component go, by size
+    class, into lanes of BLOCK; a lane meets the list's blocks, of which those members come
+    whose size fits.
     """
-    at = dealt.join(found, "id", "left").select(*dealt.columns, F.coalesce("component", "id").alias("component"))
+    at = dealt.where("blocks > 1").join(found, "id", "left").select(*dealt.columns, F.coalesce("component", "id").alias("component"))
     at = written(at.join(classes.select("id", limits.size_class("n").alias("sizes")), "id"))
     per = written(at.groupBy("value", "component").count())
     core = per.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("component"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -280,14 +286,7 @@ def _across(dealt: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFr
     out = outside.join(lanes, ["value", "sizes"]).withColumn("lane", F.pmod(F.xxhash64("value", "id"), "lanes").cast("int")).withColumn("own", each("blocks"))
     members = at.withColumn("sizes", F.explode(F.sequence(F.col("sizes") - 1, F.col("sizes") + 1))).join(lanes, ["value", "sizes"]).withColumn("lane", each("lanes"))
     keys = ["id", "value", "sizes", "lane", "own"]
-    return _with_sets(out.select(keys).unionByName(members.select(keys)), sets)
-
-
-def _with_sets(places: DataFrame, sets: DataFrame) -> DataFrame:
-    """places (id and where it goes) with the ids' members: a set is joined once, then dealt out."""
-    to = [c for c in places.columns if c != "id"]
-    per = places.groupBy("id").agg(F.collect_list(F.struct(*to)).alias("_to"))
-    return per.join(sets, "id").select("id", "members", F.explode("_to").alias("_to")).select("id", "members", "_to.*")
+    return out.select(keys).unionByName(members.select(keys)).join(sets, "id")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
