@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relisense.functions import special, tails
+from relisense.functions.keep import keep
+from relisense.operators import mixed
 from relisense.operators.ranks import average_rank
 
 
@@ -60,9 +62,9 @@ def _reml(s: pd.DataFrame, ratio: float) -> tuple[float, np.ndarray, np.ndarray,
 
 
 def mixed_model(sums: pd.DataFrame, least_rows: int = 30, least_subjects: int = 3) -> dict:
-    """Random-intercept model y ~ x by restricted likelihood: beta, se, z, p, icc, converged.
+    """One random-intercept model y ~ x by restricted likelihood, to full precision: beta, se, z, p, icc, converged.
 
-    sums: a row per subject (subject_sums). The one variance ratio is found on a grid and
+    For many keys, and without each subject, see ``mixed``, which stays in Spark. sums: a row per subject (subject_sums). The one variance ratio is found on a grid and
     refined by golden section; too few rows or subjects, or a constant x, give NaN.
     """
     nan = dict.fromkeys(("beta", "se", "z", "p", "icc"), math.nan) | {"converged": False}
@@ -88,15 +90,6 @@ def mixed_model(sums: pd.DataFrame, least_rows: int = 30, least_subjects: int =
     return {"beta": float(beta[1]), "se": se, "z": float(z), "p": 2 * special.norm_sf(abs(z)), "icc": ratio / (1 + ratio), "converged": best < len(grid) - 1}
 
 
-def mixed_loso(sums: pd.DataFrame, subject: str = "subject") -> dict:
-    """beta without each subject: least, largest, largest change, whether the sign flips. No new scan."""
-    full = mixed_model(sums)["beta"]
-    betas = [b for k in sums[subject] if not math.isnan(b := mixed_model(sums[sums[subject] != k])["beta"])]
-    if not betas:
-        return {"loso_min": math.nan, "loso_max": math.nan, "loso_max_delta": math.nan, "sign_flip": False}
-    return {"loso_min": min(betas), "loso_max": max(betas), "loso_max_delta": max(abs(b - full) for b in betas), "sign_flip": any(b * full < 0 for b in betas)}
-
-
 def period_means(df: DataFrame, column: str, subject: str = "subject") -> DataFrame:
     """(subject, pre, debate)."""
     return df.groupBy(subject).pivot("period", ["pre", "debate"]).agg(F.avg(column))
@@ -130,19 +123,21 @@ def paired_t(pairs: DataFrame, keys: list[str], d: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count(d).alias("n"), t.alias("t"))
 
 
-def task_validity(df: DataFrame, columns: list[str], drops: tuple[int, ...] = (1, 2), subject: str = "subject") -> pd.DataFrame:
+def task_validity(df: DataFrame, columns: list[str], drops: tuple[int, ...] = (1, 2), subject: str = "subject") -> DataFrame:
     """A row per column: mixed-model contrast of debate against pre, its leave-one-out range, the
-    signed-rank test on subject means, coverage by period, and betas without the first windows."""
-    out = []
-    d = df.withColumn("_x", (F.col("period") == "debate").cast("int"))
-    for c in columns:  # a column is one small aggregate; the fits read a row per subject
-        sums = subject_sums(d, c, "_x", subject).toPandas()
-        row = {"column": c} | mixed_model(sums) | mixed_loso(sums, subject)
-        means = period_means(df, c, subject).select(F.lit(1).alias("one"), (F.col("debate") - F.col("pre")).alias("d")).dropna()
-        w = with_wilcoxon_p(signed_rank(means, ["one"], "d")).toPandas()
-        row |= {f"wilcoxon_{k}": (w[k][0] if len(w) else None) for k in ("n", "w_plus", "p", "positive", "negative", "median_diff")}
-        row |= {f"coverage_{r['period']}": r["c"] for r in df.groupBy("period").agg(F.avg(F.col(c).isNotNull().cast("double")).alias("c")).collect()}
-        for k in drops:
-            row[f"beta_drop{k}"] = mixed_model(subject_sums(d.where(F.col("win_in_period") >= k), c, "_x", subject).toPandas())["beta"]
-        out.append(row)
-    return pd.DataFrame(out)
+    signed-rank test on subject means, coverage by period, and betas without the first windows.
+
+    All columns, with and without the first windows, are keys of one long table.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("y")) for c in columns]))
+    long = keep(df.select(F.col(subject).alias("subject"), "period", "win_in_period", (F.col("period") == "debate").cast("int").alias("x"), each.alias("_c")).select("subject", "period", "win_in_period", "x", "_c.*"))
+    out = mixed.mixed_models(long, ["column"])
+    later = long.withColumn("without", F.explode(F.array(*[F.lit(k) for k in drops]))).where(F.col("win_in_period") >= F.col("without"))
+    betas = mixed.mixed_models(later, ["column", "without"], leave_out=False)
+    betas = betas.groupBy("column").agg(*[F.max(F.when(F.col("without") == k, F.col("beta"))).alias(f"beta_drop{k}") for k in drops])
+    mean = lambda p: F.avg(F.when(F.col("period") == p, F.col("y")))
+    d = long.groupBy("column", "subject").agg((mean("debate") - mean("pre")).alias("d"))
+    ranked = with_wilcoxon_p(signed_rank(d, ["column"], "d")).select("column", *[F.col(c).alias(f"wilcoxon_{c}") for c in ("n", "w_plus", "p", "positive", "negative", "median_diff", "mean_diff")])
+    covered = lambda p: F.avg(F.when(F.col("period") == p, F.col("y").isNotNull().cast("double"))).alias(f"coverage_{p}")
+    coverage = long.groupBy("column").agg(covered("pre"), covered("debate"))
+    return coverage.join(out, "column", "left").join(ranked, "column", "left").join(betas, "column", "left")

@@ -172,22 +172,30 @@ def partial_spearman(rows: DataFrame, keys: list[str], x: str, y: str, controls:
     return partial_from_moments(ranked, keys, x, y, controls).where(F.col("n") >= least)
 
 
-def leverage(df: DataFrame, x: str, targets: list[str], subject: str = "subject", least: int = 10) -> DataFrame:
-    """Per target: rho over all rows, between subjects' means, within (centred) and without each subject.
+def leverage_of(df: DataFrame, tests: dict[str, tuple[Column | str, Column | str]], subject: str = "subject", least: int = 10, digits: int | None = None) -> DataFrame:
+    """Per test: rho over all rows, between subjects' means, within (centred) and without each subject.
 
-    Columns: target, n, rho_full, rho_between, rho_within, p_within, loso_min, loso_max,
-    loso_max_delta, most_influential. All correlations of all targets run as three keyed jobs;
-    those without a subject come from the ranks of all rows (see ``left_out``).
+    Columns: test, n, rho_full, rho_between, rho_within, p_within, loso_min, loso_max,
+    loso_max_delta, most_influential. All correlations of all tests run as three keyed jobs;
+    those without a subject come from the ranks of all rows (see ``left_out``). digits: as in
+    ``correlations``, for all of them.
     """
-    pairs = keep(long_pairs(df, {t: (x, t) for t in targets}, [subject]))
-    full = correlations(pairs, ["test"], least=least).select(F.col("test").alias("target"), "n", F.col("r").alias("rho_full"))
-    means = pairs.groupBy("test", subject).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    between = correlations(means.select("test", F.col("mx").alias("x"), F.col("my").alias("y")), ["test"], least=3).select(F.col("test").alias("target"), F.col("r").alias("rho_between"))
+    pairs = keep(long_pairs(df, tests, [subject]))
+    full = correlations(pairs, ["test"], least=least, digits=digits).select("test", "n", F.col("r").alias("rho_full"))
+    means = keep(pairs.groupBy("test", subject).agg(F.avg("x").alias("mx"), F.avg("y").alias("my")))
+    between = correlations(means.select("test", F.col("mx").alias("x"), F.col("my").alias("y")), ["test"], least=3, digits=digits).select("test", F.col("r").alias("rho_between"))
     inner = pairs.join(means, ["test", subject]).select("test", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
-    within = with_p(correlations(inner, ["test"], least=least)).select(F.col("test").alias("target"), F.col("r").alias("rho_within"), F.col("p").alias("p_within"))
-    left_out = loso_correlations(pairs, subject).select(F.col("test").alias("target"), "excluded", "r").join(full, "target").withColumn("delta", F.abs(F.col("r") - F.col("rho_full")))
-    loso = left_out.groupBy("target").agg(F.min("r").alias("loso_min"), F.max("r").alias("loso_max"), F.max("delta").alias("loso_max_delta"), F.max_by("excluded", F.struct("delta", "excluded")).alias("most_influential"))
-    return full.join(between, "target", "left").join(within, "target", "left").join(loso, "target", "left")
+    within = with_p(correlations(inner, ["test"], least=least, digits=digits)).select("test", F.col("r").alias("rho_within"), F.col("p").alias("p_within"))
+    rows = pairs if digits is None else pairs.withColumns({c: F.round(c, digits) for c in ("x", "y")})
+    left_out = loso_correlations(rows, subject).select("test", "excluded", "r").join(full, "test").withColumn("delta", F.abs(F.col("r") - F.col("rho_full")))
+    influence = F.struct(F.round("delta", 9), "excluded")
+    loso = left_out.groupBy("test").agg(F.min("r").alias("loso_min"), F.max("r").alias("loso_max"), F.max("delta").alias("loso_max_delta"), F.max_by("excluded", F.when(F.col("delta").isNotNull(), influence)).alias("most_influential"))
+    return full.join(between, "test", "left").join(within, "test", "left").join(loso, "test", "left")
+
+
+def leverage(df: DataFrame, x: str, targets: list[str], subject: str = "subject", least: int = 10) -> DataFrame:
+    """``leverage_of`` one column against each target; the target's name stands in ``target``."""
+    return leverage_of(df, {t: (x, t) for t in targets}, subject, least).withColumnRenamed("test", "target")
 
 
 def cross_correlogram(df: DataFrame, x: str, y: str, lags: int = 6, common: int = 15, key: str = "subject", order: str = "win", least: int = 10) -> DataFrame:

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from relisense.functions.columns import rounded
 from relisense.functions.keep import keep
-from relisense.operators import classify, models, ranks, waveform
+from relisense.operators import classify, mixed, models, ranks, waveform
 from relisense.operators.scores import ClassicZ, MinMax, UScore
-from relisense.plans.tables import corr_sql, graded, records, signal, u_expr, u_sql, with_sql
+from relisense.plans.tables import corr_sql, graded, mixed_sql, norm_p_sql, records, signal, u_expr, u_sql, with_sql
 from relisense.plans.window_queries import _r, _r6, features
 
 
+MIXED = ["hr_mean", "eda_mean", "bvp_mean", "attention_mean"]
+
+
 def _samples(spark, d):
     return waveform.long_leads(records(spark, d))
 
@@ -93,7 +96,7 @@ def operating_points(spark, d):
 
 
 def delong(spark, d):
-    return _r(classify.delong(scored(spark, d), "sigma", "other"), [], ["auc_a", "auc_b", "diff", "var", "z"])
+    return _r(classify.delong(scored(spark, d), "sigma", "other"), [], ["auc_a", "auc_b", "diff", "var", "z", "p"])
 
 
 def bootstrap(spark, d):
@@ -124,10 +127,15 @@ def regression(spark, d):
 
 
 def mixed_model(spark, d):
-    """Contrast of purchase days within subject, by random intercept."""
-    f = features(spark, d).withColumn("x", F.col("acc_mean").isNotNull().cast("int"))
-    sums = models.subject_sums(f, "hr_mean", "x").toPandas()
-    return spark.createDataFrame([{k: round(float(v), 6) for k, v in (models.mixed_model(sums) | models.mixed_loso(sums)).items()}])
+    """Contrast of purchase days within subject, by random intercept, for every other channel; and without each subject."""
+    f = features(spark, d)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("y")) for c in MIXED]))
+    rows = f.select("subject", F.col("acc_mean").isNotNull().cast("int").alias("x"), each.alias("_c")).select("subject", "x", "_c.*")
+    return _mixed_result(mixed.mixed_models(rows, ["column"]))
+
+
+def _mixed_result(t, *more):
+    return _r(t.withColumns({c: F.col(c).cast("int") for c in ("converged", "sign_flip")}), ["column", "n", "subjects", "converged", "sign_flip"], ["beta", "se", "z", "p", "icc", "loso_min", "loso_max", "loso_max_delta", *more])
 
 
 def signed_rank(spark, d):
@@ -175,6 +183,9 @@ _DL = {
 }
 _G2 = "CASE WHEN count(*) FILTER (s < 1e-6) > 0 THEN NULL ELSE avg(k) END"
 
+_LOO = {"lo": "SELECT col, min(l.beta) AS loso_min, max(l.beta) AS loso_max, max(abs(l.beta - f.beta)) AS loso_max_delta, max((l.beta * f.beta < 0)::INT) AS sign_flip FROM mx_loo l JOIN mx_full f USING (col) GROUP BY col"}
+_MIXED_OUT = "col AS \"column\", n, subjects, (ratio < (SELECT max(ratio) FROM mx_r))::INT AS converged, sign_flip, " + _r6({"beta": "beta", "se": "se", "z": "beta / se", "p": norm_p_sql("beta / se"), "icc": "ratio / (1 + ratio)", "loso_min": "loso_min", "loso_max": "loso_max", "loso_max_delta": "loso_max_delta"})
+
 QUERIES = {
     "std_signal": (std_signal, with_sql(["smp"], "SELECT record, round(avg(s), 6) + 0.0 AS sigma FROM (SELECT record, lead, stddev_pop(v) AS s FROM smp GROUP BY ALL) GROUP BY record")),
     "std_window": (std_window, with_sql(["smp"], "SELECT record, round(median(s), 6) + 0.0 AS sigma FROM (SELECT record, w, avg(s) AS s FROM (SELECT record, lead, i // 3 AS w, stddev_pop(v) AS s, count(*) AS n FROM smp GROUP BY ALL) WHERE n = 3 GROUP BY ALL) GROUP BY record")),
@@ -190,14 +201,14 @@ QUERIES = {
     "all_versus_valid": (all_versus_valid, with_sql(["grd"], f"SELECT {_r6({'auc_all': 'a.auc', 'auc_valid': 'v.auc', 'gmean_all': 'sqrt((ca.tp / (ca.tp + ca.fn)) * (ca.tn / (ca.tn + ca.fp)))', 'gmean_valid': 'sqrt((cv.tp / (cv.tp + cv.fn)) * (cv.tn / (cv.tn + cv.fp)))', 'delta_auc': 'a.auc - v.auc'})} FROM au a, au v, cf ca, cf cv WHERE a.method = 'all' AND v.method = 'valid' AND ca.method = 'all' AND cv.method = 'valid'", {"ls": "SELECT 'all' AS method, label, sigma AS score FROM grd UNION ALL SELECT 'valid', label, sigma FROM grd WHERE toxic <> 1", "au": _AUC, "cf": _CONF.format(t="1000.0", src="ls")})),
     "threshold_curve": (threshold_curve, with_sql(["grd"], "SELECT 'sigma' AS method, round(t, 3) AS threshold, round(count(*) FILTER (label = 1 AND score >= t - 1e-6) / max(m), 6) + 0.0 AS tpr, round(count(*) FILTER (label <> 1 AND score >= t - 1e-6) / max(k), 6) + 0.0 AS fpr FROM gr CROSS JOIN ls JOIN rt ON rt.method = ls.method GROUP BY t", _SC | _lng(["sigma"]) | {"rt": _ROC["rt"], "gr": "SELECT min(score) + (max(score) - min(score)) * unnest(range(0, 300)) / 299.0 AS t FROM ls"})),
     "operating_points": (operating_points, with_sql(["grd"], f"SELECT method, {_r6({'threshold': 't', 'tpr': 'count(*) FILTER (label = 1 AND score >= t) / count(*) FILTER (label = 1)', 'fpr': 'count(*) FILTER (label <> 1 AND score >= t) / count(*) FILTER (label <> 1)'})} FROM ls JOIN (SELECT method AS mm, median(score) AS t FROM ls GROUP BY method) ON method = mm GROUP BY method, t", _SC | _lng(["sigma", "other"]))),
-    "delong": (delong, with_sql(["grd"], f"SELECT {_r6({'auc_a': 'auc_a', 'auc_b': 'auc_b', 'diff': 'auc_a - auc_b', 'var': 'var', 'z': '(auc_a - auc_b) / sqrt(var)'})} FROM de", _SC | _DL)),
+    "delong": (delong, with_sql(["grd"], f"SELECT {_r6({'auc_a': 'auc_a', 'auc_b': 'auc_b', 'diff': 'auc_a - auc_b', 'var': 'var', 'z': '(auc_a - auc_b) / sqrt(var)', 'p': norm_p_sql('((auc_a - auc_b) / sqrt(var))')})} FROM de", _SC | _DL)),
     "bootstrap": (bootstrap, None),
     "split_half": (split_half, None),
     "overlap": (overlap, with_sql(["grd"], " UNION ALL ".join(f"SELECT '{k}' AS part, count(*) AS n, round(avg(z), 6) + 0.0 AS in_zone FROM zr WHERE {c} HAVING count(*) > 0" for k, c in (("all", "true"), ("correct", "hit = pos"), ("misclassified", "hit <> pos"), ("false_positive", "hit AND NOT pos"), ("false_negative", "pos AND NOT hit"), ("class_0", "NOT pos"), ("class_1", "pos"))), _SC | _ZONE)),
     "error_breakdown": (error_breakdown, with_sql(["grd"], "SELECT count(*) FILTER (label = 1 AND u < 0.5) AS n_fn, count(*) FILTER (label <> 1 AND u >= 0.5) AS n_fp, round(avg((x < a OR x > b)::INT) FILTER (label = 1 AND u < 0.5), 6) + 0.0 AS fn_outside, round(avg(abs(x - c)) FILTER (label <> 1 AND u >= 0.5), 6) + 0.0 AS fp_distance FROM (SELECT label, u, ln(sigma + 1e-9) AS x FROM scd), (SELECT quantile_cont(ln(sigma + 1e-9), 0.1) FILTER (label = 1) AS a, quantile_cont(ln(sigma + 1e-9), 0.9) FILTER (label = 1) AS b, median(ln(sigma + 1e-9)) AS c FROM scd)", _SC)),
     "agreement": (agreement, with_sql(["feat"], f"SELECT subject, count(*) AS n, {_r6({'ccc': '2 * covar_samp(y, x) / (var_samp(y) + var_samp(x) + pow(avg(y) - avg(x), 2))', 'rmse': 'sqrt(avg(pow(y - x, 2)))', 'mae': 'avg(abs(y - x))'})} FROM (SELECT subject, hr_mean AS x, eda_mean AS y FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL) GROUP BY subject")),
     "regression": (regression, with_sql(["feat"], "SELECT 'eda_mean' AS term, n, round((ya - yb * ab) / (1 - ab * ab), 6) + 0.0 AS beta FROM co UNION ALL SELECT 'bvp_mean', n, round((yb - ya * ab) / (1 - ab * ab), 6) + 0.0 FROM co", {"co": "SELECT count(*) AS n, corr(hr_mean, eda_mean) AS ya, corr(hr_mean, bvp_mean) AS yb, corr(eda_mean, bvp_mean) AS ab FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL AND bvp_mean IS NOT NULL"})),
-    "mixed_model": (mixed_model, None),
+    "mixed_model": (mixed_model, with_sql(["feat"], f"SELECT {_MIXED_OUT} FROM mx_full f LEFT JOIN lo USING (col)", {"src": " UNION ALL ".join(f"SELECT '{c}' AS col, subject, (acc_mean IS NOT NULL)::INT AS x, {c} AS y FROM feat" for c in MIXED)} | mixed_sql("src", "col") | _LOO)),
     "signed_rank": (signed_rank, with_sql(["feat"], "SELECT subject, count(*) FILTER (d <> 0) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, count(*) FILTER (d > 0) AS positive, count(*) FILTER (d < 0) AS negative, round(median(d), 6) + 0.0 AS median_diff FROM (SELECT subject, d, rank() OVER (PARTITION BY subject, d = 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY subject, d = 0, abs(d)) - 1) / 2.0 AS r FROM df) GROUP BY subject", {"df": "SELECT subject, round(hr_mean - eda_mean, 9) AS d FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL"})),
     "paired_t": (paired_t, with_sql(["feat"], "SELECT subject, count(d) AS n, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) + 0.0 AS t FROM (SELECT subject, hr_mean - eda_mean AS d FROM feat) GROUP BY subject")),
     "histogram": (histogram, with_sql(["sig"], "SELECT bin, count(*) AS n, round(a + (b - a) * bin / 20.0, 4) + 0.0 AS low FROM (SELECT least(19, floor((value - a) / (b - a) * 20.0)::INT) AS bin, a, b FROM sig, (SELECT min(value) AS a, max(value) AS b FROM sig)) GROUP BY bin, a, b")),

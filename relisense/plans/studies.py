@@ -129,5 +129,5 @@ def record_study(records: DataFrame, ground_truth: DataFrame, replicas: int = 20
 
 
 def task_study(scored: DataFrame, times: DataFrame, columns: list[str], width: float = windows.WINDOW_S):
-    """The period contrast of each column, as a table on the driver (a row per column)."""
+    """The period contrast of each column (a row per column)."""
     return models.task_validity(keep(windows.assign_period(scored, times, width)), columns)

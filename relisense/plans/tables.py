@@ -112,3 +112,70 @@ def corr_sql(x: str, y: str) -> str:
 def mean_sql(cols: list[str]) -> str:
     total = " + ".join(f"coalesce({c}, 0.0)" for c in cols)
     return f"({total}) / nullif({' + '.join(f'({c} IS NOT NULL)::INT' for c in cols)}, 0)"
+
+
+def t_p_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t: Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    angle, steps = f"atan(abs({t}) / sqrt(({df})::DOUBLE))", 600
+    inside = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({angle} * i / {steps}.0), ({df}) - 1)))"
+    return f"CASE WHEN ({df}) > 0 AND ({t}) IS NOT NULL THEN greatest(0.0, 1 - 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {angle} / {3 * steps} * {inside}) END"
+
+
+def corr_p_sql(r: str, n: str, lost: int = 0) -> str:
+    df = f"({n} - {2 + lost})"
+    return f"CASE WHEN {r} IS NULL OR {df} < 1 THEN NULL WHEN abs({r}) >= 1 THEN 0.0 ELSE {t_p_sql(f'{r} * sqrt({df} / (1 - {r} * {r}))', df)} END"
+
+
+def chi2_p_sql(x: str, df: str) -> str:
+    """Upper tail of the chi-square distribution: the series of the lower one."""
+    a, h = f"(({df}) / 2.0)", f"(({x}) / 2.0)"
+    return f"CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) <= 0 THEN 1.0 WHEN ({x}) > 1400 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 900), lambda k: exp(({a} + k) * ln({h}) - {h} - lgamma({a} + k + 1))))) END"
+
+
+def norm_p_sql(z: str) -> str:
+    return chi2_p_sql(f"pow({z}, 2)", "1")
+
+
+def adjust_sql(src: str, p: str = "p", pool: str = "") -> str:
+    """src with p_bonferroni, p_fdr and the decisions, over each pool (key columns, with a comma behind)."""
+    by = f"PARTITION BY {pool}{p} IS NULL"
+    m, k = f"count(*) OVER ({by})", f"row_number() OVER ({by} ORDER BY {p})"
+    inner = f"SELECT *, CASE WHEN {p} IS NOT NULL THEN least(1.0, {p} * {m}) END AS p_bonferroni, {p} * {m} / {k} AS _q, {k} AS _k FROM {src}"
+    return f"SELECT * EXCLUDE (_q, _k, _f), CASE WHEN {p} IS NOT NULL THEN _f END AS p_fdr FROM (SELECT *, least(1.0, min(_q) OVER ({by} ORDER BY _k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS _f FROM ({inner}))"
+
+
+def mixed_sql(src: str, keys: str, name: str = "mx") -> dict[str, str]:
+    """Random-intercept fits on the operator's grid from src (keys, subject, x, y): {name}_full and {name}_loo."""
+    terms = {
+        "a00": "n / (1 + n * ratio)", "a01": "sx / (1 + n * ratio)", "a11": "sxx - ratio / (1 + n * ratio) * sx * sx", "b0": "sy / (1 + n * ratio)", "b1": "sxy - ratio / (1 + n * ratio) * sx * sy",
+        "yy": "syy - ratio / (1 + n * ratio) * sy * sy", "logs": "ln(1 + n * ratio)", "rows": "n", "subjects": "1", "xx": "sxx", "xs": "sx",
+    }
+
+    def fit(table: str, by: str) -> str:
+        det = "(a00 * a11 - a01 * a01)"
+        b0, b1 = f"((a11 * b0 - a01 * b1) / {det})", f"((a00 * b1 - a01 * b0) / {det})"
+        var = f"greatest((yy - {b0} * b0 - {b1} * b1) / (rows - 2), 1e-300)"
+        crit = f"round((rows - 2) * ln({var}) + logs + ln({det}), 9)"
+        return f"SELECT {by}, rows::BIGINT AS n, subjects::BIGINT AS subjects, ratio, {b1} AS beta, sqrt({var} * a00 / {det}) AS se FROM {table} WHERE rows >= 30 AND subjects >= 3 AND xx - xs * xs / rows > 1e-12 AND {det} > 0 QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY {crit}, ratio) = 1"
+
+    return {
+        f"{name}_c": f"SELECT {keys}, subject, x - avg(x) OVER (PARTITION BY {keys}) AS x, y - avg(y) OVER (PARTITION BY {keys}) AS y FROM {src} WHERE x IS NOT NULL AND y IS NOT NULL",
+        f"{name}_s": f"SELECT {keys}, subject, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM {name}_c GROUP BY ALL",
+        f"{name}_r": "SELECT 0.0::DOUBLE AS ratio UNION ALL SELECT exp(-14 + i / 10.0::DOUBLE) FROM range(231) t(i)",
+        f"{name}_g": f"SELECT {keys}, subject, ratio, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in terms.items())} FROM {name}_s, {name}_r",
+        f"{name}_t": f"SELECT {keys}, ratio, {', '.join(f'sum({k}) AS {k}' for k in terms)} FROM {name}_g GROUP BY ALL",
+        f"{name}_full": fit(f"{name}_t", keys),
+        f"{name}_o": f"SELECT {', '.join('t.' + k.strip() for k in keys.split(','))}, g.subject, t.ratio, {', '.join(f't.{k} - g.{k} AS {k}' for k in terms)} FROM {name}_g g JOIN {name}_t t ON {' AND '.join(f't.{k.strip()} = g.{k.strip()}' for k in [*keys.split(','), 'ratio'])}",
+        f"{name}_loo": fit(f"{name}_o", f"{keys}, subject"),
+    }
+
+
+#: (n, w): in how many ways signs of 1 to n give a positive rank sum of 0, 1, ...
+WAYS_SQL = "SELECT * FROM (WITH RECURSIVE ways AS (SELECT 0 AS n, [1.0::DOUBLE] AS w UNION ALL SELECT n + 1, list_transform(range(0, len(w) + n + 1), lambda i: coalesce(w[i + 1], 0) + CASE WHEN i > n THEN coalesce(w[i - n], 0) ELSE 0 END) FROM ways WHERE n < 50) SELECT * FROM ways)"
+
+
+def wilcoxon_p_sql(n: str, w: str, ties: str, tie_term: str) -> str:
+    """p of signed ranks; needs the table ways (WAYS_SQL) joined on n."""
+    low = f"floor(least({w}, {n} * ({n} + 1) / 2 - {w}))::INT"
+    z = f"({w} - {n} * ({n} + 1) / 4.0) / sqrt({n} * ({n} + 1) * (2 * {n} + 1) / 24.0 - {tie_term} / 48.0)"
+    return f"CASE WHEN {n} < 3 THEN NULL WHEN {n} <= 50 AND NOT {ties} THEN least(1.0, 2 * list_sum(ways.w[1:{low} + 1]) / pow(2.0, {n})) ELSE {norm_p_sql(z)} END"

@@ -12,7 +12,7 @@ from relisense.functions.keep import keep
 from relisense.functions.quantiles import median, quantiles
 from relisense.operators import conduct, ranks, windows
 from relisense.operators.scores import Monotone, UScore, composite_imputed
-from relisense.plans.tables import AUX, CORE, DAY, corr_sql, mean_sql, ratings, signal, u_expr, u_sql, with_sql
+from relisense.plans.tables import AUX, CORE, DAY, adjust_sql, corr_p_sql, corr_sql, mean_sql, ratings, signal, u_expr, u_sql, with_sql
 
 PAIRS = {f"{a}_{b}": (f"{a}_mean", f"{b}_mean") for a, b in combinations([*CORE, *AUX], 2)}
 #: Shares of the windows with least variability that the sweep leaves out, lags, and least common windows.
@@ -164,7 +164,7 @@ def high_variability_sweep(spark, d):
     rows = ranks.long_pairs(f.withColumn("quantile", F.explode(parts)), {t: ("z", t) for t in TARGETS}, ["quantile", "subject"])
     inner = windows.centred(rows, ["x", "y"], ["quantile", "test", "subject"])
     both = rows.withColumn("kind", F.lit("pooled")).unionByName(inner.select("quantile", "subject", "test", F.col("x_c").alias("x"), F.col("y_c").alias("y"), F.lit("within").alias("kind")))
-    return _r(ranks.correlations(both, ["quantile", "test", "kind"], digits=9), ["quantile", "test", "kind", "n"], ["r"])
+    return _r(ranks.with_p(ranks.correlations(both, ["quantile", "test", "kind"], digits=9)), ["quantile", "test", "kind", "n"], ["r", "p"])
 
 
 def median_split(spark, d):
@@ -186,12 +186,13 @@ def components_vs_targets(spark, d):
     f = scored(spark, d)
     metrics = ["S_estab", "S_coher_1", "S_coher_5", "S_cond_att_acc", "score_3"]
     t = ranks.correlations(ranks.long_pairs(f, {f"{m}|{y}": (m, y) for m in metrics for y in TARGETS}), ["test"])
-    return _r(ranks.adjust(ranks.with_p(t)), ["test", "n"], ["r"])
+    t = ranks.adjust(ranks.with_p(t)).withColumn("reject_fdr", F.col("reject_fdr").cast("int"))
+    return _r(t, ["test", "n", "reject_fdr"], ["r", "p", "p_bonferroni", "p_fdr"])
 
 
 def leverage(spark, d):
     t = ranks.leverage(features(spark, d), "hr_mean", TARGETS)
-    return _r(t, ["target", "n"], ["rho_full", "rho_between", "rho_within", "loso_min", "loso_max", "loso_max_delta"])
+    return _r(t, ["target", "n"], ["rho_full", "rho_between", "rho_within", "p_within", "loso_min", "loso_max", "loso_max_delta"])
 
 
 def lag_sensitivity(spark, d):
@@ -219,7 +220,7 @@ def pair_leverage(spark, d):
     inner = windows.centred(rows, ["x", "y"], ["test", "subject"]).select("test", F.col("x_c").alias("x"), F.col("y_c").alias("y"))
     within = ranks.adjust(ranks.with_p(ranks.correlations(inner, ["test"], digits=9)))
     full = ranks.correlations(rows.select("test", "x", "y"), ["test"], digits=9).select("test", F.col("r").alias("rho_full"))
-    return _r(full.join(within, "test"), ["test", "n"], {"rho_full": "rho_full", "rho_within": "r"})
+    return _r(full.join(within, "test"), ["test", "n"], {"rho_full": "rho_full", "rho_within": "r", "p_within": "p", "p_bonferroni": "p_bonferroni", "p_fdr": "p_fdr"})
 
 
 def subject_means(spark, d):
@@ -335,12 +336,12 @@ QUERIES = {
     "conduct_variants": (conduct_variants, with_sql(["feat"], f"SELECT subject, win, {_r6({'R_attention': 'a', 'R_acc_movement': 'm', 'R_acc_lo': 'lo', 'S_cond_att_acc': mean_sql(['a', 'm']), 'S_cond_att_mono_acc_hi': mean_sql(['am', 'hi']), 'S_cond_combined': mean_sql(['a', 'm'])})} FROM v", _COND | _mono_cte("ma", "feat", "attention_mean") | _mono_cte("mm", "feat", "acc_std") | {"v": f"SELECT subject, win, {u_expr('u_at', 'attention_mean')} AS a, {u_expr('u_mv', 'acc_std')} AS m, {_mono('mm', 'acc_std', -1)} AS lo, {_mono('mm', 'acc_std', 1)} AS hi, {_mono('ma', 'attention_mean', 1)} AS am FROM feat"})),
     "window_scores": (window_scores, with_sql(["feat"], f"SELECT subject, win, {_r6(['S_estab', 'S_coher_1', 'S_coher_5', 'score_3', 'score_2', 'score_3_prev5'])} FROM scored", _SCORED)),
     "z_variability": (z_variability, with_sql(["feat"], f"SELECT subject, win, round({_ZV}, 6) + 0.0 AS z_var FROM feat", _ZL)),
-    "high_variability_sweep": (high_variability_sweep, with_sql(["feat"], "SELECT q AS quantile, test, kind, n, round(r, 6) + 0.0 AS r FROM cor WHERE n >= 10", _SWEEP)),
-    "pair_leverage": (pair_leverage, with_sql(["feat"], "SELECT a.test, b.n, round(a.r, 6) + 0.0 AS rho_full, round(b.r, 6) + 0.0 AS rho_within FROM cor a JOIN cor b ON a.test = b.test AND a.kind = 'full' AND b.kind = 'within' WHERE a.n >= 10", _PAIRED)),
+    "high_variability_sweep": (high_variability_sweep, with_sql(["feat"], "SELECT q AS quantile, test, kind, n, " + _r6({"r": "r", "p": corr_p_sql("r", "n")}) + " FROM cor WHERE n >= 10", _SWEEP)),
+    "pair_leverage": (pair_leverage, with_sql(["feat"], "SELECT a.test, b.n, " + _r6({"rho_full": "a.r", "rho_within": "b.r", "p_within": "p", "p_bonferroni": "p_bonferroni", "p_fdr": "p_fdr"}) + " FROM cor a JOIN adj b ON a.test = b.test AND a.kind = 'full' WHERE a.n >= 10", _PAIRED | {"tst": f"SELECT test, n, r, {corr_p_sql('r', 'n')} AS p FROM cor WHERE kind = 'within' AND n >= 10", "adj": adjust_sql("tst")})),
     "median_split": (median_split, with_sql(["feat"], "SELECT CASE WHEN S_coher_1 >= m1 THEN 'high' ELSE 'low' END AS side, count(*) AS n, round(avg(attention_mean), 6) + 0.0 AS attention, round(avg(acc_mean), 6) + 0.0 AS acc FROM scored WHERE S_coher_1 IS NOT NULL GROUP BY 1", _SCORED)),
     "component_independence": (component_independence, with_sql(["feat"], f"SELECT test, count(*) AS n, round({corr_sql('x', 'y')}, 6) + 0.0 AS r FROM prs GROUP BY test", _SCORED | {"prs": _pairs_sql({"estab_coher": ("S_estab", "S_coher_1"), "estab_cond": ("S_estab", "S_cond_att_acc"), "coher_cond": ("S_coher_1", "S_cond_att_acc")}, "scored")})),
-    "components_vs_targets": (components_vs_targets, with_sql(["feat"], "SELECT test, n, round(r, 6) + 0.0 AS r FROM cor", _SCORED | {"prs": _pairs_sql({f"{m}|{y}": (m, y) for m in ("S_estab", "S_coher_1", "S_coher_5", "S_cond_att_acc", "score_3") for y in TARGETS}, "scored")} | _spearman_sql("test"))),
-    "leverage": (leverage, with_sql(["feat"], f"SELECT f.test AS target, any_value(f.n) AS n, {_r6(_LEVERAGE)} FROM ful f JOIN cor c ON f.test = c.test GROUP BY f.test", _LEV)),
+    "components_vs_targets": (components_vs_targets, with_sql(["feat"], "SELECT test, n, " + _r6(["r", "p", "p_bonferroni", "p_fdr"]) + ", (p_fdr <= 0.05)::INT AS reject_fdr FROM adj", _SCORED | {"prs": _pairs_sql({f"{m}|{y}": (m, y) for m in ("S_estab", "S_coher_1", "S_coher_5", "S_cond_att_acc", "score_3") for y in TARGETS}, "scored")} | _spearman_sql("test") | {"tst": f"SELECT test, n, r, {corr_p_sql('r', 'n')} AS p FROM cor WHERE n >= 10", "adj": adjust_sql("tst")})),
+    "leverage": (leverage, with_sql(["feat"], f"SELECT target, n, {_r6([*_LEVERAGE])}, {_r6({'p_within': corr_p_sql('rho_within', 'n')})} FROM lv", _LEV | {"lv": f"SELECT f.test AS target, any_value(f.n) AS n, {', '.join(f'{v} AS {k}' for k, v in _LEVERAGE.items())} FROM ful f JOIN cor c ON f.test = c.test GROUP BY f.test"})),
     "lag_sensitivity": (lag_sensitivity, with_sql(["feat"], "SELECT test, n, round(r, 6) + 0.0 AS r FROM cor WHERE n >= 10", _LAG | _spearman_sql("test"))),
     "cross_correlogram": (cross_correlogram, with_sql(["feat"], "SELECT c.lag, count(r) AS subjects, coalesce(any_value(k), 0) AS strongest, round(avg(r), 6) + 0.0 AS mean_r FROM en c LEFT JOIN (SELECT lag, count(*) AS k FROM bl GROUP BY lag) b ON b.lag = c.lag GROUP BY c.lag", {"ps": "SELECT subject, hr_mean, eda_mean, row_number() OVER (PARTITION BY subject ORDER BY win) AS p FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL", "lg": f"SELECT unnest(range({-LAGS}, {LAGS + 1})) AS lag", "prs": f"SELECT h.subject, lag, h.hr_mean AS x, e.eda_mean AS y FROM ps h CROSS JOIN lg JOIN ps e ON e.subject = h.subject AND h.p = e.p + lag WHERE h.subject IN (SELECT subject FROM ps GROUP BY subject HAVING count(*) >= {COMMON_MIN})"} | _spearman_sql("subject, lag") | {"en": "SELECT * FROM cor WHERE n >= 10", "bl": "SELECT subject, arg_max(lag, (round(abs(r), 9), -lag)) AS lag FROM en WHERE r IS NOT NULL GROUP BY subject"})),
     "subject_means": (subject_means, with_sql(["feat"], f"SELECT subject, count(*) AS n, {_r6({c: f'avg({c}_mean)' for c in CORE})} FROM feat GROUP BY subject")),

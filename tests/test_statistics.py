@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relisense.functions import special
-from relisense.operators import classify, models, quality, ranks, variance
+from relisense.operators import classify, mixed, models, quality, ranks, variance
 
 
 def test_tails():
@@ -131,7 +131,11 @@ def test_mixed_model_recovers_the_effect(spark):
     sums = models.subject_sums(df, "y", "x").toPandas()
     m = models.mixed_model(sums)
     assert m["beta"] == pytest.approx(2, abs=0.1) and 0.6 < m["icc"] < 0.95 and m["p"] < 1e-10 and m["converged"]
-    assert not models.mixed_loso(sums)["sign_flip"]
+    by_grid = mixed.mixed_models(df.withColumn("k", F.lit("a")).unionByName(df.where("subject < 2").withColumn("k", F.lit("few"))), ["k"]).collect()
+    assert len(by_grid) == 1 and by_grid[0]["n"] == 800 and by_grid[0]["subjects"] == 20 and not by_grid[0]["sign_flip"]
+    assert by_grid[0]["beta"] == pytest.approx(m["beta"], abs=0.01 * m["se"]) and by_grid[0]["se"] == pytest.approx(m["se"], rel=0.01) and by_grid[0]["icc"] == pytest.approx(m["icc"], abs=0.02)
+    without = [models.mixed_model(sums[sums["subject"] != s])["beta"] for s in range(20)]
+    assert by_grid[0]["loso_min"] == pytest.approx(min(without), abs=0.01 * m["se"]) and by_grid[0]["loso_max"] == pytest.approx(max(without), abs=0.01 * m["se"])
     assert math.isnan(models.mixed_model(sums.head(2))["beta"])
     t = models.ols(df, "y", ["x"], standardise=False)
     assert t["beta"][0] == pytest.approx(2, abs=0.3) and t["p"][0] < 1e-6
@@ -140,7 +144,7 @@ def test_mixed_model_recovers_the_effect(spark):
 def test_task_validity(spark):
     rng = np.random.default_rng(8)
     rows = [(s, w, w, "debate" if w >= 20 else "pre", float((w >= 20) + rng.normal(0, 0.3))) for s in range(6) for w in range(40)]
-    t = models.task_validity(spark.createDataFrame(rows, "subject int, win long, win_in_period long, period string, v double"), ["v"], drops=(1,))
+    t = models.task_validity(spark.createDataFrame(rows, "subject int, win long, win_in_period long, period string, v double"), ["v"], drops=(1,)).toPandas()
     assert t["beta"][0] == pytest.approx(1, abs=0.15) and t["wilcoxon_positive"][0] == 6 and t["wilcoxon_p"][0] == pytest.approx(2 / 64) and t["coverage_pre"][0] == 1.0
 
 
