@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relisense.functions.columns import as_col
+from relisense.functions.ordered import joined, ranges_for, running_sums
 
 EXACT_ROWS = 2_000_000
 SKETCH_ACCURACY = 5_000
@@ -64,3 +65,28 @@ def _order_statistic(x: DataFrame, n: int, k: int, exact_rows: int) -> float:
             break  # few distinct values: percentile is cheap
         before, n, inside = before + below, within, inside.where(F.col("x").between(low, high))
     return inside.agg(F.percentile("x", F.lit((k - before) / max(1, n - 1)))).first()[0]
+
+
+def keyed_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """(keys, a column per wanted fraction): quantiles within each key, interpolated linearly.
+
+    Keys without a value have no row. ``percentile`` is used where the largest key has so few
+    rows that a task holds them; beyond, the distinct values of all keys are counted, cut into
+    ranges and numbered by running sums, and of each key only the values at the wanted places
+    are looked at.
+    """
+    rows = df.select(*keys, F.col(column).cast("double").alias("_value")).where("_value is not null")
+    largest = rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    if (largest[0] or 0) <= exact_rows:
+        return rows.groupBy(*keys).agg(*[F.percentile("_value", F.lit(float(q))).alias(k) for k, q in wanted.items()])
+    counts = rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_sums(counts, keys, "_value", ["_n"], ranges_for(largest[1]))
+    whole = placed.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    both = joined(placed, whole, keys)
+    at = lambda place: F.max(F.when((F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n")), F.col("_value")))
+    ends = {}
+    for k, q in wanted.items():
+        place = F.lit(float(q)) * (F.col("_all") - 1)
+        ends |= {f"_low_{k}": at(F.floor(place)), f"_high_{k}": at(F.ceil(place)), f"_part_{k}": F.max(place - F.floor(place))}
+    found = both.groupBy(*keys).agg(*[v.alias(k) for k, v in ends.items()])
+    return found.select(*keys, *[(F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * F.col(f"_part_{k}")).alias(k) for k in wanted])

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from relisense.functions import tails
 from relisense.functions.columns import as_col, div
 from relisense.functions.keep import keep
-from relisense.functions.quantiles import quantiles
+from relisense.functions.ordered import running_sums
+from relisense.functions.quantiles import keyed_quantiles, quantiles
 from relisense.operators.ranks import average_rank, value_ranks
 
 #: Variance floor of the DeLong test.
@@ -59,23 +60,26 @@ def all_versus_valid(rows: DataFrame, threshold: Column | float, fail: str = "fa
     return out.withColumn("fails_drive", F.col("delta_auc") > 0.05)
 
 
+def _roc(rows: DataFrame, keys: list[str]) -> DataFrame:
+    per = rows.groupBy(*keys, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
+    whole = rows.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("_m"), F.count_if(F.col("label") != 1).alias("_n"))
+    below = running_sums(per, keys, "score", ["p", "q"])
+    out = below.join(whole, keys).withColumn("tp", F.col("_m") - F.col("p_before")).withColumn("fp", F.col("_n") - F.col("q_before"))
+    return out.select(*keys, F.col("score").alias("threshold"), "tp", "fp", div("tp", "_m").alias("tpr"), div("fp", "_n").alias("fpr"), div("tp", F.col("tp") + F.col("fp")).alias("precision"), div("p", "_m").alias("_step"))
+
+
 def roc_points(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, threshold, tp, fp, tpr, fpr, precision), a row per distinct score, descending.
+    """(keys, threshold, tp, fp, tpr, fpr, precision), a row per distinct score.
 
-    Records are counted per distinct score before the running sums.
+    Records are counted per distinct score; what lies at or above one is the whole less the
+    running sum below it, so no task holds a key.
     """
-    per = rows.groupBy(*keys, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    down = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = rows.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("_m"), F.count_if(F.col("label") != 1).alias("_n"))
-    out = per.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).join(whole, keys)
-    return out.select(*keys, F.col("score").alias("threshold"), "tp", "fp", div("tp", "_m").alias("tpr"), div("fp", "_n").alias("fpr"), div("tp", F.col("tp") + F.col("fp")).alias("precision"))
+    return _roc(rows, keys).drop("_step")
 
 
 def average_precision(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ap): sum of recall steps times precision."""
-    p = roc_points(rows, keys)
-    step = F.col("tpr") - F.coalesce(F.lag("tpr").over(Window.partitionBy(*keys).orderBy(F.col("threshold").desc())), F.lit(0.0))
-    return p.withColumn("_a", step * F.col("precision")).groupBy(*keys).agg(F.sum("_a").alias("ap"))
+    return _roc(rows, keys).groupBy(*keys).agg(F.sum(F.col("_step") * F.col("precision")).alias("ap"))
 
 
 def threshold_curve(rows: DataFrame, keys: list[str], points: int = 300) -> DataFrame:
@@ -95,7 +99,7 @@ def threshold_curve(rows: DataFrame, keys: list[str], points: int = 300) -> Data
 def operating_points(df: DataFrame, scores: list[str], label: str = "label", fraction: float = 0.5) -> DataFrame:
     """(method, threshold, tpr, fpr) at each score's own quantile."""
     rows = long_scores(df, scores, label)
-    cut = rows.groupBy("method").agg(F.percentile("score", F.lit(fraction)).alias("threshold"))
+    cut = keyed_quantiles(rows, ["method"], "score", {"threshold": fraction})
     t = confusion(rows.join(cut, "method"), ["method", "threshold"], F.col("threshold"))
     return t.select("method", "threshold", F.col("sensitivity").alias("tpr"), (1 - F.col("specificity")).alias("fpr"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relisense.functions import special, tails
+from relisense.functions.quantiles import keyed_quantiles
 from relisense.functions.keep import keep
 from relisense.operators import mixed
 from relisense.operators.ranks import average_rank
@@ -103,8 +104,8 @@ def signed_rank(pairs: DataFrame, keys: list[str], d: str) -> DataFrame:
     ranked = average_rank(moved, keys, "_abs", "_r")
     per = ranked.groupBy(*keys, "_abs").agg(F.count(F.lit(1)).cast("double").alias("t"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w"))
     w = per.groupBy(*keys).agg(F.sum("t").cast("long").alias("n"), F.sum("w").alias("w_plus"), (F.max("t") > 1).alias("ties"), F.sum(F.col("t") ** 3 - F.col("t")).alias("tie_term"))
-    more = rows.groupBy(*keys).agg(F.count_if(F.col(d) > 0).alias("positive"), F.count_if(F.col(d) < 0).alias("negative"), F.percentile(d, F.lit(0.5)).alias("median_diff"), F.avg(d).alias("mean_diff"))
-    return more.join(w, keys, "left").fillna(0, ["n"]).fillna(0.0, ["w_plus", "tie_term"])
+    more = rows.groupBy(*keys).agg(F.count_if(F.col(d) > 0).alias("positive"), F.count_if(F.col(d) < 0).alias("negative"), F.avg(d).alias("mean_diff"))
+    return more.join(keyed_quantiles(rows, keys, d, {"median_diff": 0.5}), keys, "left").join(w, keys, "left").fillna(0, ["n"]).fillna(0.0, ["w_plus", "tie_term"])
 
 
 def with_wilcoxon_p(table: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from relisense.functions import tails
 from relisense.functions.columns import as_col, div, pearson
 from relisense.functions.keep import keep
-from relisense.functions.ordered import with_position
+from relisense.functions.ordered import joined, running_sums, with_position
+from relisense.functions.quantiles import keyed_quantiles
 from relisense.operators.left_out import loso_correlations
 
 #: Ranges into which the distinct values of a test are cut for ranking.
@@ -24,13 +25,8 @@ def value_ranks(df: DataFrame, keys: list[str], column: str, name: str, ranges:
     Distinct values are counted first and cut into ranges of about equal size, so that a
     key of any size is ranked by many tasks.
     """
-    counts = keep(df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n")))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
-    placed = keep(counts.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda b: b < F.col(column)))).drop("_cuts"))
-    sizes = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keep(placed.withColumn("_before", before).join(starts, [*keys, "_range"]).select(*keys, column, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name)))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    return keep(running_sums(counts, keys, column, ["_n"], ranges).select(*keys, column, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name)))
 
 
 def average_rank(df: DataFrame, keys: list[str], column: str, name: str, ranges: int = RANK_RANGES) -> DataFrame:
@@ -101,7 +97,10 @@ def kruskal(rows: DataFrame, keys: list[str], group: str, value: str, least_grou
 
 
 def group_medians(rows: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    return rows.groupBy(*keys, group).agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"))
+    """(keys, group, n, median)."""
+    by = [*keys, group]
+    n, m = rows.groupBy(*by).agg(F.count(value).alias("n")), keyed_quantiles(rows, by, value, {"median": 0.5})
+    return joined(n, m, by, "left")
 
 
 def adjust(tests: DataFrame, pool: list[str] | None = None, p: str = "p", alpha: float = 0.05) -> DataFrame:

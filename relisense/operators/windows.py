@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relisense.functions.ordered import rolling, with_position
+from relisense.functions.keep import keep
+from relisense.functions.ordered import in_ranges, joined, ranges_for, rolling, with_position
+from relisense.functions.quantiles import keyed_quantiles
 from relisense.functions.columns import as_col
 from relisense.operators.scores import coherence, z_baseline
 
@@ -19,12 +21,11 @@ MILLISECONDS_FROM = 1e12
 def epoch_seconds(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """Divides a key's times by 1000 if their median is above 1e12, that is in milliseconds.
 
-    Medians come from a grouped aggregate that is joined back, so a key's rows are not
-    gathered in one window.
+    Medians come from ``keyed_quantiles`` and are joined back, so a key's rows are not
+    gathered in one task. Rows without a time stay.
     """
-    med = df.groupBy(*keys).agg(F.percentile(t, F.lit(0.5)).alias("_m"))
-    joined = df.join(med, keys)
-    return joined.withColumn(t, F.when(F.col("_m") > MILLISECONDS_FROM, F.col(t) / 1000).otherwise(F.col(t))).drop("_m")
+    med = keyed_quantiles(df, keys, t, {"_m": 0.5})
+    return joined(df, med, keys, "left").withColumn(t, F.when(F.col("_m") > MILLISECONDS_FROM, F.col(t) / 1000).otherwise(F.col(t))).drop("_m")
 
 
 def relative_time(df: DataFrame, order: str = "pos", t: str = "t") -> DataFrame:
@@ -149,17 +150,25 @@ def drop_first_windows(df: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_grid(a: DataFrame, b: DataFrame, key: list[str], t: str = "t") -> DataFrame:
-    """For each row of a the distance to the nearest time of b with the same key.
+    """For each row of a (key, t) the distance to the nearest time of b with the same key; NULL if b has none.
 
-    Both are merged into one ordered sequence; the last b before and the first b after
-    are carried along, so the cost is that of a sort.
+    An as-of join in both directions over ranges of time: the distinct times of both are cut
+    into ranges of about equal size per key. A range has one row with its first and last time
+    of b, from which the last one before and the first one after each range are carried, so
+    that a key's times are gone through by as many tasks as it has ranges. Rows without a time
+    have no distance.
     """
-    rows = a.select(*key, t, F.lit(None).cast("double").alias("_b")).unionByName(b.select(*key, t, F.col(t).alias("_b")))
-    w = Window.partitionBy(*key).orderBy(t, F.col("_b").isNull())
-    before = F.last("_b", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_b", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = rows.withColumn("_p", before).withColumn("_n", after).where("_b is null")
-    return both.select(*key, t, F.least(F.col(t) - F.col("_p"), F.col("_n") - F.col(t)).alias("distance"))
+    ours = a.groupBy(*key, t).agg(F.count(F.lit(1)).alias("_n"), F.lit(None).cast("double").alias("_b"))
+    rows = keep(ours.unionByName(b.where(F.col(t).isNotNull()).select(*key, t).distinct().withColumns({"_n": F.lit(0).cast("long"), "_b": F.col(t).cast("double")})))
+    placed = in_ranges(rows, key, t, ranges_for(rows.count()))
+    ends = placed.groupBy(*key, "_range").agg(F.min("_b").alias("_first"), F.max("_b").alias("_last"))
+    order = Window.partitionBy(*key).orderBy("_range")  # a row per range
+    ends = ends.select(*key, "_range", F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    w = Window.partitionBy(*key, "_range").orderBy(t, F.col("_b").isNull())
+    inside = placed.withColumn("_p", F.last("_b", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_f", F.first("_b", True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_n > 0")
+    both = joined(inside, ends, [*key, "_range"], "left").withColumns({"_p": F.coalesce("_p", "_before"), "_f": F.coalesce("_f", "_after")})
+    distance = F.least(F.col(t) - F.col("_p"), F.col("_f") - F.col(t))
+    return both.select(*key, t, distance.alias("distance"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("col")  # times that several rows share
 
 
 def startup_latency(df: DataFrame, order: str = "pos", t: str = "t") -> DataFrame:
