@@ -16,12 +16,10 @@ from relisense.operators.scores import ClassicZ, MinMax, UScore, composite_imput
 
 STABILITY_CHANNELS = ["bvp", "eda", "hr", "temp", "ibi"]
 RATER_TARGETS = ["valence_var", "valence_range", "arousal_var", "valence_self_partner_diff", "valence_self_external_diff"]
-#: Fixed value: names of earlier result files and their present ones.
-RENAMED = {"PSRI_hr_mean": "PSRI_hr", "PSRI_et_mean": "PSRI_et"}
 
 
-def renamed(df: DataFrame, names: dict[str, str] = RENAMED) -> DataFrame:
-    """Columns under their present names; names that are not there are skipped."""
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns of earlier result files under their present names (old to new); names that are not there are skipped."""
     return unique_columns(df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns}))
 
 

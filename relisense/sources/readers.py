@@ -3,6 +3,7 @@ just yields no rows."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,8 +90,8 @@ def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", LABELS)).alias("item", "l")).select("item", F.col("l.labels_task2_1").alias("task1"), F.col("l.labels_task2_2").alias("task2"), F.col("l.labels_task2_3").alias("task3"))
 
 
-def read_corpus(spark: SparkSession, path: str, key: str = "id_EXIST", prefix: str = "img_") -> DataFrame:
-    """(item, text, prefix*) from a JSON array; of a repeated id the first object counts."""
+def read_corpus(spark: SparkSession, path: str, key: str, prefix: str = "img_") -> DataFrame:
+    """(item, text, prefix*) from a JSON array, the item being its field ``key``; of a repeated one the first object counts."""
     rows = spark.read.json(path, multiLine=True).withColumn("_at", F.monotonically_increasing_id())
     keep = [c for c in rows.columns if c.startswith(prefix)]
     cols = [F.min_by(F.col(c) if c in rows.columns else F.lit(None).cast("string"), "_at").alias(c) for c in ["text", *keep]]
@@ -125,10 +126,79 @@ def read_waveforms(spark: SparkSession, pattern: str, leads: int, fs: float, gai
     return files.mapInPandas(run, "record string, fs double, leads array<array<double>>")
 
 
-def read_trials(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A trial table with its key ``meme_id`` as text; spreadsheets are to be exported to CSV or Parquet."""
+#: Bytes of a sample pair or sample, and the number that stands for a missing sample, by storage format.
+FORMATS = {"16": -32768, "212": -2048}
+HEADER = "record string, fs double, path string, format string, together int, signals array<struct<at:int,within:int,gain:double,baseline:double,name:string>>"
+_SIGNAL = re.compile(r"(?P<file>\S+)\s+(?P<format>\d+)(?:x\d+)?(?::\d+)?(?:\+(?P<skip>\d+))?(?:\s+(?P<gain>[-+.\deE]+)(?:\((?P<base>-?\d+)\))?(?:/\S*)?)?(?:\s+(?P<res>\d+))?(?:\s+(?P<zero>-?\d+))?(?:\s+-?\d+)?(?:\s+-?\d+)?(?:\s+\d+)?(?:\s+(?P<name>.*))?")
+
+
+def parse_header(text: str, folder: str) -> list[tuple]:
+    """Rows of HEADER, one per signal file of a waveform header.
+
+    A gain of 0 or none is 200 units; without a baseline the converter's zero is it. Formats
+    16 and 212 are known, one sample of each signal per frame.
+    """
+    lines = [line for line in (x.strip() for x in text.splitlines()) if line and not line.startswith("#")]
+    record, count, *more = lines[0].split()
+    fs = float(re.match(r"[.\deE+-]+", more[0])[0]) if more else 250.0
+    files: dict[str, list] = {}
+    for at, line in enumerate(lines[1 : 1 + int(count)]):
+        m = _SIGNAL.fullmatch(line)
+        if m is None or m["format"] not in FORMATS or m["skip"]:
+            raise ValueError(f"{record}: cannot read the signal line {line!r}")
+        zero = float(m["zero"] or 0)
+        kind, signals = files.setdefault(m["file"], [m["format"], []])
+        if kind != m["format"]:
+            raise ValueError(f"{record}: {m['file']} has two formats")
+        signals.append((at, len(signals), float(m["gain"] or 0) or 200.0, float(m["base"]) if m["base"] else zero, m["name"] or ""))
+    return [(record.split("/")[0], fs, f"{folder}/{file}", kind, len(s), s) for file, (kind, s) in files.items()]
+
+
+def decode_samples(content: bytes, kind: str) -> np.ndarray:
+    """Digital samples of a file in storage order: 16-bit little-endian, or pairs of 12 bits in three bytes."""
+    if kind == "16":
+        return np.frombuffer(content, dtype="<i2", count=len(content) // 2).astype(np.int32)
+    raw = np.frombuffer(content, dtype=np.uint8)
+    pairs = raw[: len(raw) // 3 * 3].reshape(-1, 3).astype(np.int32)
+    both = np.stack([pairs[:, 0] | (pairs[:, 1] & 0x0F) << 8, pairs[:, 2] | (pairs[:, 1] & 0xF0) << 4], axis=1).ravel()
+    if len(raw) % 3 == 2:  # a last sample without a partner
+        both = np.append(both, int(raw[-2]) | (int(raw[-1]) & 0x0F) << 8)
+    return np.where(both > 2047, both - 4096, both)
+
+
+def read_records(spark: SparkSession, headers: str, signals: str) -> DataFrame:
+    """(record, fs, names, leads) from waveform headers and the signal files that they name.
+
+    headers, signals: patterns of the two kinds of files. Values are in physical units, gain and
+    baseline by lead; samples marked as missing are NaN. A signal file is decoded in one task.
+    """
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r for text, path in zip(batch["value"], batch["path"], strict=True) for r in parse_header(text, path.rsplit("/", 1)[0])]
+            yield pd.DataFrame(rows, columns=["record", "fs", "path", "format", "together", "signals"])
+
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for record, fs, kind, n, specs, content in batch[["record", "fs", "format", "together", "signals", "content"]].itertuples(index=False):
+                digital = decode_samples(bytes(content), kind)
+                frames = digital[: len(digital) // n * n].reshape(-1, n).astype(float)
+                frames[frames == FORMATS[kind]] = np.nan
+                out += [(record, fs, s["at"], s["name"], ((frames[:, s["within"]] - s["baseline"]) / s["gain"]).tolist()) for s in specs]
+            yield pd.DataFrame(out, columns=["record", "fs", "at", "name", "samples"])
+
+    found = spark.read.text(headers, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")).mapInPandas(heads, HEADER)
+    files = spark.read.format("binaryFile").load(signals).select("path", "content")
+    leads = found.join(files, "path").mapInPandas(decoded, "record string, fs double, at int, name string, samples array<double>")
+    by = leads.groupBy("record", "fs").agg(F.array_sort(F.collect_list(F.struct("at", "name", "samples"))).alias("l"))  # a row per lead
+    return by.select("record", "fs", F.col("l.name").alias("names"), F.col("l.samples").alias("leads"))
+
+
+def read_trials(spark: SparkSession, path: str, key: str, fmt: str = "parquet") -> DataFrame:
+    """A trial table with its key column as text; spreadsheets are to be exported to CSV or Parquet."""
     rows = spark.read.csv(path, header=True, inferSchema=True) if fmt == "csv" else spark.read.format(fmt).load(path)
-    return nan_to_null(rows.withColumn("meme_id", F.col("meme_id").cast("string")))
+    return nan_to_null(rows.withColumn(key, F.col(key).cast("string")))
 
 
 def inspect(df: DataFrame, rows: int = 5) -> DataFrame:

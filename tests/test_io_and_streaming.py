@@ -38,8 +38,8 @@ def test_label_map_corpus_and_lists(spark, tmp_path):
     assert m.count() == 2 and m.where("item = '8'").first()["task3"] is None
     e = labels.label_entropy(labels.flattened(m, "item", "task3"), "item").first()
     assert e["hard"] == "a" and e["entropy"] == pytest.approx(-(2 / 3 * np.log(2 / 3) + 1 / 3 * np.log(1 / 3)))
-    (tmp_path / "c.json").write_text(json.dumps([{"id_EXIST": 1, "text": "a", "img_0": 1.5}, {"id_EXIST": 1, "text": "b", "img_0": 2.5}]))
-    c = readers.read_corpus(spark, str(tmp_path / "c.json")).collect()
+    (tmp_path / "c.json").write_text(json.dumps([{"id": 1, "text": "a", "img_0": 1.5}, {"id": 1, "text": "b", "img_0": 2.5}]))
+    c = readers.read_corpus(spark, str(tmp_path / "c.json"), "id").collect()
     assert [(r["item"], r["text"], r["img_0"]) for r in c] == [("1", "a", 1.5)]
     for name, text in (("r", "a\nb\n\nc\n"), ("ok", "a\nb\n"), ("bad", "b \n")):
         (tmp_path / name).write_text(text)
@@ -88,3 +88,28 @@ def test_periods_and_population(spark):
     cells = spark.createDataFrame([(1, "hr", 0, 1.0, None, 1), (1, "aux", 9, 1.0, None, 1), (1, "aux", 0, 5.0, None, 2)], "subject int, channel string, win long, mean double, std double, n_samples long")
     t = windows.window_table(cells, ["hr", "eda"], ["aux"]).collect()
     assert len(t) == 1 and t[0]["aux_mean"] == 5.0 and t[0]["eda_n_samples"] is None
+
+
+def test_waveform_headers(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    a = rng.integers(-2000, 2000, (51, 3))
+    a[5, 1] = -2048
+    u = (a.ravel() & 0xFFF).tolist() + [0]
+    packed = bytes(x for lo, hi in zip(u[::2], u[1::2]) for x in (lo & 0xFF, lo >> 8 | hi >> 8 << 4, hi & 0xFF))
+    (tmp_path / "r1.dat").write_bytes(packed[:-1])  # an odd number of samples
+    (tmp_path / "r1.hea").write_text("# a comment\nr1 3 360 51\nr1.dat 212 100(10)/mV 12 5 0 0 0 I\nr1.dat 212 0 12 7 0 0 0 lead II\nr1.dat 212\n")
+    b, c = rng.integers(-30000, 30000, (40, 2)).astype("<i2"), rng.integers(-9, 9, (40, 1)).astype("<i2")
+    b[3, 0] = -32768
+    (tmp_path / "r2a.dat").write_bytes(b.tobytes())
+    (tmp_path / "r2b.dat").write_bytes(c.tobytes())
+    (tmp_path / "r2.hea").write_text("r2/1 3 500 40\nr2a.dat 16 50/uV 16 0 0 0 0 x\nr2b.dat 16 2(-4) 16 0 0 0 0 y\nr2a.dat 16 200 16 3 0 0 0 z\n")
+    got = {r["record"]: r for r in readers.read_records(spark, f"file://{tmp_path}/*.hea", f"file://{tmp_path}/*.dat").collect()}
+    assert got["r1"]["fs"] == 360 and got["r1"]["names"] == ["I", "lead II", ""]
+    want = np.where(a == -2048, np.nan, a.astype(float))
+    for k, (base, gain) in enumerate(((10, 100), (7, 200), (0, 200))):
+        np.testing.assert_allclose(np.array(got["r1"]["leads"][k], dtype=float), (want[:, k] - base) / gain)
+    np.testing.assert_allclose(np.array(got["r2"]["leads"][0], dtype=float), np.where(b[:, 0] == -32768, np.nan, b[:, 0] / 50))
+    np.testing.assert_allclose(got["r2"]["leads"][1], (c[:, 0] + 4.0) / 2)
+    np.testing.assert_allclose(got["r2"]["leads"][2], (b[:, 1] - 3.0) / 200)
+    with pytest.raises(ValueError, match="signal line"):
+        readers.parse_header("r 1 100 5\nf.dat 80 200", "")
