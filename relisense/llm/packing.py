@@ -27,6 +27,8 @@ SEQ_LEN, END_ID = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens that are packed together at most; bounds the memory of a task.
 BLOCK_TOKENS = 1_500_000
+#: Pieces whose ids a task keeps: fewer than an encoder would, as a block is held besides.
+CACHED_PIECES = 120_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -93,7 +95,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        bpe, next_sequence = WordBpe(tokenizer_path), TaskContext.get().partitionId() << 40
+        bpe, next_sequence = WordBpe(tokenizer_path, CACHED_PIECES), TaskContext.get().partitionId() << 40
         names: list = []
         texts: list[bytes] = []
         held = 0

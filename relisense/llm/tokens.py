@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Pieces that one encoder keeps (about 200 bytes each); beyond, the cache starts anew.
+#: Pieces that one encoder keeps unless told otherwise (about 200 bytes each); beyond, the cache starts anew.
 CACHED_PIECES = 350_000
 #: Characters that are cut into pieces together, about.
 PART_CHARS = 1 << 20
@@ -32,7 +32,7 @@ class WordBpe:
     ``<`` (its added tokens begin with it) go through the whole tokenizer as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_PIECES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,6 +41,7 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.pieces: dict[bytes, bytes] = {}
+        self.cached = cached
         by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         pieces = lambda text: len(self.whole.pre_tokenizer.pre_tokenize_str(text))
         self.kind, self.lower = np.full(1 << 16, _ODD, dtype=np.uint8), np.arange(1 << 16, dtype=np.uint16)
@@ -103,7 +104,7 @@ class WordBpe:
         names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         keys = [_key(n, encoding) for n in names] if encoding != "latin-1" else names
         new = [i for i, k in enumerate(keys) if k not in self.pieces]
-        if len(self.pieces) + len(new) > CACHED_PIECES:
+        if len(self.pieces) + len(new) > self.cached:
             self.pieces.clear()
             new = range(len(keys))
         if new:
