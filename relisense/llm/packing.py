@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relisense.llm.shared import in_parts
+from relisense.llm.shared import give_back, in_parts
 from relisense.llm.tokens import WordBpe
 
 SEQ_LEN, END_ID = 4096, 2
@@ -119,6 +119,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: i
                 held += len(ids) // 4 + 1
                 if held >= block_tokens:
                     yield flush()
+                    give_back()
                     held = 0
         if texts:
             yield flush()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,12 +40,19 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def in_parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """The batches of a task in smaller parts, so that what is made of them stays small; at the
-    end Arrow's unused memory goes back to the system, as workers live on for later stages."""
+    """The batches of a task in smaller parts, so that what is made of them stays small; between
+    batches and at the end unused memory goes back to the system, as workers live on for later stages."""
     for batch in batches:
         for i in range(0, len(batch), rows):
             yield batch.iloc[i : i + rows]
+        give_back()
+
+
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep for themselves to the system, where they can."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: A key is hot if it holds a row in so many, or more.
