@@ -128,6 +128,25 @@ def delong(df: DataFrame, a: str, b: str, label: str = "label") -> DataFrame:
     return out.withColumn("p", tails.norm_sf2(F.col("z")))
 
 
+def paired_comparison(df: DataFrame, pairs: list[tuple[str, str]], label: str = "label") -> DataFrame:
+    """(a, b, n, auc_a, auc_b, diff, var, z, p, ap_a, ap_b), a row per pair of score columns of one table.
+
+    All scores are compared on the records that have all of them; average precisions come
+    from one pass over all scores.
+    """
+    names = sorted({c for p in pairs for c in p})
+    rows = keep(df.dropna(subset=[label, *names]))
+    ap = keep(average_precision(long_scores(rows, names, label), ["method"]))
+    n = rows.count()
+    out = None
+    for a, b in pairs:  # as many as there are pairs of scores
+        side = lambda x, c: ap.where(F.col("method") == x).select(F.col("ap").alias(c))
+        t = delong(rows, a, b, label).join(F.broadcast(side(a, "ap_a"))).join(F.broadcast(side(b, "ap_b")))  # single rows
+        t = t.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(n).cast("long").alias("n"), "*")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def resampled_auc(df: DataFrame, scores: list[str], label: str = "label", replicas: int = 2000, seed: int = 42) -> DataFrame:
     """(replica, method, auc), replica 0 being the records as they are.
 

@@ -94,3 +94,11 @@ def describe(df: DataFrame, columns: list[str], fractions: tuple[float, ...] = (
 
 def columns_like(df: DataFrame, prefix: str = "", suffix: str = "", infix: str = "") -> list[str]:
     return [c for c in df.columns if c.startswith(prefix) and c.endswith(suffix) and infix in c]
+
+
+def aligned(scores: list[DataFrame], key: str) -> DataFrame:
+    """The tables joined by key: only records that every table has, with no value missing."""
+    out = scores[0]
+    for t in scores[1:]:
+        out = out.join(t, key)
+    return out.dropna()

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relisense.plans import family_queries, learning_queries, record_queries, trial_queries, window_queries
+from relisense.plans import family_queries, join_queries, learning_queries, record_queries, trial_queries, window_queries
 
-ALL = window_queries.QUERIES | family_queries.QUERIES | trial_queries.QUERIES | record_queries.QUERIES | learning_queries.QUERIES
+ALL = window_queries.QUERIES | family_queries.QUERIES | join_queries.QUERIES | trial_queries.QUERIES | record_queries.QUERIES | learning_queries.QUERIES
 FLAGSHIP = "window_scores"
 
 

@@ -70,14 +70,14 @@ def confound_control(features: DataFrame, x: str, target: str, controls: list[st
     return out
 
 
-def partial_within(features: DataFrame, x: str, target: str, controls: list[str], least: int = 10) -> DataFrame:
+def partial_within(features: DataFrame, x: str, target: str, controls: list[str], least: int = 10, digits: int | None = None) -> DataFrame:
     """(n, r): partial Spearman of subject-centred values; needs three subjects."""
     names = [x, target, *controls]
     rows = windows.centred(features.dropna(subset=names), names)
     if rows.select("subject").distinct().limit(3).count() < 3:
         return rows.select(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("r")).limit(0)
     rows = rows.select(F.lit(1).alias("one"), *[F.col(f"{c}_c").alias(c) for c in names])
-    return ranks.partial_spearman(rows, ["one"], x, target, controls, least).select("n", "r")
+    return ranks.partial_spearman(rows, ["one"], x, target, controls, least, digits).select("n", "r")
 
 
 def trial_study(hr: DataFrame, et: DataFrame, label_lists: DataFrame, metrics: list[str]) -> dict[str, DataFrame]:

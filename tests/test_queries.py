@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from relisense.plans import registry
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["window_agg", "window_table", "rolling_std", "coherence_sweep", "period_assignment", "stability", "trial_scores", "item_scores", "item_classes", "multiple_testing", "variance_components", "label_entropies", "rater_statistics", "source_overlap", "low_quality", "kurtosis_sqi", "lead_correlation", "roc_points", "signed_rank", "fitted_elsewhere"]
+CHOSEN = ["window_agg", "window_table", "rolling_std", "coherence_sweep", "period_assignment", "stability", "trial_scores", "item_scores", "item_classes", "multiple_testing", "variance_components", "label_entropies", "rater_statistics", "source_overlap", "low_quality", "kurtosis_sqi", "lead_correlation", "roc_points", "signed_rank", "fitted_elsewhere", "mixed_model", "leverage", "composite_family", "grid_alignment", "trial_join", "item_join", "paired_comparison", "partial_within"]
 
 
 def rows(df):
