@@ -20,16 +20,16 @@ EXACT_ROWS = 2_000_000
 SKETCH_ACCURACY = 5_000
 
 
-def quantiles(df: DataFrame, wanted: dict[str, tuple], exact_rows: int = EXACT_ROWS) -> dict[str, float | None]:
+def quantiles(df: DataFrame, wanted: dict[str, tuple], exact_rows: int = EXACT_ROWS, rows: int | None = None) -> dict[str, float | None]:
     """wanted: name -> (column, fraction); linear interpolation between order statistics.
 
     All quantiles are read in one job if the table is small enough. NULL values are left
-    out; a column without values gives None.
+    out; a column without values gives None. rows: how many df has, where that is known.
     """
     if not wanted:
         return {}
     names = list(wanted)
-    if df.count() <= exact_rows:
+    if (df.count() if rows is None else rows) <= exact_rows:
         row = df.agg(*[F.percentile(as_col(c).cast("double"), F.lit(float(q))).alias(f"q{i}") for i, (c, q) in enumerate(wanted.values())]).first()
         return dict(zip(names, row, strict=True))
     return {n: _by_brackets(df.select(as_col(c).cast("double").alias("x")).where("x is not null"), q, exact_rows) for n, (c, q) in wanted.items()}

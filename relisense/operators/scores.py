@@ -53,11 +53,12 @@ class UScore:
         missing, gets centre 0 and scale 1.
         """
         cols = {k: as_col(v) for k, v in (columns if isinstance(columns, dict) else {c: c for c in columns}).items()}
-        low = quantiles(df, {k: (F.when(c > 0, c), FLAT_SHARE) for k, c in cols.items()}) if cut else dict.fromkeys(cols, -math.inf)
+        rows = df.count()
+        low = quantiles(df, {k: (F.when(c > 0, c), FLAT_SHARE) for k, c in cols.items()}, rows=rows) if cut else dict.fromkeys(cols, -math.inf)
         eps = {k: FLAT_FALLBACK if v is None else v for k, v in low.items()}
         logs = {k: F.when(c >= eps[k], _log(c)) if cut else _log(c) for k, c in cols.items()}
-        med = {k: 0.0 if v is None else v for k, v in quantiles(df, {k: (x, 0.5) for k, x in logs.items()}).items()}
-        mad = quantiles(df, {k: (F.abs(x - med[k]), 0.5) for k, x in logs.items()})
+        med = {k: 0.0 if v is None else v for k, v in quantiles(df, {k: (x, 0.5) for k, x in logs.items()}, rows=rows).items()}
+        mad = quantiles(df, {k: (F.abs(x - med[k]), 0.5) for k, x in logs.items()}, rows=rows)
         return {k: UScore(eps[k], med[k], MAD_SCALE * mad[k] if mad[k] else 1.0) for k in cols}
 
 

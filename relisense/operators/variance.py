@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relisense.functions.columns import as_col, div
+from relisense.functions.keep import keep
 from relisense.operators.ranks import correlations
 
 #: Normal quantiles of a two-sided 5 % test and of 80 % power.
@@ -18,7 +19,7 @@ def one_way_icc(rows: DataFrame, keys: list[str], group: str, value: str) -> Dat
     Two levels of aggregation, no pass over raw rows after the first. NULL icc for fewer
     than two groups or no residual degrees of freedom.
     """
-    g = rows.where(F.col(value).isNotNull()).groupBy(*keys, group).agg(F.count(F.lit(1)).cast("double").alias("m"), F.avg(value).alias("a"), (F.var_pop(value) * F.count(F.lit(1))).alias("w"))
+    g = keep(rows.where(F.col(value).isNotNull()).groupBy(*keys, group).agg(F.count(F.lit(1)).cast("double").alias("m"), F.avg(value).alias("a"), (F.var_pop(value) * F.count(F.lit(1))).alias("w")))
     grand = g.groupBy(*keys).agg(div(F.sum(F.col("m") * F.col("a")), F.sum("m")).alias("_g"))
     g = g.join(grand, keys)
     t = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("a") - F.col("_g")) ** 2).alias("ssb"), F.sum("w").alias("ssw"), F.sum(F.col("m") ** 2).alias("m2"))
@@ -39,14 +40,21 @@ def clipped(c: Column | str) -> Column:
 
 
 def variance_decomposition(trials: DataFrame, metrics: list[str], subject: str = "subject", item: str = "item", least: int = 50) -> DataFrame:
-    """Per metric: icc by subject, by item, and by item on subject-centred values, with what follows."""
+    """Per metric: icc by subject, by item, and by item on subject-centred values, with what follows.
+
+    The three are kinds of one long table, reduced to a row per metric, kind and group before
+    anything else; metrics of fewer than ``least`` values have no row.
+    """
     long = trials.select(subject, item, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("_m")).select(subject, item, "_m.metric", "_m.v").where("v is not null")
-    enough = long.groupBy("metric").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(item).alias("items")).where(F.col("rows") >= least)
-    long = long.join(enough.select("metric"), "metric")
     means = long.groupBy("metric", subject).agg(F.avg("v").alias("_a"))
-    inner = long.join(means, ["metric", subject]).withColumn("v", F.col("v") - F.col("_a"))
-    pick = lambda df, g, name: one_way_icc(df, ["metric"], g, "v").select("metric", F.col("icc").alias(name))
-    out = enough.join(pick(long, subject, "icc_subject"), "metric", "left").join(pick(long, item, "icc_item"), "metric", "left").join(pick(inner, item, "icc_item_centred"), "metric", "left")
+    types = dict(trials.dtypes)
+    plain = types[subject] == types[item]  # else both as text
+    kind = lambda k, g, v: F.struct(F.lit(k).alias("kind"), (F.col(g) if plain else F.col(g).cast("string")).alias("group"), v.alias("v"))
+    kinds = F.array(kind("subject", subject, F.col("v")), kind("item", item, F.col("v")), kind("item_centred", item, F.col("v") - F.col("_a")))
+    rows = long.join(means, ["metric", subject]).select("metric", F.explode(kinds).alias("_k")).select("metric", "_k.*")
+    t = one_way_icc(rows, ["metric", "kind"], "group", "v")
+    of = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
+    out = t.groupBy("metric").agg(of("n", "item").alias("rows"), of("k", "item").alias("items"), *[of("icc", k).alias(f"icc_{k}") for k in ("subject", "item", "item_centred")]).where(F.col("rows") >= least)
     out = out.withColumn("k", F.col("rows") / F.col("items"))
     out = out.withColumn("item_reliability", spearman_brown(clipped("icc_item_centred"), F.col("k")))
     return out.withColumn("attenuation", F.sqrt(clipped("item_reliability")))

@@ -16,7 +16,7 @@ STABILITY = {"estab_hr": "hr_std", "estab_et": "pupil_std"}
 
 
 def scored_trials(spark, d):
-    t = conduct.trial_scores(trials(spark, d), STABILITY, "rt", "blinks")
+    t = conduct.trial_scores(keep(trials(spark, d)), STABILITY, "rt", "blinks")  # every fit reads it
     t = t.withColumn("S_estab", (F.col("S_estab_hr") + F.col("S_estab_et")) / 2)
     t = conduct.trial_coherence(t, ("hr", "hr_base"), ("pupil", "pupil_base"))
     return keep(conduct.trial_composite(t))
@@ -98,7 +98,7 @@ def icc(spark, d):
 
 
 def variance_components(spark, d):
-    t = variance.power_bound(variance.variance_decomposition(trials(spark, d), METRICS))
+    t = variance.power_bound(variance.variance_decomposition(keep(trials(spark, d)), METRICS))
     return _r(t, ["metric", "rows", "items"], ["icc_subject", "icc_item", "icc_item_centred", "k", "item_reliability", "r_min"])
 
 
