@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from relisense.operators.ranks import average_rank, value_ranks
 VARIANCE_MIN = 1e-12
 #: Rank error of the quantiles that each split is calibrated by: one in so many.
 SPLIT_ACCURACY = 100_000
+#: Distinct pairs of label and score that are broadcast (40 MB) to the tasks that run whole splits.
+CELLS_MAX = 2_000_000
 
 
 def long_scores(df: DataFrame, scores: list[str], label: str = "label") -> DataFrame:
@@ -215,15 +218,67 @@ def bootstrap_auc(df: DataFrame, a: str, b: str, label: str = "label", replicas:
     return d.agg(F.max(F.when(F.col("replica") == 0, F.col("d"))).alias("diff"), q(0.025).alias("ci_low"), q(0.975).alias("ci_high"), F.least(tail, F.lit(1.0)).alias("p"), F.count(drawn).alias("used"))
 
 
-def split_half(df: DataFrame, sigma: str, label: str = "label", splits: int = 200, seed: int = 42) -> DataFrame:
+def weighted_quantile(x: np.ndarray, n: np.ndarray, q: float) -> float | None:
+    """Of sorted values that stand for n records each, with linear interpolation; None without any."""
+    upto = np.cumsum(n)
+    if not len(upto) or not upto[-1]:
+        return None
+    place = q * (upto[-1] - 1)
+    low, high = (x[np.searchsorted(upto, k, side="right")] for k in (math.floor(place), math.ceil(place)))
+    return float(low + (high - low) * (place - math.floor(place)))
+
+
+def split_auc(label: np.ndarray, sigma: np.ndarray, n: np.ndarray, fit: np.ndarray) -> float | None:
+    """AUC of the U score over n - fit records of each cell, calibrated on fit of them; cells are sorted by sigma."""
+    eps = weighted_quantile(sigma[sigma > 0], fit[sigma > 0], 0.01)
+    eps = 1e-6 if eps is None else eps
+    on = sigma >= eps
+    x = np.log(np.maximum(sigma, 0) + 1e-9)
+    med = weighted_quantile(x[on], fit[on], 0.5)
+    if med is None:
+        return None
+    off = np.abs(x - med)
+    order = np.argsort(off[on], kind="stable")
+    mad = 1.4826 * weighted_quantile(off[on][order], fit[on][order], 0.5)
+    score = np.where(on, np.exp(-0.5 * (off / (mad if mad > 0 else 1.0)) ** 2), 0.0)
+    _, place = np.unique(score, return_inverse=True)
+    rest = n - fit
+    pos, neg = (np.bincount(place, rest * (label == c)) for c in (1, 0))
+    if not pos.sum() or not neg.sum():
+        return None
+    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
+
+
+def split_half(df: DataFrame, sigma: str, label: str = "label", splits: int = 200, seed: int = 42, cells_max: int = CELLS_MAX) -> DataFrame:
     """(split, auc): calibrated on one random half, scored on the other.
 
-    The half of a record is a bit of its hash with the split's number; equal records are
-    told apart by a number of their own. Quantiles of a half come from sketches of bounded
-    size (SPLIT_ACCURACY), ranks are keyed by split, so no task holds a half.
+    Records of equal label and sigma are a cell; a split draws how many of each cell are in
+    the half to fit on, so halves depend on nothing but the records, the seed and the split.
+    Up to ``cells_max`` cells (20 bytes each) are broadcast and a task runs whole splits, with
+    exact quantiles and ranks. Beyond, records are dealt by the hash of their cell and their
+    number in it, quantiles of a half come from sketches of bounded size (SPLIT_ACCURACY) and
+    ranks are keyed by split, so that no task holds a half.
     """
-    rows = keep(df.select(F.col(label).cast("int").alias("label"), F.col(sigma).cast("double").alias("s")).dropna().withColumn("_i", F.monotonically_increasing_id()))
-    each = rows.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("fit", F.pmod(F.xxhash64(F.lit(seed), "_i", "split", "s"), F.lit(2)) == 0)
+    spark = df.sparkSession
+    cells = keep(df.select(F.col(label).cast("int").alias("label"), F.col(sigma).cast("double").alias("s")).dropna().groupBy("label", "s").agg(F.count(F.lit(1)).alias("n")))
+    if cells.count() > cells_max:
+        return _split_half_dealt(cells, splits, seed)
+    table = cells.toPandas().sort_values(["s", "label"])  # cells_max rows at most
+    sent = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("label", "s", "n")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks, values, n = sent.value
+        for batch in batches:
+            each = [split_auc(marks, values, n, np.random.Generator(np.random.Philox(key=[seed, int(k)])).binomial(n, 0.5)) for k in batch["split"]]
+            yield pd.DataFrame({"split": batch["split"], "auc": pd.Series(each, dtype="float64", index=batch.index)})
+
+    tasks = min(splits, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, splits, 1, tasks).withColumnRenamed("id", "split").mapInPandas(run, "split long, auc double")
+
+
+def _split_half_dealt(cells: DataFrame, splits: int, seed: int) -> DataFrame:
+    rows = cells.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+    each = rows.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("fit", F.pmod(F.xxhash64(F.lit(seed), "label", "s", "_i", "split"), F.lit(2)) == 0)
     at = lambda c, q: F.percentile_approx(c, q, SPLIT_ACCURACY)
     log = F.log(F.col("s") + 1e-9)
     fit = each.where("fit")
