@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from relisense.functions.columns import rounded
 from relisense.functions.keep import keep
-from relisense.operators import classify, mixed, models, ranks, waveform
+from relisense.functions.ordered import with_position
+from relisense.operators import beats, classify, mixed, models, ranks, waveform
 from relisense.operators.scores import ClassicZ, MinMax, UScore
 from relisense.plans.tables import corr_sql, graded, mixed_sql, norm_p_sql, records, signal, u_expr, u_sql, with_sql
 from relisense.plans.window_queries import _r, _r6, features
@@ -138,6 +139,13 @@ def _mixed_result(t, *more):
     return _r(t.withColumns({c: F.col(c).cast("int") for c in ("converged", "sign_flip")}), ["column", "n", "subjects", "converged", "sign_flip"], ["beta", "se", "z", "p", "icc", "loso_min", "loso_max", "loso_max_delta", *more])
 
 
+def long_beats(spark, d):
+    """Beats of each subject's whole signal, taken as a record of 100 samples a second."""
+    s = signal(spark, d).where("channel = 'hr'").select(F.col("subject").alias("record"), "pos", F.col("value").alias("v"))
+    samples = with_position(s, ["record"], "pos", "i").select("record", "i", "v", F.lit(100.0).alias("fs"))
+    return _r(beats.long_beat_intervals(samples), ["record", "beats", "fail"], ["rr_std"])
+
+
 def signed_rank(spark, d):
     f = features(spark, d).select("subject", F.round(F.col("hr_mean") - F.col("eda_mean"), 9).alias("d")).dropna()
     return models.signed_rank(f, ["subject"], "d").select("subject", "n", "w_plus", "positive", "negative", rounded("median_diff").alias("median_diff"))
@@ -186,6 +194,16 @@ _G2 = "CASE WHEN count(*) FILTER (s < 1e-6) > 0 THEN NULL ELSE avg(k) END"
 _LOO = {"lo": "SELECT col, min(l.beta) AS loso_min, max(l.beta) AS loso_max, max(abs(l.beta - f.beta)) AS loso_max_delta, max((l.beta * f.beta < 0)::INT) AS sign_flip FROM mx_loo l JOIN mx_full f USING (col) GROUP BY col"}
 _MIXED_OUT = "col AS \"column\", n, subjects, (ratio < (SELECT max(ratio) FROM mx_r))::INT AS converged, sign_flip, " + _r6({"beta": "beta", "se": "se", "z": "beta / se", "p": norm_p_sql("beta / se"), "icc": "ratio / (1 + ratio)", "loso_min": "loso_min", "loso_max": "loso_max", "loso_max_delta": "loso_max_delta"})
 
+_BEATS = {
+    "smp": "SELECT subject AS record, row_number() OVER (PARTITION BY subject ORDER BY pos) - 1 AS i, value - avg(value) OVER (PARTITION BY subject) AS v, lag(value) OVER w AS a, lead(value) OVER w AS b, value AS x FROM sig WHERE channel = 'hr' WINDOW w AS (PARTITION BY subject ORDER BY pos)",
+    "slo": "SELECT record, i, pow(CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN b - x WHEN b IS NULL THEN x - a ELSE (b - a) / 2 END, 2) AS g FROM smp",
+    "enr": "SELECT record, i, sum(g) OVER (PARTITION BY record ORDER BY i ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) / 12.0::DOUBLE AS e FROM slo",
+    "lvl": "SELECT *, avg(e) OVER (PARTITION BY record) + 0.5 * stddev_pop(e) OVER (PARTITION BY record) AS l, lag(e) OVER w AS p, lead(e) OVER w AS q FROM enr WINDOW w AS (PARTITION BY record ORDER BY i)",
+    "pk": "SELECT record, i FROM lvl WHERE e >= p AND e > q AND e > l", "nx": "SELECT a.record, a.i, min(b.i) AS j FROM pk a LEFT JOIN pk b ON a.record = b.record AND b.i >= a.i + 25 GROUP BY ALL",
+    "bts": "SELECT * FROM (WITH RECURSIVE r AS (SELECT record, min(i) AS i FROM pk GROUP BY record UNION ALL SELECT r.record, nx.j FROM r JOIN nx ON nx.record = r.record AND nx.i = r.i WHERE nx.j IS NOT NULL) SELECT * FROM r)",
+    "bt": "SELECT record, count(*) AS n, sum(d) AS s, sum(d * d) AS ss FROM (SELECT record, (i - lag(i) OVER (PARTITION BY record ORDER BY i))::DOUBLE AS d FROM bts) GROUP BY record",
+}
+
 QUERIES = {
     "std_signal": (std_signal, with_sql(["smp"], "SELECT record, round(avg(s), 6) + 0.0 AS sigma FROM (SELECT record, lead, stddev_pop(v) AS s FROM smp GROUP BY ALL) GROUP BY record")),
     "std_window": (std_window, with_sql(["smp"], "SELECT record, round(median(s), 6) + 0.0 AS sigma FROM (SELECT record, w, avg(s) AS s FROM (SELECT record, lead, i // 3 AS w, stddev_pop(v) AS s, count(*) AS n FROM smp GROUP BY ALL) WHERE n = 3 GROUP BY ALL) GROUP BY record")),
@@ -209,6 +227,7 @@ QUERIES = {
     "agreement": (agreement, with_sql(["feat"], f"SELECT subject, count(*) AS n, {_r6({'ccc': '2 * covar_samp(y, x) / (var_samp(y) + var_samp(x) + pow(avg(y) - avg(x), 2))', 'rmse': 'sqrt(avg(pow(y - x, 2)))', 'mae': 'avg(abs(y - x))'})} FROM (SELECT subject, hr_mean AS x, eda_mean AS y FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL) GROUP BY subject")),
     "regression": (regression, with_sql(["feat"], "SELECT 'eda_mean' AS term, n, round((ya - yb * ab) / (1 - ab * ab), 6) + 0.0 AS beta FROM co UNION ALL SELECT 'bvp_mean', n, round((yb - ya * ab) / (1 - ab * ab), 6) + 0.0 FROM co", {"co": "SELECT count(*) AS n, corr(hr_mean, eda_mean) AS ya, corr(hr_mean, bvp_mean) AS yb, corr(eda_mean, bvp_mean) AS ab FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL AND bvp_mean IS NOT NULL"})),
     "mixed_model": (mixed_model, with_sql(["feat"], f"SELECT {_MIXED_OUT} FROM mx_full f LEFT JOIN lo USING (col)", {"src": " UNION ALL ".join(f"SELECT '{c}' AS col, subject, (acc_mean IS NOT NULL)::INT AS x, {c} AS y FROM feat" for c in MIXED)} | mixed_sql("src", "col") | _LOO)),
+    "long_beats": (long_beats, with_sql(["sig"], f"SELECT sm.record, coalesce(n, 0) AS beats, coalesce(n, 0) < 2 AS fail, {_r6({'rr_std': 'CASE WHEN n >= 2 THEN sqrt(greatest(ss / (n - 1) - pow(s / (n - 1), 2), 0.0)) / 100.0 ELSE 0.0 END'})} FROM (SELECT DISTINCT record FROM smp) sm LEFT JOIN bt ON bt.record = sm.record", _BEATS)),
     "signed_rank": (signed_rank, with_sql(["feat"], "SELECT subject, count(*) FILTER (d <> 0) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, count(*) FILTER (d > 0) AS positive, count(*) FILTER (d < 0) AS negative, round(median(d), 6) + 0.0 AS median_diff FROM (SELECT subject, d, rank() OVER (PARTITION BY subject, d = 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY subject, d = 0, abs(d)) - 1) / 2.0 AS r FROM df) GROUP BY subject", {"df": "SELECT subject, round(hr_mean - eda_mean, 9) AS d FROM feat WHERE hr_mean IS NOT NULL AND eda_mean IS NOT NULL"})),
     "paired_t": (paired_t, with_sql(["feat"], "SELECT subject, count(d) AS n, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) + 0.0 AS t FROM (SELECT subject, hr_mean - eda_mean AS d FROM feat) GROUP BY subject")),
     "histogram": (histogram, with_sql(["sig"], "SELECT bin, count(*) AS n, round(a + (b - a) * bin / 20.0, 4) + 0.0 AS low FROM (SELECT least(19, floor((value - a) / (b - a) * 20.0)::INT) AS bin, a, b FROM sig, (SELECT min(value) AS a, max(value) AS b FROM sig)) GROUP BY bin, a, b")),
