@@ -38,8 +38,18 @@ CONTENT_WORDS = frozenset("article articlebody body content entry main post stor
 PLAIN_WORDS = frozenset("area bar block bottom box button col column container form group header inner item items left link links list outer page panel right row section site slot text title top unit wrap wrapper".split())
 #: Evidence of marks, for each block inside. All text evidence of a block is below MARKED.
 MARKED, BY_ID, HIDDEN, ARTICLE, MAIN, CONTENT_CLASS = 8.0, 6.0, 9.0, 3.0, 2.0, 3.0
-#: Evidence against blocks outside of the article, on pages that have one.
-OUTSIDE = 2.5
+#: Evidence against blocks outside of the article, on pages that have one; the stronger one where the
+#: article's own text is worth at least ARTICLE_SHARE of what is outside.
+OUTSIDE, OUTSIDE_SURE, ARTICLE_SHARE = 2.5, 6.0, 0.2
+#: A form, or an element that a class, id or role marks, says nothing about its blocks if it holds this share of
+#: the page's text evidence (of ENOUGH at least): it is a wrapper of the page. Comments may be that long.
+WRAPPER_SHARE, ENOUGH = 0.8, 12.0
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond discussion".split())
+#: Words that are also subjects: inside an article, an element of such a name is judged by its text.
+SUBJECT_WORDS = frozenset("social legal privacy search warning related copyright".split())
+#: Inside running text these are part of it.
+INLINE_CONTROLS = frozenset("button label".split())
+PROSE_TAGS = frozenset("p li dd blockquote h1 h2 h3 h4 h5 h6 figcaption td".split())
 #: Edges: of a block and the marked element around it; of content inside boilerplate and of boilerplate inside
 #: content, for each block of the inner element (UNSURE where its mark is a partial one); of neighbouring blocks.
 GOVERNED, CONTENT_INSIDE, BOILER_INSIDE, UNSURE, ADJACENT = 6.0, 8.0, 1.5, 3.0, 1.5
@@ -65,6 +75,8 @@ class Element:
     boiler: float
     article: bool
     main: bool
+    #: Whether it may be a wrapper of the whole page whatever its mark.
+    wrapper: bool = False
     #: The nearest marked element, this one included.
     mark: Element | None = None
 
@@ -100,16 +112,21 @@ def _element(tag: str, attrs: str, up: Element | None) -> Element:
     article = bool(up and up.article)
     content = ARTICLE if tag == "article" else MAIN if tag == "main" else 0.0
     boiler = MARKED if tag in BOILER_TAGS or tag == "header" and not article else 0.0
+    wrapper = tag == "form" or not boiler
     if attrs and tag not in ("html", "body"):
         for k, v in _ATTR.findall(attrs):
             k, v = k.lower(), v.strip("\"'")
             if k in ("class", "role") or k == "id" and tag in ID_TAGS:
                 good, bad = _named(v)
+                words = {w.lower() for w in _WORD.findall(v)}
+                wrapper = wrapper and words.isdisjoint(COMMENT_WORDS)
+                if article and words & BOILER_WORDS <= SUBJECT_WORDS:
+                    bad /= 4
                 content = max(content, CONTENT_CLASS * good)
                 boiler = max(boiler, (BY_ID if k == "id" else MARKED) * bad)
             elif k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and "display:none" in v.replace(" ", "").lower():
-                boiler = HIDDEN
-    made = Element(tag, up, up.depth + 1 if up else 0, content, boiler, article or tag == "article", bool(up and up.main) or content > 0)
+                boiler, wrapper = HIDDEN, False
+    made = Element(tag, up, up.depth + 1 if up else 0, content, boiler, article or tag == "article", bool(up and up.main) or content > 0, wrapper)
     made.mark = made if content or boiler else up.mark if up else None
     return made
 
@@ -145,6 +162,8 @@ def blocks_of(page: str) -> list[Block]:
     block: Block | None = None
     around: Block | None = None  # the block that a marked inline element interrupts
     links = 0
+    endless: set[str] = set()  # skipped tags of which no end follows
+    inline = dict.fromkeys(INLINE_CONTROLS, 0)  # open controls that are part of running text
 
     def text(raw: str) -> None:
         nonlocal block
@@ -178,10 +197,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, attrs, closing = tag.lower(), m[3] or m[7] or "", m[1] or m[5]
         if not closing and (tag in RAW_TAGS or tag in SKIPPED_TAGS):
-            if not attrs.endswith("/"):
+            if not attrs.endswith("/") and tag not in endless:
                 stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = stop.end() if stop else len(page) if tag in RAW_TAGS else at
+                if stop is None:
+                    endless.add(tag)
             continue
+        if tag in INLINE_CONTROLS:
+            if closing and inline[tag]:
+                inline[tag] -= 1
+                continue
+            if not closing and block is not None and tree.here.tag in PROSE_TAGS and any(not x.isspace() for x in block.parts):
+                inline[tag] += 1
+                continue
         if tag in ("td", "th", "br", "wbr", "img"):
             if tag != "wbr" and block is not None:
                 block.parts.append(" ")
@@ -314,8 +342,11 @@ def graph(blocks: list[Block]) -> tuple[list[float], list[float], list[tuple[int
     """(costs of content, costs of boilerplate, edges) of the blocks, then of the marked elements around them."""
     content, boiler = map(list, zip(*map(costs, blocks), strict=True))
     inside = [b.element.article or b.element.main for b in blocks]
+    worth = [max(0.0, b - c) for b, c in zip(boiler, content, strict=True)]
+    own = sum(w for w, i in zip(worth, inside, strict=True) if i)
     if any(inside):
-        content = [c + OUTSIDE * (not i) for c, i in zip(content, inside, strict=True)]
+        against = OUTSIDE_SURE if own >= ARTICLE_SHARE * (sum(worth) - own) else OUTSIDE
+        content = [c + against * (not i) for c, i in zip(content, inside, strict=True)]
     edges = []
     for i in range(1, len(blocks)):
         if (far := tree_distance(blocks[i - 1].element, blocks[i].element)) < FAR:
@@ -329,18 +360,26 @@ def graph(blocks: list[Block]) -> tuple[list[float], list[float], list[tuple[int
             elements.append(e)
             e = e.up.mark if e.up else None
     held = [0] * len(elements)  # blocks inside
+    text, article = [0.0] * len(elements), [0.0] * len(elements)  # what they are worth, and those in an article
     for i, b in enumerate(blocks):
         if b.element.mark is not None:
             k = marks[id(b.element.mark)]
             held[k - len(blocks)] += 1
+            text[k - len(blocks)] += worth[i]
+            article[k - len(blocks)] += worth[i] * inside[i]
             edges.append((k, i, GOVERNED, GOVERNED))
     for e in sorted(elements, key=lambda e: -e.depth):  # inner ones first
         k, outer = marks[id(e)], e.up.mark if e.up else None
         if outer is not None:
             n = held[k - len(blocks)]
-            held[marks[id(outer)] - len(blocks)] += n
+            at = marks[id(outer)] - len(blocks)
+            held[at] += n
+            text[at] += text[k - len(blocks)]
+            article[at] += article[k - len(blocks)]
             edges.append((marks[id(outer)], k, n * (UNSURE if 0 < e.boiler < BY_ID else BOILER_INSIDE), n * CONTENT_INSIDE))
-    content += [e.boiler * n for e, n in zip(elements, held, strict=True)]
+    whole = sum(worth)
+    wraps = [e.wrapper and whole >= ENOUGH and t >= WRAPPER_SHARE * whole and own - a <= (1 - WRAPPER_SHARE) * whole for e, t, a in zip(elements, text, article, strict=True)]
+    content += [e.boiler * n * (not w) for e, n, w in zip(elements, held, wraps, strict=True)]
     boiler += [e.content * n for e, n in zip(elements, held, strict=True)]
     return content, boiler, edges
 
@@ -363,7 +402,9 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars. Repeated rows and null ids stay; columns
-    beside the three named are not read; an empty table gives no rows."""
+    beside the three named are not read; an empty table gives no rows. A null page, or one
+    without text, has the empty text. Long pages are read whole, in time linear in their
+    length but for the cut; among cuts of equal cost the one with least content is taken."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in in_parts(batches):
