@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relisense.functions.columns import rounded
 from relisense.functions.keep import keep
 from relisense.operators import classify, conduct, labels, quality
-from relisense.plans import studies
+from relisense.operators.plots import histogram
+from relisense.plans import family_queries, studies
 from relisense.plans.record_queries import _AUC, _SC, scored
 from relisense.plans.tables import corr_sql, norm_p_sql, table, with_sql
 from relisense.plans.trial_queries import _ENT, order_labels
 from relisense.plans.window_queries import _r, _r6, features
 
 CONTROLS = ["eda_mean", "bvp_mean"]
+SIMPLER = ["decay", "classic", "minmax", "percentile"]
 PAIRED = [("sigma", "other"), ("sigma", "third"), ("other", "third")]
 
 
@@ -79,6 +82,32 @@ def paired_comparison(spark, d):
     return _r(classify.paired_comparison(_aligned(spark, d), PAIRED), ["a", "b", "n"], ["auc_a", "auc_b", "diff", "z", "p", "ap_a", "ap_b"])
 
 
+def ablation_matrix(spark, d):
+    """The proposal's score against each simpler one: areas over all and over valid records, and the difference with its test."""
+    f = scored(spark, d)
+    t = classify.paired_comparison(f, [("u", s) for s in SIMPLER])
+    rows = classify.long_scores(f.where("fail = false"), ["u", *SIMPLER])
+    valid = keep(classify.auc(rows, ["method"]).select(F.col("method").alias("b"), F.col("auc").alias("auc_valid")))
+    return _r(t.join(valid, "b", "left"), ["a", "b", "n"], ["auc_a", "auc_b", "auc_valid", "diff", "p", "ap_b"])
+
+
+def component_report(spark, d):
+    """Components by rows, measures of disagreement by columns, and each component's place by its least p."""
+    t = family_queries.component_family(spark, d)
+    part = lambda i: F.split_part("test", F.lit("|"), F.lit(i))
+    rows = keep(t.select(part(1).alias("component"), part(2).alias("target"), "r", "p"))
+    wide = rows.groupBy("component").pivot("target", family_queries.DISAGREEMENT).agg(F.max("r"))
+    first = rows.groupBy("component").agg(F.min("p").alias("least_p"))
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy(F.col("least_p").asc_nulls_last(), "component")))  # a row per component
+    return wide.join(placed, "component").orderBy("place")
+
+
+def overlap_counts(spark, d):
+    """Forty bins of the logarithm of sigma, counted by class."""
+    f = keep(scored(spark, d).withColumn("x", F.log(F.col("sigma") + 1e-9)))
+    return _r(histogram(f, "x", 40, ["label"]), ["label", "bin", "n"], ["low", "high"])
+
+
 def confound_control(spark, d):
     """Subjects' means: one channel against another alone, with each control and with all of them held."""
     return _r(studies.confound_control(features(spark, d), "hr_mean", "attention_mean", CONTROLS), ["controls", "n"], ["r"])
@@ -102,12 +131,12 @@ _IJ = {
 _AL = _SC | {"al": "SELECT s.record, s.label, s.sigma, s.other, (d.doc_id * 37 % 1009)::DOUBLE AS third FROM scd s JOIN documents d ON d.doc_id = s.record WHERE s.toxic <> 1 AND length(d.text) > 0 AND s.sigma IS NOT NULL AND s.other IS NOT NULL"}
 
 
-def _delong_sql(a: str, b: str, k: int) -> dict[str, str]:
+def _delong_sql(a: str, b: str, k: int, al: str = "al") -> dict[str, str]:
     rank = lambda c, by: f"(rank() OVER ({by}ORDER BY {c}) + (count(*) OVER (PARTITION BY {by.replace('PARTITION BY ', '').strip() + ', ' if by else ''}{c}) - 1) / 2.0)"
-    comp = lambda c: f"CASE WHEN label = 1 THEN ({rank(c, '')} - {rank(c, 'PARTITION BY label ')}) / (SELECT count(*) FROM al WHERE label = 0) ELSE 1 - ({rank(c, '')} - {rank(c, 'PARTITION BY label ')}) / (SELECT count(*) FROM al WHERE label = 1) END"
-    ap = lambda c: f"(SELECT sum(p / m * tp / (tp + fp)) FROM (SELECT count(*) FILTER (label = 1) AS p, sum(count(*) FILTER (label = 1)) OVER (ORDER BY {c} DESC) AS tp, sum(count(*) FILTER (label <> 1)) OVER (ORDER BY {c} DESC) AS fp, (SELECT count(*) FROM al WHERE label = 1) AS m FROM al GROUP BY {c}))"
+    comp = lambda c: f"CASE WHEN label = 1 THEN ({rank(c, '')} - {rank(c, 'PARTITION BY label ')}) / (SELECT count(*) FROM {al} WHERE label = 0) ELSE 1 - ({rank(c, '')} - {rank(c, 'PARTITION BY label ')}) / (SELECT count(*) FROM {al} WHERE label = 1) END"
+    ap = lambda c: f"(SELECT sum(p / m * tp / (tp + fp)) FROM (SELECT count(*) FILTER (label = 1) AS p, sum(count(*) FILTER (label = 1)) OVER (ORDER BY {c} DESC) AS tp, sum(count(*) FILTER (label <> 1)) OVER (ORDER BY {c} DESC) AS fp, (SELECT count(*) FROM {al} WHERE label = 1) AS m FROM {al} GROUP BY {c}))"
     return {
-        f"dl{k}": f"SELECT label, {comp(a)} AS va, {comp(b)} AS vb FROM al",
+        f"dl{k}": f"SELECT label, {comp(a)} AS va, {comp(b)} AS vb FROM {al}",
         f"dm{k}": f"SELECT label, count(*) AS n, avg(va) AS ma, avg(vb) AS mb, var_samp(va - vb) AS s FROM dl{k} GROUP BY label",
         f"dr{k}": f"SELECT '{a}' AS a, '{b}' AS b, sum(n)::BIGINT AS n, max(ma) FILTER (label = 1) AS auc_a, max(mb) FILTER (label = 1) AS auc_b, greatest(sum(s / n), 1e-12) AS var, {ap(a)} AS ap_a, {ap(b)} AS ap_b FROM dm{k}",
     }
@@ -126,7 +155,16 @@ _PW = {
     "rk": "SELECT " + ", ".join(f"{_rk(v)} AS {v}" for v in "xyc") + " FROM cn", "co": "SELECT count(*) AS n, corr(x, y) AS xy, corr(x, c) AS xc, corr(y, c) AS yc FROM rk",
 }
 
+_AM = _SC | {"sc2": "SELECT * FROM scd WHERE label IS NOT NULL AND sigma IS NOT NULL"} | {k: v for i, s in enumerate(SIMPLER) for k, v in _delong_sql("u", s, i, "sc2").items()} | {
+    "dz": " UNION ALL ".join(f"SELECT *, auc_a - auc_b AS diff, (auc_a - auc_b) / sqrt(var) AS z FROM dr{i}" for i in range(len(SIMPLER))),
+    "ls": " UNION ALL ".join(f"SELECT '{s}' AS method, label, {s}::DOUBLE AS score FROM scd WHERE toxic <> 1" for s in SIMPLER), "va": _AUC,
+}
+_REPORT = "SELECT component, " + ", ".join(f"max(r) FILTER (target = '{t}') AS {t}" for t in family_queries.DISAGREEMENT) + ", min(p) AS least_p, row_number() OVER (ORDER BY min(p) NULLS LAST, component)::INT AS place FROM (SELECT split_part(test, '|', 1) AS component, split_part(test, '|', 2) AS target, r, p FROM (" + family_queries.QUERIES["component_family"][1] + ")) GROUP BY component"
+
 QUERIES = {
+    "ablation_matrix": (ablation_matrix, with_sql(["grd"], f"SELECT a, b, dz.n, {_r6({'auc_a': 'auc_a', 'auc_b': 'auc_b', 'auc_valid': 'va.auc', 'diff': 'diff', 'p': norm_p_sql('z'), 'ap_b': 'ap_b'})} FROM dz LEFT JOIN va ON va.method = b", _AM)),
+    "component_report": (component_report, _REPORT),
+    "overlap_counts": (overlap_counts, with_sql(["grd"], f"SELECT label, bin::INT AS bin, n, {_r6({'low': 'a + w * bin / 40.0', 'high': 'a + w * (bin + 1) / 40.0'})} FROM (SELECT label, least(floor((x - a) / w * 40.0::DOUBLE), 39) AS bin, count(*) AS n, any_value(a) AS a, any_value(w) AS w FROM (SELECT label, ln(sigma + 1e-9) AS x FROM grd WHERE sigma IS NOT NULL), ends GROUP BY 1, 2)", {"ends": "SELECT min(ln(sigma + 1e-9)) AS a, max(ln(sigma + 1e-9)) - min(ln(sigma + 1e-9)) AS w FROM grd"})),
     "trial_join": (trial_join, with_sql([], f"SELECT h.item, h.subject, {_r6({'hr': 'h.hr', 'pupil': 'bc.pupil', 'rt': 'bc.rt', 'S_coher': 'bc.S_coher', 'item_coher': 'item_coher'})} FROM h LEFT JOIN bc ON bc.item = h.item AND bc.subject = h.subject LEFT JOIN ic ON ic.item = h.item", _TJ)),
     "item_join": (item_join, with_sql([], f"SELECT ha.item, n_hr, n_et, viewers, {_r6({'hr': 'hr', 'pupil': 'pupil + 1.3e-7', 'entropy': 'entropy', 'price': 'coalesce(p_retailprice, 0.0)'})} FROM ha JOIN ea ON ea.item = ha.item LEFT JOIN ent ON ent.item = ha.item LEFT JOIN part ON p_partkey = ha.item AND p_size > 10 LEFT JOIN vw ON vw.item = ha.item", _IJ)),
     "three_way_join": (three_way_join, "WITH " + ", ".join(f"{n} AS (SELECT l_partkey AS item, avg({c}) AS {n}, count(*) AS n_{n} FROM lineitem WHERE l_returnflag = '{f}' GROUP BY 1)" for f, n, c in (("A", "hr", "l_quantity"), ("N", "eeg", "l_discount"), ("R", "et", "l_extendedprice"))) + f" SELECT hr.item, n_hr, n_eeg, n_et, {_r6({'hr': 'hr.hr', 'eeg': 'eeg.eeg', 'et': 'et.et'})} FROM hr JOIN eeg ON eeg.item = hr.item JOIN et ON et.item = hr.item"),

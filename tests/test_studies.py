@@ -15,7 +15,7 @@ def test_window_study(spark):
     assert studies.confound_control(scored, "S_estab", "hr_mean", ["eda_mean"]).count() >= 1
     assert studies.partial_within(scored, "S_estab", "hr_mean", ["eda_mean"]).first()["n"] == 120
     times = spark.createDataFrame([(s, 0.0, 50.0, 200.0) for s in range(4)], "subject int, init double, start double, end double")
-    assert studies.task_study(scored, times, ["S_estab"])["column"][0] == "S_estab"
+    assert studies.task_study(scored, times, ["S_estab"]).first()["column"] == "S_estab"
 
 
 def test_trial_study(spark):
