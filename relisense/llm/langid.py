@@ -113,6 +113,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Fits the model on about TRAIN_PER_LANGUAGE documents of each language.
 
     Counts are summed on Spark; what reaches the driver is a number per language and bucket.
+    Rows without text or language are left out, repeated ones count as often as they stand
+    (all or none of an id's are in the sample), long texts count whole; other columns are not
+    read. An empty table, or one without a language, gives a model of no languages.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -140,7 +143,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def identify(text: Column | str, model: LanguageModel) -> Column:
-    """struct<lang, score, langs> of a text column. Null texts and texts without a letter: und, 0."""
+    """struct<lang, score, langs> of a text column. Null texts and texts without a letter: und, 0.
+
+    Long texts are read whole; equal texts get equal answers, of equally likely languages the
+    first of the model's; a model of no languages answers und. The column comes beside any
+    others, whatever their names; an empty table gives no rows.
+    """
     languages, prob = model.languages, model.prob
 
     @F.pandas_udf("lang string, score double, langs string")

@@ -103,7 +103,8 @@ _counters: dict[str, UnigramCounter] = {}
 
 def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens (0 for null and empty texts). Repeated rows and
-    null ids stay; other columns are not read."""
+    null ids stay; other columns are not read. Long texts are counted whole; among cuts of
+    equal score the tokenizer's rule decides; an empty table gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if vocab_path not in _counters:
