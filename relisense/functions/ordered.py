@@ -18,6 +18,8 @@ from relisense.functions.keep import keep
 CHUNK = 50_000
 #: Ranges into which a key's ordered values are cut, at least, and rows that a range is meant for.
 RANGES, RANGE_ROWS = 32, 500_000
+#: Rows of a whole table that one task may go through in order.
+ONE_WINDOW = 500_000
 
 
 def ranges_for(rows: int) -> int:
@@ -39,8 +41,15 @@ def in_ranges(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES)
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str, columns: list[str], ranges: int = RANGES) -> DataFrame:
-    """Adds ``{c}_before``: the sum of each column over the key's rows of lower ``order``; a row per key and order, none missing."""
-    placed = in_ranges(keep(df), keys, order, ranges)
+    """Adds ``{c}_before``: the sum of each column over the key's rows of lower ``order``; a row per key and order, none missing.
+
+    A table of up to ONE_WINDOW rows in all takes one window; a larger one is cut into ranges.
+    """
+    df = keep(df)
+    if df.count() <= ONE_WINDOW:
+        below = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(below), F.lit(0)) for c in columns})
+    placed = in_ranges(df, keys, order, ranges)
     totals = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}_total") for c in columns])
     up = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}_total").over(up), F.lit(0)).alias(f"_{c}_start") for c in columns])

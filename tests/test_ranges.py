@@ -10,7 +10,9 @@ from relisense.functions.quantiles import keyed_quantiles
 from relisense.operators import classify, windows
 
 
-def test_running_sums(spark):
+@pytest.mark.parametrize("one_window", [0, 1000])
+def test_running_sums(spark, monkeypatch, one_window):
+    monkeypatch.setattr(ordered, "ONE_WINDOW", one_window)
     rng = np.random.default_rng(3)
     rows = [(k, float(v), int(rng.integers(0, 9))) for k in ("a", "b", None) for v in rng.permutation(300 if k == "a" else 7)]
     got = ordered.running_sums(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", ["n"], ranges=5).collect()
@@ -21,7 +23,8 @@ def test_running_sums(spark):
 
 
 @pytest.mark.parametrize("exact_rows", [0, 1000])
-def test_keyed_quantiles(spark, exact_rows):
+def test_keyed_quantiles(spark, monkeypatch, exact_rows):
+    monkeypatch.setattr(ordered, "ONE_WINDOW", 10)
     rng = np.random.default_rng(4)
     rows = [("ties", float(rng.integers(0, 4))) for _ in range(101)] + [("many", float(x)) for x in rng.normal(0, 1, 240)] + [("one", 5.0), ("none", None), (None, 1.0), (None, 2.0)]
     fractions = {"low": 0.0, "q": 0.37, "mid": 0.5, "high": 1.0}
@@ -43,7 +46,9 @@ def test_nearest_time(spark, monkeypatch):
     assert got == sorted(((k or 0, -1.0 if t is None else t, near(k, t)) for k, t in a), key=str)
 
 
-def test_roc_and_precision(spark):
+@pytest.mark.parametrize("one_window", [0, 1000])
+def test_roc_and_precision(spark, monkeypatch, one_window):
+    monkeypatch.setattr(ordered, "ONE_WINDOW", one_window)
     rng = np.random.default_rng(6)
     df = pd.DataFrame({"method": rng.choice(["a", "b"], 300), "label": rng.integers(0, 2, 300), "score": rng.integers(0, 40, 300).astype(float)})
     rows = spark.createDataFrame(df)
