@@ -221,19 +221,19 @@ def test_block_span():
     assert list(warc.block_span(keys, "d")) == [0, 1, 2] and list(warc.block_span(keys, "a")) == [] and list(warc.block_span(keys, "z")) == [3]
 
 
-LONG = "<p>The council met on Tuesday to discuss the new plan for the harbour, which has been delayed twice; members were divided.</p>"
+TOLD = "<p>The council met on Tuesday to discuss the new plan for the harbour, which has been delayed twice; members were divided.</p>"
 MORE = "<p>Another paragraph goes on at some length about the weather, the boats, and what the mayor said: nothing at all.</p>"
 
 
 @pytest.mark.parametrize(
     "page",
     [
-        f"<body><form id=f><nav><a href=x>Home</a></nav><article><h1>Plan</h1>{LONG}{MORE * 3}</article><footer>Copyright. All rights reserved.</footer></form></body>",
-        f"<body><form id=f><div><h1>Plan</h1>{LONG}{MORE * 3}</div><p><label>Name</label><input><button>Send</button></p></form></body>",
-        f"<body><div class='page-with-sidebar'><h1>Plan</h1>{LONG}{MORE * 3}</div><footer>Copyright.</footer></body>",
-        f"<body><div class='no-ads'><h1>Plan</h1>{LONG}{MORE * 3}</div></body>",
-        f"<body><article><h1>Plan</h1>{LONG}<section class='social'>{MORE * 3}</section></article><div class='social'><a href=x>Share this</a></div></body>",
-        f"<body><article><h1>Plan</h1>{LONG}{MORE * 3}</article><section class='discussion'>{LONG.replace('council', 'reader')}</section><section class='user-reviews'>{LONG.replace('council', 'reader')}</section></body>",
+        f"<body><form id=f><nav><a href=x>Home</a></nav><article><h1>Plan</h1>{TOLD}{MORE * 3}</article><footer>Copyright. All rights reserved.</footer></form></body>",
+        f"<body><form id=f><div><h1>Plan</h1>{TOLD}{MORE * 3}</div><p><label>Name</label><input><button>Send</button></p></form></body>",
+        f"<body><div class='page-with-sidebar'><h1>Plan</h1>{TOLD}{MORE * 3}</div><footer>Copyright.</footer></body>",
+        f"<body><div class='no-ads'><h1>Plan</h1>{TOLD}{MORE * 3}</div></body>",
+        f"<body><article><h1>Plan</h1>{TOLD}<section class='social'>{MORE * 3}</section></article><div class='social'><a href=x>Share this</a></div></body>",
+        f"<body><article><h1>Plan</h1>{TOLD}{MORE * 3}</article><section class='discussion'>{TOLD.replace('council', 'reader')}</section><section class='user-reviews'>{TOLD.replace('council', 'reader')}</section></body>",
     ],
 )
 def test_wrappers_and_comments(page):
@@ -242,13 +242,13 @@ def test_wrappers_and_comments(page):
 
 
 def test_controls_inside_a_sentence_and_footers_alone():
-    page = f"<article>{LONG}<p>Press the <button>Enter</button> key to fill in the <label>Name</label> field, which is required.</p>{MORE}</article>"
+    page = f"<article>{TOLD}<p>Press the <button>Enter</button> key to fill in the <label>Name</label> field, which is required.</p>{MORE}</article>"
     assert main_text(page).split("\n")[1] == "Press the Enter key to fill in the Name field, which is required."
     assert main_text("<nav><a href=x>Home</a></nav><footer>Copyright 2024 Foo Ltd. All rights reserved. Do not copy, please.</footer>") == ""
-    assert main_text(f"<div>{LONG}</div><div class='comments'>{MORE * 9}</div>").startswith("The council") and "Another" not in main_text(f"<div>{LONG}</div><div class='comments'>{MORE * 9}</div>")
+    assert main_text(f"<div>{TOLD}</div><div class='comments'>{MORE * 9}</div>").startswith("The council") and "Another" not in main_text(f"<div>{TOLD}</div><div class='comments'>{MORE * 9}</div>")
 
 
 def test_many_unclosed_elements_take_linear_time():
     began = time.perf_counter()
-    assert main_text(f"{LONG}" + "<noscript>a " * 40000).startswith("The council")
+    assert main_text(f"{TOLD}" + "<noscript>a " * 40000).startswith("The council")
     assert time.perf_counter() - began < 3
