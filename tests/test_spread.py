@@ -3,7 +3,7 @@
 import pytest
 
 from relisense.functions import spread as module
-from relisense.operators import variance
+from relisense.operators import labels, variance
 from relisense.plans import join_queries, tables, trial_queries
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,11 @@ def test_viewer_pairs_deal_nothing_by_subject(spark, monkeypatch):
     got = {r["metric"]: r for r in variance.viewer_pairs(df, ["hr", "rt"]).collect()}
     assert {(m, r["a"], r["b"], r["n"]) for m, r in got.items()} == {("hr", "A", "B", 25), ("rt", "A", "B", 25)}
     assert got["rt"]["r"] == pytest.approx(1.0)
+
+
+def test_overlap_of_repeated_and_missing_keys(spark, monkeypatch):
+    monkeypatch.setattr(module, "PART_ROWS", 3)
+    a = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, 1), (3, 2)], "item int, subject int")
+    b = spark.createDataFrame([(1, 1), (1, 2), (3, 2), (3, 2), (4, 1), (None, 1)], "item int, subject int")
+    row = labels.source_overlap(a, b, spark.createDataFrame([(1,), (1,), (9,)], "item int")).first()
+    assert [row[k] for k in ("pairs_a", "pairs_b", "pairs_both", "items_a", "items_b", "items_both", "items_labelled", "items_unlabelled")] == [4, 5, 3, 4, 4, 3, 1, 2]
