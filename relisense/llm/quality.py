@@ -15,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relisense.functions.quantiles import quantiles
 from relisense.llm.shared import shared_root
 
 BUCKETS = 1 << 14
-#: Labelled documents used at most, trusted and bad each: those with the smallest hashed ids.
-#: Their ids are broadcast.
-LABELLED_MAX = 20_000
 SMOOTHING = 1.0
 #: Quantiles that set the threshold.
 TRUSTED_LOW, BAD_HIGH = 0.002, 0.95
@@ -74,12 +72,10 @@ def with_base(words: DataFrame, hash_mask: int = -1) -> DataFrame:
 
 
 def labelled_ids(labels: DataFrame) -> DataFrame:
-    """(_id, _trusted): 1 for good and not toxic, 0 for bad; LABELLED_MAX ids of each at most,
-    by smallest hash. An id with labels of both kinds counts as bad."""
+    """(_id, _trusted): 1 for good and not toxic, 0 for bad, of all labelled documents. An id with
+    labels of both kinds counts as bad."""
     one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    some = lambda df: df.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED_MAX)
-    good = some(one.where("q = 1 and t = 0")).select("_id", F.lit(1).alias("_trusted"))
-    return good.unionByName(some(one.where("q = 0")).select("_id", F.lit(0).alias("_trusted")))
+    return one.where("q = 0 or q = 1 and t = 0").select("_id", F.col("q").cast("int").alias("_trusted"))
 
 
 def log_ratios(words: DataFrame) -> DataFrame:
@@ -102,18 +98,18 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     shared_root(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"))
-    marked = rows.join(F.broadcast(labelled_ids(labels)), "_id", "left")
-    words = with_words(marked, "_raw")
-    ratios = log_ratios(words).checkpoint()  # one row, BUCKETS numbers
-    scored = with_base(words.withColumn("ratios", ratios.scalar()))
+    known = labelled_ids(labels).checkpoint()
+    ratios = log_ratios(with_words(rows.join(known, "_id", "left"), "_raw")).checkpoint()  # one row, BUCKETS numbers
+    scored = with_base(with_words(rows, "_raw").withColumn("ratios", ratios.scalar()))
     mean = _expr("aggregate(_grams, 0D, (a, b) -> a + get(ratios, b)) / size(_grams)")
     scored = scored.withColumn("_grams", _buckets()).withColumn("score", F.when(F.size("_grams") > 0, mean).otherwise(0.0))
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"]
-    narrow = scored.select("_id", "_trusted", *figures).checkpoint()
-    at = lambda flag, q: F.percentile(F.when((F.col("_trusted") == flag) & ~F.col("base_failed"), F.col("score")), F.lit(q))
-    low, high = at(1, TRUSTED_LOW), at(0, BAD_HIGH)
-    least = narrow.where("_trusted is not null").agg(F.coalesce((low + high) / 2, low, F.lit(0.0)).alias("least"))  # 2 * LABELLED_MAX rows at most
-    return narrow.select(F.col("_id").alias(id_col), *figures, (~F.col("base_failed") & (F.col("score") >= least.scalar())).alias("kept"))
+    narrow = scored.select("_id", *figures).checkpoint()
+    judged = narrow.where(~F.col("base_failed")).select("_id", "score").join(known, "_id")
+    at = quantiles(judged.checkpoint(), {"low": (F.when(F.col("_trusted") == 1, F.col("score")), TRUSTED_LOW), "high": (F.when(F.col("_trusted") == 0, F.col("score")), BAD_HIGH)})
+    low, high = at["low"], at["high"]
+    least = 0.0 if low is None else low if high is None else (low + high) / 2
+    return narrow.select(F.col("_id").alias(id_col), *figures, (~F.col("base_failed") & (F.col("score") >= F.lit(least))).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

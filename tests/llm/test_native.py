@@ -203,3 +203,14 @@ def test_many_spans_in_one_text(spark):
     assert all(s["score"] == pytest.approx(0.8) for s in found if s["kind"] == "phone")  # the word before each
     redacted = redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
     assert redacted == " é ".join("[EMAIL]" if i % 3 else "call [PHONE]" for i in range(n))
+
+
+def test_all_labelled_documents_count(spark):
+    """More labels than any fixed number: every trusted document is in the counts and in the threshold."""
+    from relisense.llm.quality import labelled_ids
+
+    labels = spark.range(50_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "cast(id % 10 = 1 as int) as toxic")
+    got = {r["_trusted"]: r["count"] for r in labelled_ids(labels).groupBy("_trusted").count().collect()}
+    assert got == {1: 20_000, 0: 25_000}
+    many = spark.range(60_000).selectExpr("id as doc_id", "cast(1 as int) as quality", "cast(0 as int) as toxic")
+    assert labelled_ids(many).count() == 60_000
