@@ -6,17 +6,18 @@ figures are not meant to equal those of other libraries.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, Imputer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Imputer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relisense.functions.keep import keep
@@ -115,6 +116,48 @@ def fold_summary(predictions: DataFrame, base: str = "base") -> DataFrame:
     return per.join(whole, keys).join(ranked, keys, "left").join(paired, keys, "left").select(*keys, "folds", "windows", "mean", "std", "pooled", "delta_mean", "wilcoxon_p", "ttest_p")
 
 
+def term_counts(rows: DataFrame, n: int, least_docs: float, terms: str = "_terms") -> DataFrame:
+    """(term, all_0.., docs_0..): of each term its number and its documents without each of n folds.
+
+    One pass for all folds: terms are counted per fold, and a fold is subtracted from the whole.
+    Terms of fewer than least_docs documents without any fold have no row.
+    """
+    each = f"explode(concat(transform({terms}, t -> struct(t as term, 1L as a, 0L as d)), transform(array_distinct({terms}), t -> struct(t as term, 0L as a, 1L as d)))) as _t"
+    own = rows.selectExpr("fold", each).groupBy("_t.term").agg(*[F.sum(F.when(F.col("fold") != k, F.col(f"_t.{c}")).otherwise(0)).alias(f"{name}_{k}") for k in range(n) for c, name in (("a", "all"), ("d", "docs"))])
+    return own.where(reduce(Column.__or__, [F.col(f"docs_{k}") >= least_docs for k in range(n)]))
+
+
+def terms_once(df: DataFrame, features: Pipeline, n: int) -> tuple[DataFrame, list[Pipeline]]:
+    """Rows with term vectors, made once for all folds, and of each fold what is left of the pipeline.
+
+    A fold's model is to know the most frequent terms of the other folds and their document
+    frequencies there. Texts are cut and counted once; the vectors hold the terms of any fold,
+    and a fold's weight is 0 for those that it doesn't know, so that they add nothing to its
+    lengths and get no coefficient.
+    """
+    stages = features.getStages()
+    cv = next(i for i, s in enumerate(stages) if isinstance(s, CountVectorizer))
+    idf = next(i for i, s in enumerate(stages) if isinstance(s, IDF))
+    counter, least = stages[cv], stages[cv].getMinDF()
+    terms = counter.getInputCol()
+    rows = keep(PipelineModel(stages[:cv]).transform(df).select(*df.columns, terms))
+    counts = keep(term_counts(rows, n, least, terms))
+    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+    known = []
+    for k in range(n):
+        best = counts.where(F.col(f"docs_{k}") >= least).orderBy(F.col(f"all_{k}").desc(), "term").limit(counter.getVocabSize())
+        known.append({r["term"]: r["docs"] for r in best.select("term", F.col(f"docs_{k}").alias("docs")).collect()})  # a vocabulary
+    words = sorted(set().union(*known)) or [""]
+    vectors = CountVectorizerModel.from_vocabulary(words, inputCol=terms, outputCol=counter.getOutputCol()).transform(rows).drop(terms)
+    vectors = keep(PipelineModel(stages[cv + 1 : idf]).transform(vectors))
+    left = []
+    for k, docs in enumerate(known):
+        trained = sum(sizes.values()) - sizes.get(k, 0)
+        weights = Vectors.dense([math.log((trained + 1) / (docs[w] + 1)) if w in docs else 0.0 for w in words])
+        left.append(Pipeline(stages=[ElementwiseProduct(inputCol=stages[idf].getInputCol(), outputCol=stages[idf].getOutputCol(), scalingVec=weights), *stages[idf + 1 :]]))
+    return vectors, left
+
+
 class Sublinear(Transformer):
     """Term counts n as 1 + ln(n)."""
 
@@ -128,7 +171,8 @@ class Sublinear(Transformer):
 def text_features(text: str = "text", terms: int = 5000, least_docs: int = 2, numeric: list[str] | None = None) -> Pipeline:
     """TF-IDF of words and word pairs with sublinear counts, and standardised numeric columns."""
     both = SQLTransformer(statement="SELECT *, concat(_w, _p) AS _terms FROM __THIS__")
-    stages = [RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\W+", minTokenLength=2), NGram(inputCol="_w", outputCol="_p"), both, CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=terms, minDF=least_docs), Sublinear(), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_text")]
+    whole = SQLTransformer(statement=f"SELECT *, coalesce(`{text}`, '') AS _whole FROM __THIS__")
+    stages = [whole, RegexTokenizer(inputCol="_whole", outputCol="_w", pattern=r"\W+", minTokenLength=2), NGram(inputCol="_w", outputCol="_p"), both, CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=terms, minDF=least_docs), Sublinear(), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_text")]
     parts = ["_text"]
     if numeric:
         stages += [Imputer(strategy="median", inputCols=numeric, outputCols=[f"_{c}" for c in numeric]), VectorAssembler(inputCols=[f"_{c}" for c in numeric], outputCol="_num"), StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True)]
@@ -142,7 +186,12 @@ def folds(df: DataFrame, key: str, n: int = 5, seed: int = 42, group: str | None
 
 
 def out_of_fold(df: DataFrame, features: Pipeline, target: str, classify: bool = False, n: int = 5) -> DataFrame:
-    """Rows of df with ``prediction``, each made by a model that did not see its fold."""
+    """Rows of df with ``prediction``, each made by a model that did not see its fold.
+
+    Pipelines that count terms and weigh them (CountVectorizer and IDF) share the counting.
+    """
+    kinds = [type(s) for s in features.getStages()]
+    df, own = terms_once(df, features, n) if CountVectorizer in kinds and IDF in kinds else (df, [features] * n)
     out = None
     for k in range(n):
         train, test = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
@@ -152,7 +201,7 @@ def out_of_fold(df: DataFrame, features: Pipeline, target: str, classify: bool =
             model = LogisticRegression(labelCol=target, weightCol="_w8", regParam=1e-3)
         else:
             model = LinearRegression(labelCol=target, regParam=1e-3, elasticNetParam=0.0)
-        p = Pipeline(stages=[features, model]).fit(train).transform(test)
+        p = Pipeline(stages=[own[k], model]).fit(train).transform(test)
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     return out
 

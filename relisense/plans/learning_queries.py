@@ -36,7 +36,7 @@ def fold_sizes(spark, d):
 def content_model(spark, d):
     """Area under the curve of the quality label, out of fold, from words and one figure."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text", F.col("n_chars").cast("double").alias("chars")), "doc_id").select("doc_id", "text", "chars", F.col("quality").cast("double").alias("label"))
-    f = learning.folds(keep(rows), "doc_id")
+    f = learning.folds(rows, "doc_id")
     p = keep(learning.out_of_fold(f, learning.text_features(numeric=["chars"]), "label", classify=True).select("label", "prediction", "rawPrediction"))
     return spark.createDataFrame([(p.count(), round(learning.area_under_curve(p, "label"), 3))], "n long, auc double")
 
