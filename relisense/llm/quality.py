@@ -99,7 +99,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared_root(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"))
     known = labelled_ids(labels).checkpoint()
-    ratios = log_ratios(with_words(rows.join(known, "_id", "left"), "_raw")).checkpoint()  # one row, BUCKETS numbers
+    # merged at every size, so that what is shuffled (the texts, once) grows as the input does
+    ratios = log_ratios(with_words(rows.join(known.hint("merge"), "_id", "left"), "_raw")).checkpoint()  # one row, BUCKETS numbers
     scored = with_base(with_words(rows, "_raw").withColumn("ratios", ratios.scalar()))
     mean = _expr("aggregate(_grams, 0D, (a, b) -> a + get(ratios, b)) / size(_grams)")
     scored = scored.withColumn("_grams", _buckets()).withColumn("score", F.when(F.size("_grams") > 0, mean).otherwise(0.0))
