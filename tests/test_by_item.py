@@ -26,3 +26,13 @@ def test_dispersion_of_repeated_and_missing_keys(spark):
 
 def test_labels_are_dealt_by_item_once(spark):
     assert plan(trial_queries.label_entropies(spark, SF)).count("Exchange") == 1
+
+
+def test_items_are_made_once(spark, monkeypatch):
+    """Medians of the legs read the kept items, and the result is read off them too."""
+    for df in (trial_queries.items(spark, SF), trial_queries.two_leg(spark, SF), trial_queries.item_scores(spark, SF)):
+        assert "Exchange" not in plan(df) and "kept-" in "".join(df.inputFiles())
+
+
+def test_scores_deal_no_trials_by_subject(spark):
+    assert "Exchange hash" not in plan(trial_queries.trial_scores(spark, SF))
