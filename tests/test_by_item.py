@@ -36,3 +36,8 @@ def test_items_are_made_once(spark, monkeypatch):
 
 def test_scores_deal_no_trials_by_subject(spark):
     assert "Exchange hash" not in plan(trial_queries.trial_scores(spark, SF))
+
+
+def test_partial_correlation_fits_nothing(spark, monkeypatch):
+    monkeypatch.setattr(trial_queries.conduct, "trial_scores", lambda *a, **k: pytest.fail("a score was fitted"))
+    assert trial_queries.partial_correlation(spark, SF).count() == 1
