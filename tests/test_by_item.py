@@ -28,14 +28,17 @@ def test_labels_are_dealt_by_item_once(spark):
     assert plan(trial_queries.label_entropies(spark, SF)).count("Exchange") == 1
 
 
-def test_items_are_made_once(spark, monkeypatch):
-    """Medians of the legs read the kept items, and the result is read off them too."""
-    for df in (trial_queries.items(spark, SF), trial_queries.two_leg(spark, SF), trial_queries.item_scores(spark, SF)):
-        assert "Exchange" not in plan(df) and "kept-" in "".join(df.inputFiles())
+def test_medians_of_legs_read_kept_items(spark, monkeypatch):
+    """Items are aggregated and kept before their medians are taken, not aggregated again by each reader."""
+    seen, made = [], trial_queries.conduct.item_composite
+    monkeypatch.setattr(trial_queries.conduct, "item_composite", lambda per, *a: seen.append(plan(per)) or made(per, *a))
+    assert "Exchange" not in plan(trial_queries.items(spark, SF)) and "Exchange" not in seen[0]
 
 
-def test_scores_deal_no_trials_by_subject(spark):
-    assert "Exchange hash" not in plan(trial_queries.trial_scores(spark, SF))
+def test_scores_meet_kept_deviations(spark):
+    """The subjects' deviations are a table of known size, not an aggregate inside the join."""
+    t = trial_queries.keep(tables.trials(spark, SF))
+    assert "Aggregate" not in plan(trial_queries.conduct.trial_coherence(t, ("hr", "hr_base"), ("pupil", "pupil_base")))
 
 
 def test_partial_correlation_fits_nothing(spark, monkeypatch):
