@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relisense.llm.shared import small_batches
+
 BUCKETS = 1 << 15
 #: Labelled documents per language that the model is fitted on, about; those with the
 #: smallest hashed ids, so a larger corpus doesn't make a larger model.
@@ -117,6 +119,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     (all or none of an id's are in the sample), long texts count whole; other columns are not
     read. An empty table, or one without a language, gives a model of no languages.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not size:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relisense.llm.graph import components
-from relisense.llm.shared import in_parts, join_hot, shared_folder
+from relisense.llm.shared import in_parts, join_hot, shared_folder, small_batches
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 3, 85
 SKETCH, POSTINGS, LIST_MAX, BLOCK = 64, 24, 48, 768
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark, limits = docs.sparkSession, Limits(percent)
     folder = shared_folder(spark, "neardup")
+    small_batches(spark)
     names = count()
 
     def written(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relisense.llm.shared import give_back, in_parts
+from relisense.llm.shared import give_back, in_parts, small_batches
 from relisense.llm.tokens import WordBpe
 
 SEQ_LEN, END_ID = 4096, 2
@@ -91,6 +91,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: i
     its partition as before, since all it uses is that partition in its order.
     """
     end = struct.pack("<I", end_id)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
