@@ -45,9 +45,9 @@ SKETCH, POSTINGS, LIST_MAX, BLOCK = 64, 24, 48, 768
 FIRST_LISTS = 4
 #: Below, two linked sets could share too few values for the guarantees above.
 PERCENT_MIN = 75
-#: Up to so many ids (24 bytes each) the texts to compare are picked by a broadcast; beyond,
-#: ids and texts are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Up to so many ids (107 bytes each with the hash of their text, as measured for pairs of numbers) the
+#: texts to compare are picked by a broadcast; beyond, ids and texts are shuffled.
+BROADCAST_IDS = 500_000
 #: Words whose hashes a task keeps.
 CACHED_WORDS = 250_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
